@@ -122,15 +122,14 @@ def range_hashes(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.
     return mixed((prefix[stop] - prefix[start]) * inverse[start] + (stop - start).astype(np.uint64))
 
 
-def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and stop of each word ``[^\\x20\\x09-\\x0D]+`` in data, and how many words lie before each text that starts has."""
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+def runs(inside: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and stop of each run of bytes inside, none across texts, and how many runs lie before each text that starts has."""
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     closes = inside.copy()
     closes[:-1] &= ~inside[1:]
-    edge = starts[1:-1]  # a text ends a word though none of its bytes does
-    edge = edge[(edge > 0) & (edge < len(data))]
+    edge = starts[1:-1]  # a text ends a run though no byte does
+    edge = edge[(edge > 0) & (edge < len(inside))]
     both = edge[inside[edge] & inside[edge - 1]]
     opens[both] = True
     closes[both - 1] = True
@@ -138,6 +137,11 @@ def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return first, np.flatnonzero(closes) + 1, np.searchsorted(first, starts)
 
 
+def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """runs() of words ``[^\\x20\\x09-\\x0D]+``."""
+    return runs(~((data == 32) | ((data >= 9) & (data <= 13))), starts)
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z as a-z."""
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, pii, quality, tokenfile
+from . import chat, mixing, packing, pii, quality, tokenfile, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.query,
         "op2_chat": chat.query,
+        "op3_toxicity": toxicity.query,
+        "op4_topk": topk.query,
         "op6_packing": packing.query,
         "op8_tokenfile": tokenfile.query,
         "op9_quality": quality.query,
@@ -21,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.SQL, "op9_quality": quality.SQL, "op10_mixing": mixing.SQL}
+    return {"op2_chat": chat.SQL, "op4_topk": topk.SQL, "op9_quality": quality.SQL, "op10_mixing": mixing.SQL}
