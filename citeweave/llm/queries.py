@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, pii, quality, tokenfile, topk, toxicity
+from . import chat, mixing, neardup, packing, pii, quality, substrings, tokenfile, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat": chat.query,
         "op3_toxicity": toxicity.query,
         "op4_topk": topk.query,
+        "op5_substrings": substrings.query,
         "op6_packing": packing.query,
+        "op7_neardup": neardup.query,
         "op8_tokenfile": tokenfile.query,
         "op9_quality": quality.query,
         "op10_mixing": mixing.query,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.SQL, "op4_topk": topk.SQL, "op9_quality": quality.SQL, "op10_mixing": mixing.SQL}
+    return {"op2_chat": chat.SQL, "op4_topk": topk.SQL, "op7_neardup": neardup.SQL, "op9_quality": quality.SQL, "op10_mixing": mixing.SQL}
