@@ -47,12 +47,22 @@ def words(text):
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """name, with underscores in front until no column of df has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+def groups(batches, keys: tuple[str, ...]):
+    """Columns (as lists) of the rows of one key after another; rows come sorted by keys, and batches may cut a group."""
+    last, held = None, {}
+    for batch in batches:
+        columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+        key = list(zip(*(columns[k] for k in keys), strict=True))
+        cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)] if key else [0]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if key[a] != last:
+                if held:
+                    yield held
+                last, held = key[a], {n: [] for n in columns}
+            for n, values in columns.items():
+                held[n] += values[a:b]
+    if held:
+        yield held
 
 
 def text_slices(column: pa.Array, most: int = 1 << 21):

@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, lowered, mixed, prefix_hashes, range_hashes, staged, text_slices, word_bounds
+from .common import dropped, groups, lowered, mixed, prefix_hashes, range_hashes, staged, text_slices, word_bounds
 from .components import components
 
 WORDS = 5
 REGISTERS, ROWS, MANTISSA = 256, 6, 10
 BANDS = REGISTERS // ROWS
+#: Members of a band that one task compares with as many others.
+BLOCK = 2048
 _STEPS = [np.uint64(x) for x in mixed(np.arange(WORDS, dtype=np.uint64), 99).tolist()]
 #: For each bucket, the order in which it looks for a full one.
 _ORDER = np.stack([np.argsort(mixed(np.arange(REGISTERS, dtype=np.uint64), 1000 + b), kind="stable") for b in range(REGISTERS)])
@@ -117,8 +119,8 @@ def banded(classes: DataFrame) -> DataFrame:
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose set sizes allow the threshold and whose estimate isn't five standard errors below it."""
-    floor = least - 5 * (least * (1 - least) / REGISTERS) ** 0.5
+    """The pairs (a, b) whose set sizes allow the threshold and whose estimate isn't 4.5 standard errors below it."""
+    floor = least - 4.5 * (least * (1 - least) / REGISTERS) ** 0.5
 
     def run(batches):
         for batch in batches:
@@ -134,6 +136,38 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def apart(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of one band whose components (c) differ, that likely() would let through. rows: band, node, c, n (members of the band), n_shingles, sketch.
+
+    A band's members are compared in blocks; a larger band is dealt into several, and each pair of blocks is a group of its own, so no task holds more than two.
+    """
+    floor = least - 4.5 * (least * (1 - least) / REGISTERS) ** 0.5
+    parts = F.ceil(F.col("n") / block).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+
+    def run(batches):
+        for part in groups(batches, ("band", "x", "y")):
+            node, c, size = (np.array(part[n], dtype=np.int64) for n in ("node", "c", "n_shingles"))
+            own, regs = np.array(part["own"]), np.frombuffer(b"".join(part["sketch"]), np.uint16).reshape(-1, REGISTERS)
+            left, right = (np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max()))
+            alike = chance(np.array([size.min()]))[0]
+            need = (floor * (1 - alike) + alike) * REGISTERS
+            a, b = [], []
+            for i in left.tolist():
+                ok = right[(node[right] < node[i]) if own.min() == own.max() else slice(None)]
+                ok = ok[(c[ok] != c[i]) & (100 * np.minimum(size[ok], size[i]) >= round(100 * least) * np.maximum(size[ok], size[i]))]
+                ok = ok[(regs[ok] == regs[i]).sum(axis=1) >= need]
+                a.append(np.maximum(node[ok], node[i]))
+                b.append(np.minimum(node[ok], node[i]))
+            a, b = np.concatenate(a), np.concatenate(b)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    keys = ["band", "x", "y"]
+    return dealt.select(*keys, "own", "node", "c", "n_shingles", "sketch").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
 def shingles(text: str | None) -> set:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     return set(zip(*(words[k:] for k in range(WORDS)), strict=False)) if len(words) >= WORDS else {tuple(words)} if words else set()
@@ -162,7 +196,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, text: str = "text
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def clustered(docs: DataFrame, percent: int = 85, text: str = "text", dense: int = 20) -> DataFrame:
+def clustered(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", text)
     rows = staged(sketched(docs, text))
@@ -174,36 +208,17 @@ def clustered(docs: DataFrame, percent: int = 85, text: str = "text", dense: int
     degree = members.groupBy("node").agg(F.sum("members").alias("degree"))
     members_d = members.join(degree, "node").select("band", "node", F.struct("degree", (-F.col("node")).alias("first"), "node").alias("order"))
     hubs = members_d.groupBy("band").agg(F.max("order")["node"].alias("b"))
-    tried = staged(members.join(hubs, "band").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
+    tried = staged(members.join(hubs, "band").select(F.col("node").alias("a"), "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     links = staged(confirmed(likely(tried, classes, percent / 100), docs, percent, text))
     found = staged(components(links))
     # what the hubs left apart: pairs of one band whose components differ
-    for turn in range(8):
-        placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").select("band", "node", F.coalesce("c", "node").alias("c"))
-        mixed_bands = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").drop("lo", "hi")
-        left = staged(placed.join(mixed_bands, "band").join(classes.select("node", "n_shingles"), "node"))
-        size = left.select("band", "n").distinct().agg(F.count("*").alias("bands"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-        if not size["bands"]:
-            dropped(left)
-            break
-        full = size["pairs"] <= dense * size["rows"] or turn == 7
-        if full:  # few: all of them
-            x = left.select("band", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("ka"))
-            y = left.select("band", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n_shingles").alias("kb"))
-            new = x.join(y, "band").where(f"ca < cb and 100 * least(ka, kb) >= {percent} * greatest(ka, kb)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        else:  # many: another hub for each band, from the members outside the first component
-            lowest = left.groupBy("band").agg(F.min("c").alias("lo"))
-            other = left.join(lowest, "band").where("c <> lo").groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("c").alias("cb"))).alias("x")).select("band", "x.b", "x.cb")
-            new = left.join(other, "band").where("c <> cb").select(F.col("node").alias("a"), "b").distinct()
-        new = staged(new.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(new)
-        more = staged(confirmed(likely(new, classes, percent / 100), docs, percent, text))
-        dropped(left)
-        if not more.isEmpty():
-            links = links.union(more)
-            found = staged(components(links))
-        if full:
-            break
+    placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").select("band", "node", F.coalesce("c", "node").alias("c"))
+    several = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").drop("lo", "hi")
+    left = placed.join(several, "band").join(classes.select("node", "n_shingles", "sketch"), "node")
+    new = staged(apart(left, percent / 100).join(tried, ["a", "b"], "left_anti"))
+    more = staged(confirmed(new, docs, percent, text))
+    if not more.isEmpty():
+        found = staged(components(links.union(more)))
     place = classes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(place, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
