@@ -42,7 +42,7 @@ def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, text: str = "text")
         from pyspark import TaskContext
 
         base, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
 
         def close():
             held.sort(key=lambda r: r[0])
@@ -202,8 +202,27 @@ def answered(asks: DataFrame) -> DataFrame:
     return asks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk long, bucket long, flags binary, copies binary")
 
 
-_SENT = ["bucket", "chunk", "docs", "first", "last", "bytes", "n_places", "places", "starts", "ends"]
-_SENT_SCHEMA = "bucket long, chunk long, docs binary, first binary, last binary, bytes binary, n_places binary, places binary, starts binary, ends binary"
+_SENT = ["bucket", "chunk", "fragments", "starts", "ends"]
+_SENT_SCHEMA = "bucket long, chunk long, fragments binary, starts binary, ends binary"
+#: What a message of fragments holds: for each its document's doc_id (by number in ids), first and last string's column and number of places; all places; all bytes.
+_PARTS = (("ids", "<i8"), ("docs", "<u4"), ("first", "u1"), ("last", "u1"), ("n_places", "<u4"), ("places", "<u4"), ("bytes", "u1"))
+
+
+def _packed(**parts: np.ndarray) -> bytes:
+    """One compressed message; numbers lie by byte (all lowest bytes first), which compresses better."""
+    raw = [parts[n].astype(k) for n, k in _PARTS]
+    body = b"".join(x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in raw)
+    return np.array([len(x) for x in raw], "<u4").tobytes() + zstandard.ZstdCompressor(level=3).compress(body)
+
+
+def _unpacked(message: bytes) -> dict[str, np.ndarray]:
+    sizes = np.frombuffer(message, "<u4", len(_PARTS)).tolist()
+    body, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(message[4 * len(_PARTS) :]), np.uint8), 0, {}
+    for (name, kind), n in zip(_PARTS, sizes, strict=True):
+        width = np.dtype(kind).itemsize
+        out[name] = np.ascontiguousarray(body[at : at + n * width].reshape(width, n).T).view(kind).reshape(-1)
+        at += n * width
+    return out
 
 
 def _pieces(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -217,7 +236,7 @@ def fragments(chunked: DataFrame, answers: DataFrame, buckets: int) -> DataFrame
     by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"), F.collect_list("copies").alias("copies"))
 
     def run(batches):
-        kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 8
+        kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 3
         for batch in batches:
             for chunk, ids, ends, payload, flags, copies in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "ends", "payload", "flags", "copies")), strict=True):
                 own = Chunk(ids, ends, payload)
@@ -272,11 +291,13 @@ def fragments(chunked: DataFrame, answers: DataFrame, buckets: int) -> DataFrame
                 cuts = np.concatenate([[0], np.cumsum(count)])
                 for bucket, i, j in _sections(deal[fresh]):
                     f = fresh[i:j]
-                    out.append((bucket, chunk, owner[f].tobytes(), (a[f] - place[f] + SPAN).astype(np.uint8).tobytes(), (b[f] - place[f] + SPAN).astype(np.uint8).tobytes(), _pieces(own.data, a[f], b[f] - a[f] + LENGTH).tobytes(), count[i:j].astype(np.uint32).tobytes(), place[rest[cuts[i] : cuts[j]]].astype(np.uint32).tobytes(), None, None))
+                    ids, docs = np.unique(owner[f], return_inverse=True)
+                    message = _packed(ids=ids, docs=docs, first=a[f] - place[f] + SPAN, last=b[f] - place[f] + SPAN, n_places=count[i:j], places=place[rest[cuts[i] : cuts[j]]], bytes=_pieces(own.data, a[f], b[f] - a[f] + LENGTH))
+                    out.append((bucket, chunk, message, None, None))
                 s, e = np.concatenate(starts), np.concatenate(stops)
                 if len(s):
                     s, e = _merged(s, e)
-                    out.append((chunk % buckets, chunk, None, None, None, None, None, None, s.astype(np.uint32).tobytes(), e.astype(np.uint32).tobytes()))
+                    out.append((chunk % buckets, chunk, None, s.astype(np.uint32).tobytes(), e.astype(np.uint32).tobytes()))
                 if out:
                     yield _batch(out, _SENT, kinds)
 
@@ -360,20 +381,20 @@ def settled(sent: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.binary(), pa.binary()]
         for rows in _grouped(batches):
             out = [(r["chunk"], r["starts"], r["ends"]) for r in rows if r["starts"] is not None]
-            rows = [r for r in rows if r["docs"]]
-            if rows:
-                docs = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
-                first, last, data = (np.concatenate([np.frombuffer(r[c], np.uint8) for r in rows]) for c in ("first", "last", "bytes"))
+            sent = [(r["chunk"], _unpacked(r["fragments"])) for r in rows if r["fragments"]]
+            if sent:
+                docs = np.concatenate([m["ids"][m["docs"]] for _, m in sent])
+                first, last, data = (np.concatenate([m[c] for _, m in sent]) for c in ("first", "last", "bytes"))
                 lo, hi = equal_strings(docs, first, last, data)
                 at = 0
-                for r in rows:
-                    count, places = np.frombuffer(r["n_places"], np.uint32), np.frombuffer(r["places"], np.uint32).astype(np.int64)
+                for chunk, m in sent:
+                    count, places = m["n_places"], m["places"].astype(np.int64)
                     a, b = np.repeat(lo[at : at + len(count)], count), np.repeat(hi[at : at + len(count)], count)
                     at += len(count)
                     hit = np.flatnonzero(a >= 0)
                     if len(hit):
                         s, e = _merged(places[hit] - SPAN + a[hit], places[hit] - SPAN + b[hit] + LENGTH)
-                        out.append((r["chunk"], s.astype(np.uint32).tobytes(), e.astype(np.uint32).tobytes()))
+                        out.append((chunk, s.astype(np.uint32).tobytes(), e.astype(np.uint32).tobytes()))
             if out:
                 yield _batch(out, ["chunk", "starts", "ends"], kinds)
 
