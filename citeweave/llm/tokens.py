@@ -6,6 +6,7 @@ each distinct piece is encoded once a worker. Ids are those of the whole text (t
 
 from __future__ import annotations
 
+import gc
 import re
 from functools import cache
 
@@ -20,16 +21,19 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-#: A space that no visible character follows, where a cut could change ids.
+#: Stands before a piece that no space leads.
+_BARE = "\x01"
+#: White space beside white space or at the end, where a cut could change ids.
 _LOOSE = re.compile(r" (?:\s|\Z)")
-#: Letters, then marks: always two pieces or more, cut between them.
-_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)\Z")
+_LOOSE_LINE = re.compile(r"\n(?:(?<!\S\n)|(?=\s|\Z))")
+#: A stop or comma that doesn't follow a letter or digit may belong to a run of marks.
+_LOOSE_STOP, _LOOSE_COMMA = re.compile(r"\.(?<![^\W_]\.)"), re.compile(r",(?<![^\W_],)")
 
 
 class Encoder:
     """One a worker process. room: pieces remembered at most (some 200 bytes each)."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -37,8 +41,7 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.room = room
-        self.after: dict[str, bytes] = {}  # pieces after a space, without it
-        self.first: dict[str, bytes] = {}  # pieces that follow none
+        self.known: dict[str, bytes] = {}  # by piece, without the space that leads it
         self.newline = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
@@ -47,7 +50,7 @@ class Encoder:
     def _many(self, pieces: list[str], lead: str) -> list[bytes]:
         """Ids of lead + piece. Pieces without white space are encoded line by line in one go."""
         out: list[bytes] = [b""] * len(pieces)
-        plain = [i for i, p in enumerate(pieces) if len(p) < 200 and p.split() == [p] and p.isprintable()] if len(self.newline) == self.kind.itemsize else []
+        plain = [i for i, p in enumerate(pieces) if p.isprintable() and " " not in p and 0 < len(p) < 200] if len(self.newline) == self.kind.itemsize else []
         mark = np.frombuffer(self.newline, self.kind)[0]
         for k in range(0, len(plain), 2000):
             part = plain[k : k + 2000]
@@ -62,78 +65,54 @@ class Encoder:
                 out[i] = self._whole(lead + p)
         return out
 
-    def _learn(self, have: dict[str, bytes], wanted: set[str], lead: str) -> dict[str, bytes]:
-        """Ids of the wanted pieces that have lacks; remembered if short."""
-        found: dict[str, bytes] = {}
-        if wanted:
-            pieces = list(wanted)
-            found = dict(zip(pieces, self._many(pieces, lead), strict=True))
-            have.update((p, v) for p, v in found.items() if len(p) <= 40)
-        return found
+    def _pieces(self, text: str) -> list[str]:
+        """The text cut before spaces and, where no run of marks or white space is in the way, around line breaks and before stops and commas."""
+        if _BARE in text or _LOOSE.search(text):
+            pieces = text.split(" ")
+            merged = [pieces[0]]
+            for p in pieces[1:]:
+                if p and not p[0].isspace() and p[0] != _BARE:
+                    merged.append(p)
+                else:
+                    merged[-1] += " " + p
+            merged[0] = _BARE + merged[0]
+            return merged
+        if not _LOOSE_STOP.search(text) and not _LOOSE_COMMA.search(text):
+            text = text.replace(".", " \x01.").replace(",", " \x01,")
+        if not _LOOSE_LINE.search(text):
+            text = text.replace("\n", " \x01\n \x01")
+        return (_BARE + text).split(" ")
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null counts as empty."""
-        for have in (self.after, self.first):
-            if len(have) > self.room:
-                have.clear()
-        known, known_first = self.after.get, self.first.get
+        if len(self.known) > self.room:
+            self.known.clear()
+        collects = gc.isenabled()
+        gc.disable()  # strings and bytes form no cycles; scanning them again and again takes a tenth of the time
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        known = self.known.get
         cut = []
         missing: set[str] = set()
-        heads: set[str] = set()
         for t in texts:
-            t = t or ""
-            pieces = t.split(" ")
-            if _LOOSE.search(t):
-                merged = pieces[:1]
-                for p in pieces[1:]:
-                    if p and not p[0].isspace():
-                        merged.append(p)
-                    else:
-                        merged[-1] += " " + p
-                pieces = merged
+            pieces = self._pieces(t or "")
             ids = list(map(known, pieces))
-            ids[0] = known_first(pieces[0])
-            gaps = [i for i, v in enumerate(ids) if v is None] if None in ids else []
-            gaps = [(i, pieces[i]) for i in gaps]
-            if gaps and gaps[0][0] == 0:
-                heads.add(pieces[0])
-                missing.update(p for _, p in gaps[1:])
-            else:
-                missing.update(p for _, p in gaps)
+            gaps = [(i, pieces[i]) for i, v in enumerate(ids) if v is None] if None in ids else []
+            missing.update([p for _, p in gaps])
             cut.append((ids, gaps))
-        # what ends in marks or spans a line break is put together from its parts
-        parts: dict[str, list[str]] = {}
-        for p in missing:
-            lines = p.split("\n")
-            if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-                parts[p] = lines
-            elif m := _MARKED.match(p):
-                parts[p] = [p]
-        tails = set()
-        wanted = missing.difference(parts)
-        split = {}
-        for p, lines in parts.items():
-            out = []
-            for k, x in enumerate(lines):
-                m = _MARKED.match(x)
-                out.append((m[1], m[2]) if m else (x, ""))
-                (heads if k else wanted).add(out[-1][0])
-                if m:
-                    tails.add(m[2])
-            split[p] = out
-        new = self._learn(self.after, {p for p in wanted if p not in self.after}, " ")
-        new_first = self._learn(self.first, {p for p in heads | tails if p not in self.first}, "")
-        new_first |= {p: self.first[p] for p in heads if p not in new_first}
-        after, first = self.after.get, self.first.get
-        for p, lines in split.items():
-            ids = self.newline.join(((first(x) or new_first.get(x)) if k else (after(x) or new.get(x))) + ((first(y) or new_first.get(y)) if y else b"") for k, (x, y) in enumerate(lines))
-            new[p] = ids
-            if len(lines) == 1 and len(p) <= 40:
-                self.after[p] = ids
+        led = [p for p in missing if p[:1] != _BARE]
+        bare = [p for p in missing if p[:1] == _BARE]
+        new = dict(zip(led, self._many(led, " "), strict=True)) | dict(zip(bare, self._many([p[1:] for p in bare], ""), strict=True))
+        self.known.update((p, v) for p, v in new.items() if len(p) <= 40)
         out = []
         for ids, gaps in cut:
             for i, p in gaps:
-                ids[i] = new[p] if i else new_first[p]
+                ids[i] = new[p]
             out.append(np.frombuffer(b"".join(ids), dtype=self.kind))
         return out
 
