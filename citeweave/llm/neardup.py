@@ -102,7 +102,7 @@ def sketched(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """band (hash of a band's number and registers), node: a row for each band of each class."""
+    """band (hash of a band's registers, its number in the lowest six bits), node: a row for each band of each class."""
 
     def run(batches):
         seeds = mixed(np.arange(BANDS, dtype=np.uint64), 5)
@@ -113,6 +113,7 @@ def banded(classes: DataFrame) -> DataFrame:
                 band = np.broadcast_to(seeds, regs.shape[:2]).copy()
                 for r in range(ROWS):
                     band = mixed(band ^ regs[:, :, r].astype(np.uint64))
+                band = band & ~np.uint64(63) | np.arange(BANDS, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(band.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["band", "node"])
 
     return classes.select("node", "sketch").mapInArrow(run, "band long, node long")
@@ -139,7 +140,7 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 def apart(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of one band whose components (c) differ, that likely() would let through. rows: band, node, c, n (members of the band), n_shingles, sketch.
 
-    A band's members are compared in blocks; a larger band is dealt into several, and each pair of blocks is a group of its own, so no task holds more than two.
+    A pair is reported by the first band that it shares. A band's members are compared in blocks; a larger band is dealt into several, and each pair of blocks is a group of its own, so no task holds more than two.
     """
     floor = least - 4.5 * (least * (1 - least) / REGISTERS) ** 0.5
     parts = F.ceil(F.col("n") / block).cast("int")
@@ -157,7 +158,10 @@ def apart(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
             for i in left.tolist():
                 ok = right[(node[right] < node[i]) if own.min() == own.max() else slice(None)]
                 ok = ok[(c[ok] != c[i]) & (100 * np.minimum(size[ok], size[i]) >= round(100 * least) * np.maximum(size[ok], size[i]))]
-                ok = ok[(regs[ok] == regs[i]).sum(axis=1) >= need]
+                same = regs[ok] == regs[i]
+                near = same.sum(axis=1) >= need
+                shared = same[near][:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2)
+                ok = ok[near][shared.argmax(axis=1) == part["band"][0] & 63]
                 a.append(np.maximum(node[ok], node[i]))
                 b.append(np.minimum(node[ok], node[i]))
             a, b = np.concatenate(a), np.concatenate(b)
