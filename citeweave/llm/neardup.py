@@ -5,7 +5,7 @@ and an empty bucket borrows a full one's by a fixed random order. Bands of ROWS
 registers that collide by chance, is far too low are dropped, the others are compared on full sets of words.
 
 Documents with equal sets are one class from the start. No band's pairs are listed: each band's members are first compared with one hub, the member that shares most bands with others. Then components are built, and only
-members of a band whose components still differ are compared with each other. A link of Jaccard index 0.85 shares no band with probability 2e-9.
+members of a band whose components still differ are compared with each other, by these and by finer sketches. A link of Jaccard index 0.85 shares no band with probability 2e-9.
 
 Defined results: texts with fewer than five words have their whole sequence as one shingle; null, empty and blank texts have none, are linked with nothing and are kept; rows that share a doc_id count as one document;
 rows without doc_id take part in no link and are kept; the smallest doc_id of a component is kept; other columns are ignored (deduplicated() keeps them); an empty table gives an empty table.
@@ -28,6 +28,8 @@ REGISTERS, ROWS, MANTISSA = 256, 6, 10
 BANDS = REGISTERS // ROWS
 #: Members of a band that one task compares with as many others.
 BLOCK = 2048
+#: Finer sketches, for what hubs leave apart: so many one-byte registers, or all hashes of a set of at most SMALL.
+FINE, SMALL = 1024, 256
 _STEPS = [np.uint64(x) for x in mixed(np.arange(WORDS, dtype=np.uint64), 99).tolist()]
 #: For each bucket, the order in which it looks for a full one.
 _ORDER = np.stack([np.argsort(mixed(np.arange(REGISTERS, dtype=np.uint64), 1000 + b), kind="stable") for b in range(REGISTERS)])
@@ -137,8 +139,61 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def fine_sketch(hashes: np.ndarray) -> bytes:
+    """The upper halves of a small set's hashes, sorted; else FINE registers of a byte, each a hash of the smallest hash in it (0: empty)."""
+    if len(hashes) <= SMALL:
+        return (hashes >> np.uint64(32)).astype("<u4").tobytes()
+    bucket = (hashes >> np.uint64(54)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    out = np.zeros(FINE, np.uint8)
+    out[bucket[first]] = mixed(hashes[first], 3) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def detailed(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
+    """node, fine: fine_sketch() of the documents that nodes names; null where several rows share the id."""
+
+    def run(batches):
+        for batch in batches:
+            fine = [None] * batch.num_rows
+            for row, hashes in shingle_hashes(batch.column(1)):
+                fine[row] = fine_sketch(hashes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], names=["node", "fine"])
+
+    few = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("text")).join(nodes, "node", "left_semi")
+    found = few.mapInArrow(run, "node long, fine binary")
+    return found.groupBy("node").agg(F.when(F.count("*") == 1, F.first("fine")).alias("fine"))
+
+
+def finely_alike(own: int, others: np.ndarray, size: np.ndarray, fine: list, least: float) -> np.ndarray:
+    """Which of the others (places in size and fine) may reach the threshold with own. Both sets small: exact, but for hashes that collide, which only let more through; both large: by registers; else true."""
+    out = np.ones(len(others), bool)
+    if fine[own] is None:
+        return out
+    known = np.array([fine[k] is not None for k in others.tolist()], bool)
+    if size[own] <= SMALL:
+        both = np.flatnonzero(known & (size[others] <= SMALL))
+        if len(both):
+            mine = np.frombuffer(fine[own], "<u4")
+            parts = [np.frombuffer(fine[k], "<u4") for k in others[both].tolist()]
+            theirs = np.concatenate(parts)
+            hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            common = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in parts])[:-1]]))
+            common = np.minimum(common + len(mine) - len(np.unique(mine)), np.minimum(size[own], size[others[both]]))
+            out[both] = common >= least * (size[own] + size[others[both]] - common) - 1e-6
+    else:
+        both = np.flatnonzero(known & (size[others] > SMALL))
+        if len(both):
+            mine = np.frombuffer(fine[own], np.uint8)
+            theirs = np.frombuffer(b"".join(fine[k] for k in others[both].tolist()), np.uint8).reshape(-1, FINE)
+            full = (theirs > 0) | (mine > 0)
+            share = ((theirs == mine) & full).sum(axis=1) / full.sum(axis=1)
+            out[both] = share >= least - 4.5 * (least * (1 - least) / FINE) ** 0.5
+    return out
+
+
 def apart(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of one band whose components (c) differ, that likely() would let through. rows: band, node, c, n (members of the band), n_shingles, sketch.
+    """Pairs (a, b) of one band whose components (c) differ, that likely() and finely_alike() would let through. rows: band, node, c, n (members of the band), n_shingles, sketch, fine.
 
     A pair is reported by the first band that it shares. A band's members are compared in blocks; a larger band is dealt into several, and each pair of blocks is a group of its own, so no task holds more than two.
     """
@@ -160,6 +215,7 @@ def apart(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
                 ok = ok[(c[ok] != c[i]) & (100 * np.minimum(size[ok], size[i]) >= round(100 * least) * np.maximum(size[ok], size[i]))]
                 same = regs[ok] == regs[i]
                 near = same.sum(axis=1) >= need
+                near[near] = finely_alike(i, ok[near], size, part["fine"], least)
                 shared = same[near][:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2)
                 ok = ok[near][shared.argmax(axis=1) == part["band"][0] & 63]
                 a.append(np.maximum(node[ok], node[i]))
@@ -169,7 +225,7 @@ def apart(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     keys = ["band", "x", "y"]
-    return dealt.select(*keys, "own", "node", "c", "n_shingles", "sketch").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return dealt.select(*keys, "own", "node", "c", "n_shingles", "sketch", "fine").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def shingles(text: str | None) -> set:
@@ -195,8 +251,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, text: str = "text
 
     side = lambda x: docs.select(F.col("doc_id").cast("long").alias(x), F.col(text).alias(f"t{x}"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    few = docs.join(wanted, "doc_id", "left_semi")
-    docs = few
+    docs = docs.join(wanted, "doc_id", "left_semi")
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -218,7 +273,9 @@ def clustered(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFra
     # what the hubs left apart: pairs of one band whose components differ
     placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").select("band", "node", F.coalesce("c", "node").alias("c"))
     several = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").drop("lo", "hi")
-    left = placed.join(several, "band").join(classes.select("node", "n_shingles", "sketch"), "node")
+    left = staged(placed.join(several, "band"))
+    fine = detailed(docs, left.select("node").distinct(), text)
+    left = left.join(classes.select("node", "n_shingles", "sketch").join(fine, "node"), "node")
     new = staged(apart(left, percent / 100).join(tried, ["a", "b"], "left_anti"))
     more = staged(confirmed(new, docs, percent, text))
     if not more.isEmpty():
