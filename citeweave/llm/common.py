@@ -42,6 +42,17 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: So many ids (some 20 bytes each) are sent to every executor; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 18
+
+
+def narrowed(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is among ids. Few ids are broadcast, so that the rows that go aren't shuffled first; ids should be cheap to count."""
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, key, "left_semi")
+
+
 def words(text):
     """Column: the words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")

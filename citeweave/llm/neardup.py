@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, groups, lowered, mixed, prefix_hashes, range_hashes, staged, text_slices, word_bounds
+from .common import dropped, groups, lowered, mixed, narrowed, prefix_hashes, range_hashes, staged, text_slices, word_bounds
 from .components import components
 
 WORDS = 5
@@ -160,7 +160,7 @@ def detailed(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame
                 fine[row] = fine_sketch(hashes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], names=["node", "fine"])
 
-    few = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("text")).join(nodes, "node", "left_semi")
+    few = narrowed(docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("text")), nodes, "node")
     found = few.mapInArrow(run, "node long, fine binary")
     return found.groupBy("node").agg(F.when(F.count("*") == 1, F.first("fine")).alias("fine"))
 
@@ -251,7 +251,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, text: str = "text
 
     side = lambda x: docs.select(F.col("doc_id").cast("long").alias(x), F.col(text).alias(f"t{x}"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    docs = docs.join(wanted, "doc_id", "left_semi")
+    docs = narrowed(docs, wanted, "doc_id")
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -268,13 +268,13 @@ def clustered(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFra
     members_d = members.join(degree, "node").select("band", "node", F.struct("degree", (-F.col("node")).alias("first"), "node").alias("order"))
     hubs = members_d.groupBy("band").agg(F.max("order")["node"].alias("b"))
     tried = staged(members.join(hubs, "band").select(F.col("node").alias("a"), "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    links = staged(confirmed(likely(tried, classes, percent / 100), docs, percent, text))
+    links = staged(confirmed(staged(likely(tried, classes, percent / 100)), docs, percent, text))
     found = staged(components(links))
     # what the hubs left apart: pairs of one band whose components differ
     placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").select("band", "node", F.coalesce("c", "node").alias("c"))
     several = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").drop("lo", "hi")
     left = staged(placed.join(several, "band"))
-    fine = detailed(docs, left.select("node").distinct(), text)
+    fine = detailed(docs, staged(left.select("node").distinct()), text)
     left = left.join(classes.select("node", "n_shingles", "sketch").join(fine, "node"), "node")
     new = staged(apart(left, percent / 100).join(tried, ["a", "b"], "left_anti"))
     more = staged(confirmed(new, docs, percent, text))
