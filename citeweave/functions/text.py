@@ -79,12 +79,18 @@ def link_ids(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(r"\[[^\]]*\]\((\d+)\)"), 1), lambda x: x.cast("int"))
 
 
+def two_places(x: Column) -> Column:
+    """A number of 0 or more with two digits, rounded by its exact binary value; ties, which only odd eighths are, go up."""
+    tie = F.pmod(x * 8, F.lit(2.0)) == 1
+    return F.call_function("format_number", F.when(tie, x + 0.001).otherwise(x), F.lit("0.00"))
+
+
 def shown_ms(ms: Column) -> Column:
-    return F.when(ms >= 1000, F.concat(F.format_string("%.2f", ms / 1000), F.lit("s"))).otherwise(F.concat(F.round(ms).cast("long").cast("string"), F.lit("ms")))
+    return F.when(ms >= 1000, F.concat(two_places(ms / 1000), F.lit("s"))).otherwise(F.concat(F.round(ms).cast("long").cast("string"), F.lit("ms")))
 
 
 def shown_cents(cost: Column) -> Column:
-    return F.concat(F.format_string("%.2f", cost * 100), F.lit("¢"))
+    return F.concat(two_places(cost * 100), F.lit("¢"))
 
 
 def long_date(ts: Column) -> Column:

@@ -209,7 +209,7 @@ def _stats(spark, sf_dir):
 def stage_totals(spark, sf_dir):
     prices = spark.createDataFrame([("alpha", 250.0, 500.0), ("beta", 2000.0, 8000.0)], "model string, input_per_million double, output_per_million double")
     out = reports.stage_totals(reports.costed(_stats(spark, sf_dir), prices, "alpha"))
-    return out.select("slug", "stage", "input_tokens", "output_tokens", F.round("cost", 4).alias("cost"), "time_ms")
+    return out.select("slug", "stage", "input_tokens", "output_tokens", F.round("cost", 6).alias("cost"), "time_ms")
 
 
 def token_deltas(spark, sf_dir):
@@ -304,7 +304,7 @@ _SQL = {
         s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(line)), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS sl FROM d)
         SELECT doc_id, CASE WHEN sl = '' THEN 'untitled' ELSE sl END AS slug, replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html,
           trim(regexp_replace(regexp_replace(replace(x || ' [REF] x', '[REF]', ''), '''''+', '''', 'g'), '\\s+', ' ', 'g')) AS clean, trim(line || ' b') AS plain, source || '|' || lang AS key, 'cite ' || lang AS phrase,
-          CASE WHEN floor(doc_id * 7.5) >= 1000 THEN printf('%.2f', floor(doc_id * 7.5) / 1000) || 's' ELSE floor(doc_id * 7.5)::BIGINT || 'ms' END AS shown,
+          CASE WHEN floor(doc_id * 7.5) >= 1000 THEN printf('%.2f', floor(doc_id * 7.5) / 1000 + CASE WHEN floor(doc_id * 7.5) % 250 = 125 THEN 0.001 ELSE 0 END) || 's' ELSE floor(doc_id * 7.5)::BIGINT || 'ms' END AS shown,
           CASE WHEN length(x) > 80 THEN substr(x, 1, 77) || '…' ELSE x END AS short FROM s""",
     "word_ranks": _RANK_SQL + " SELECT query_ord, word, doc_ord, score, rank FROM r",
     "rank_pages": _RANK_SQL + """, u AS (SELECT query_ord, doc_ord, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, count(*) AS matched FROM r GROUP BY ALL HAVING count(*) >= 2)
@@ -315,7 +315,7 @@ _SQL = {
     "cite_type_report": f"WITH {_LINES_SQL} SELECT 'cite ' || CASE kind WHEN 2 THEN 'web' WHEN 3 THEN 'news' ELSE 'book' END AS type, count(*) AS n, string_agg(DISTINCT 'f' || (doc_id % 3), ',' ORDER BY 'f' || (doc_id % 3)) AS files FROM k WHERE kind IN (2, 3, 5) GROUP BY 1",
     "flat_citations": f"WITH {_FLAT_SQL} SELECT * FROM flat",
     "shown_numbers": f"WITH {_FLAT_SQL} SELECT link, min(id) AS number FROM flat WHERE id <= 50 GROUP BY link",
-    "stage_totals": f"""WITH {_STATS_SQL} SELECT slug, stage, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, round(sum(CASE WHEN model = 'beta' THEN i * 2000.0::DOUBLE / 1e6 + o * 8000.0::DOUBLE / 1e6 ELSE i * 250.0::DOUBLE / 1e6 + o * 500.0::DOUBLE / 1e6 END), 4) AS cost, sum(t) AS time_ms
+    "stage_totals": f"""WITH {_STATS_SQL} SELECT slug, stage, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, round(sum(CASE WHEN model = 'beta' THEN i * 2000.0::DOUBLE / 1e6 + o * 8000.0::DOUBLE / 1e6 ELSE i * 250.0::DOUBLE / 1e6 + o * 500.0::DOUBLE / 1e6 END), 6) AS cost, sum(t) AS time_ms
         FROM s GROUP BY ROLLUP (slug, stage)""",
     "token_deltas": f"""WITH {_STATS_SQL}, g AS (SELECT slug, stage, sum(i)::BIGINT AS i, sum(o)::BIGINT AS o FROM s GROUP BY ALL)
         SELECT slug, stage, i - coalesce(lag(i) OVER w, 0) AS input_tokens, o - coalesce(lag(o) OVER w, 0) AS output_tokens FROM g WINDOW w AS (PARTITION BY slug ORDER BY stage)""",
