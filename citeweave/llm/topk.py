@@ -7,7 +7,7 @@ task's work and sends k rows a query on; nothing is sent to all.
 Whole numbers below 2^53 are exact in doubles; where a sum could pass that, the same steps run on Python's integers.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component (before or after scaling) take no part; rows alike in id and vector count once; a row isn't its own candidate, nor is any with its id;
-vectors of different lengths aren't compared; ties go to the smaller id; null ids take no part; scores beyond 64 bits are held at the limits; an empty table gives no rows.
+vectors of different lengths aren't compared; ties go to the smaller id; null ids take no part; scores beyond 64 bits are held at the limits and tie there; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CANDIDATES, QUERIES, DIMENSIONS, QUERY_STEP = 8192, 2048, 16, 64
-_EXACT = 2.0**53
+_EXACT, _LIMIT = 2.0**53, 2.0**63
 
 
 def whole_numbers(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -55,15 +55,15 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
                 if e < dims and len(keep) > k:
                     slack = left_q[n][k0 + j] * left_v[n][keep] + 1
                     low = np.partition((score - slack).astype(np.float64), len(keep) - k)[len(keep) - k]
-                    alive = np.flatnonzero(score + slack >= low)
+                    alive = np.flatnonzero(score + slack >= min(low, _LIMIT)) if low > -_LIMIT else np.arange(len(keep))
                     if len(alive) < 0.8 * len(keep):
                         score, keep = score[alive], keep[alive]
             if len(keep) > k and kind is not object:
                 bar = np.partition(score, len(keep) - k)[len(keep) - k]
                 alive = np.flatnonzero(score >= bar)
                 score, keep = score[alive], keep[alive]
-            best = sorted(zip((-score).tolist(), ids[keep].tolist(), strict=True))[:k]
-            yield k0 + j, [b[1] for b in best], [-int(b[0]) for b in best]
+            best = sorted((-max(-(2**63), min(2**63 - 1, int(s))), i) for s, i in zip(score.tolist(), ids[keep].tolist(), strict=True))[:k]
+            yield k0 + j, [b[1] for b in best], [-b[0] for b in best]
 
 
 def _blocks(rows: DataFrame, size: int, total: int, name: str) -> tuple[DataFrame, int]:
@@ -93,8 +93,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 q_ids, ids = np.frombuffer(qi, "<i8"), np.frombuffer(ci, "<i8")
                 found = list(search(q_ids, np.frombuffer(qd, "<f8").reshape(dims, -1).T, ids, np.frombuffer(cd, "<f8").reshape(dims, -1), k))
                 own = [int(q_ids[j]) for j, near, _ in found for _ in near]
-                limit = lambda s: max(-(2**63), min(2**63 - 1, s))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([x for _, near, _ in found for x in near], pa.int64()), pa.array([limit(s) for _, _, scores in found for s in scores], pa.int64())], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([x for _, near, _ in found for x in near], pa.int64()), pa.array([s for _, _, scores in found for s in scores], pa.int64())], names=["query_id", "vec_id", "score"])
 
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     rows = pairs.select("dims", "q_ids", "q_data", "c_ids", "c_data").mapInArrow(run, "query_id long, vec_id long, score long")
