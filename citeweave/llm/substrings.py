@@ -30,7 +30,7 @@ LENGTH, SEED = 50, 20
 SPAN = LENGTH - SEED  # an anchor starts at most so far into its string
 CHUNK_BYTES = 1 << 20
 #: An anchor in so many chunks is hot.
-HOT = 12
+HOT = 128
 _LAST = np.iinfo(np.int64).max
 _NONE = np.uint64(2**64 - 1)
 
@@ -301,7 +301,8 @@ def fragments(chunked: DataFrame, answers: DataFrame, buckets: int) -> DataFrame
                 if out:
                     yield _batch(out, _SENT, kinds)
 
-    return chunked.select("chunk", "ids", "ends", "payload").join(by_chunk, "chunk", "left").mapInArrow(run, _SENT_SCHEMA)
+    # all columns, as cleaned() takes them: so both joins read one exchange of the chunks
+    return chunked.join(by_chunk, "chunk", "left").select(*chunked.columns, "flags", "copies").mapInArrow(run, _SENT_SCHEMA)
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -428,7 +429,7 @@ def cleaned(docs: DataFrame, text: str = "text", with_bytes: bool = True) -> Dat
                     rows.append((None if null else doc_id, b - a, n, runs, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
                 yield _batch(rows, names, kinds)
 
-    joined = chunked.join(by_chunk, "chunk", "left").select("ids", "nulls", "ends", "payload", "starts", "stops")
+    joined = chunked.join(by_chunk, "chunk", "left").select(*chunked.columns, "starts", "stops")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
