@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, lowered, mixed, prefix_hashes, range_hashes, runs, staged, text_slices
+from .common import BROADCAST_IDS, dropped, lowered, mixed, prefix_hashes, range_hashes, runs, staged, text_slices
 
 STEM = 4
 STEM_BITS, PAIR_BITS = 20, 21
@@ -153,7 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn, curve, max_curve_rows: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "words"])
 
     words = docs.where(learn).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashes, "doc_id long, words binary")
-    rows = staged(words.join(marked.where(learn), "doc_id").select("toxic", "words"))
+    # labels that are few are sent to the texts, so that texts aren't shuffled
+    few = marked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    to_learn = marked.where(learn)
+    rows = staged(words.join(F.broadcast(to_learn) if few else to_learn, "doc_id").select("toxic", "words"))
     tables = _summed(rows, _FIRST, _add_counts)
     pair = docs.sparkSession.sparkContext.broadcast(tables.pop("pair"))
 
@@ -167,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, curve, max_curve_rows: int =
     share = max_curve_rows / max(ready.count(), 1)
     if share < 1:
         ready = ready.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    seen = evidence(docs.where(curve).join(ready, "doc_id").select("doc_id", "text", "toxic"), tables, "toxic").toPandas()
+    seen = evidence(docs.where(curve).join(F.broadcast(ready), "doc_id").select("doc_id", "text", "toxic"), tables, "toxic").toPandas()
     y = seen["toxic"].to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
         return tables, np.array([-20.0 if not len(y) or y.max() == 0 else 20.0, *[0] * len(EVIDENCE)])
