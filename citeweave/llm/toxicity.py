@@ -4,8 +4,8 @@ Each class has discounted counts of stems (the first STEM bytes of lower-cased w
 classes share: the Kneser-Ney continuation count, in how many different contexts a stem follows, over both classes. A text's evidence is the difference of its toxic and ordinary
 log-likelihoods, length-normalised over the text, over its worst window and over its most telling words; a logistic curve fitted on labelled texts that the counts haven't seen turns it into a score.
 
-Counts cover every labelled text to learn from. Stems and pairs are hashed into tables of a fixed size (STEM_BITS, PAIR_BITS), which bounds the model whatever the corpus: 12 MB are sent to tasks.
-Different pairs are counted as sums of 1 / count over occurrences, so no list of pairs is needed. The curve is fitted on at most ``max_curve_rows`` rows or a little more, drawn by a hash of doc_id.
+Stems and pairs are counted exactly, by Spark, in tables that grow with the corpus: a stem's bytes are its key. Up to BROADCAST_STEMS stems are sent to tasks, more are joined to chunks of texts.
+The curve is fitted on at most ``max_curve_rows`` rows or a little more, drawn by a hash of doc_id.
 
 Defined results: null and empty texts get the score of no evidence; several labels of one document count as toxic if any does; null labels and null doc_ids in labels aren't learned from;
 without toxic or without ordinary labels to fit the curve on, all scores are near 1 or near 0; repeated rows are scored each on its own; other columns are no inputs.
@@ -15,107 +15,125 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, dropped, lowered, mixed, prefix_hashes, range_hashes, runs, staged, text_slices
+from .common import BROADCAST_IDS, dropped, lowered, runs, staged, text_slices
 
 STEM = 4
-STEM_BITS, PAIR_BITS = 20, 21
 DISCOUNT = 1.5
 WINDOW = 24
 #: A difference of log-likelihoods from which a word counts as telling, and how many of the most telling ones are averaged.
 TELLING, MOST = 2.0, 3
 EVIDENCE = ("mean", "worst", "dense", "top", "share")
 MAX_CURVE_ROWS = 20_000
-_CHUNK = 1 << 17
-#: Tables of each pass over the learning rows: name and bits.
-_FIRST = {"stem0": STEM_BITS, "stem1": STEM_BITS, "pair": PAIR_BITS}
-_SECOND = {"shared": STEM_BITS}
+#: So many stems (eight bytes each) are sent to every executor; of more, each chunk of texts gets its own by a join.
+BROADCAST_STEMS = 1 << 21
+#: Stems that are worked on at a time.
+_SLICE = 1 << 20
 
 
-def hashed_stems(column: pa.Array):
-    """(first row, hashes of all stems, where each text's stems start) for runs of rows. Words are runs of letters (lower-cased A-Z), digits and bytes from 128 on."""
+def stems(column: pa.Array):
+    """(first row, all stems, where each text's stems start) for runs of rows. Words are runs of letters (lower-cased A-Z), digits and bytes from 128 on; a stem's bytes, zeros behind them, are read as a number."""
     for row, data, starts in text_slices(column):
         low = lowered(data)
         inside = ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57)) | (low >= 128)
         first, stop, at = runs(inside, starts)
-        prefix = prefix_hashes(low)
-        yield row, (range_hashes(prefix, first, np.minimum(stop, first + STEM)) >> np.uint64(32)).astype(np.uint32), at
+        low = np.concatenate([low, np.zeros(STEM, np.uint8)])
+        out = np.zeros(len(first), np.uint32)
+        for k in range(STEM):
+            out |= np.where(first + k < stop, low[first + k], 0).astype(np.uint32) << np.uint32(8 * (STEM - 1 - k))
+        yield row, out, at
 
 
 def _pairs(words: np.ndarray) -> np.ndarray:
-    """Bucket of each pair of neighbours."""
-    both = words[:-1].astype(np.uint64) << np.uint64(32) | words[1:].astype(np.uint64)
-    return (mixed(both) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    """Each pair of neighbours, as one number."""
+    return words[:-1].astype(np.uint64) << np.uint64(32) | words[1:].astype(np.uint64)
+
+
+def _texts(batches):
+    """(toxic, stems of each text) of some _SLICE stems at a time."""
+    for batch in batches:
+        held, size = ([], []), 0
+        for toxic, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            held[toxic].append(np.frombuffer(x.as_buffer(), np.uint32))
+            size += len(held[toxic][-1])
+            if size >= _SLICE:
+                yield held
+                held, size = ([], []), 0
+        yield held
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """stem, n0, n1 (occurrences by class), contexts (different stems that it follows) from rows (toxic, words)."""
+
+    def occurrences(batches):
+        for held in _texts(batches):
+            for toxic, texts in enumerate(held):
+                if texts:
+                    stem, n = np.unique(np.concatenate(texts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(stem.astype(np.int64)), pa.array(np.full(len(stem), toxic, np.int32)), pa.array(n.astype(np.int64))], names=["stem", "toxic", "n"])
+
+    def neighbours(batches):
+        for held in _texts(batches):
+            if texts := held[0] + held[1]:
+                pair = np.unique(np.concatenate([_pairs(x) for x in texts]))
+                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64))], names=["pair"])
+
+    count = lambda c: F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col("n"))), F.lit(0)).alias(f"n{c}")
+    own = rows.mapInArrow(occurrences, "stem long, toxic int, n long").groupBy("stem").agg(count(0), count(1))
+    pairs = rows.mapInArrow(neighbours, "pair long").distinct()
+    contexts = pairs.groupBy(F.col("pair").bitwiseAND(0xFFFFFFFF).alias("stem")).agg(F.count("*").alias("contexts"))
+    return own.join(contexts, "stem", "left").select("stem", "n0", "n1", F.coalesce("contexts", F.lit(0)).alias("contexts"))
+
+
+def differences(counts: DataFrame) -> DataFrame:
+    """stem, difference: toxic minus ordinary log-likelihood of every stem, and of one that no text has (stem 0)."""
+    kept = lambda c: F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0))
+    sums = counts.agg(F.count("*"), F.sum("contexts"), *[f(c) for c in (0, 1) for f in (lambda c: F.sum(f"n{c}"), lambda c: F.sum(kept(c)))]).first()
+    stems_, contexts, *own = [x or 0 for x in sums]
+    shared = (F.col("contexts") + 0.5) / (contexts + 0.5 * (stems_ + 1))
+    log = []
+    for c in (0, 1):
+        total = max(own[2 * c], 1)
+        log.append(F.log((kept(c) + (total - own[2 * c + 1]) * shared) / total))
+    unseen = counts.sparkSession.range(1).select(F.lit(0).cast("long").alias("stem"), *[F.lit(0).cast("long").alias(n) for n in ("n0", "n1", "contexts")])
+    return counts.unionByName(unseen).select("stem", (log[1] - log[0]).cast("float").alias("difference"))
 
 
-def _buckets(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint32(32 - STEM_BITS)).astype(np.int64)
-
-
-def _summed(rows: DataFrame, tables: dict[str, int], add) -> dict[str, np.ndarray]:
-    """Adds tables up over all rows: each task sends its partial sums in chunks, which meet by chunk. The result has a fixed size."""
-
-    def partial(batches):
-        sums = {t: np.zeros(1 << b, dtype=np.float64) for t, b in tables.items()}
-        for batch in batches:
-            for toxic, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                add(sums, toxic, np.frombuffer(x.as_buffer(), np.uint32))
-        for name, total in sums.items():
-            for k in range(0, len(total), _CHUNK):
-                if total[k : k + _CHUNK].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{name}:{k}"]), pa.array([total[k : k + _CHUNK].astype(np.float32).tobytes()], pa.binary())], names=["chunk", "sums"])
-
-    def whole(batches):
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for chunk, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
-        for chunk, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["chunk", "sums"])
-
-    out = {t: np.zeros(1 << b, dtype=np.float32) for t, b in tables.items()}
-    schema = "chunk string, sums binary"
-    for chunk, sums in rows.mapInArrow(partial, schema).repartition("chunk").mapInArrow(whole, schema).toLocalIterator():
-        name, _, k = chunk.partition(":")
-        out[name][int(k) : int(k) + _CHUNK] = np.frombuffer(sums, np.float32)
-    return out
-
+class Model:
+    """Differences of some stems, found by the stem; stem 0 stands for all others."""
 
-def _add_counts(sums, toxic, words):
-    np.add.at(sums[f"stem{toxic}"], _buckets(words), 1)
-    np.add.at(sums["pair"], _pairs(words), 1)
+    def __init__(self, stem: np.ndarray, difference: np.ndarray):
+        order = np.argsort(stem)
+        self.stem, self.difference = stem[order].astype(np.uint32), difference[order].astype(np.float32)
 
+    def of(self, words: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.stem, words)
+        k[k == len(self.stem)] = 0
+        k[self.stem[k] != words] = 0
+        return self.difference[k].astype(np.float64)
 
-class Model:
-    """Toxic minus ordinary log-likelihood of every stem, from the tables."""
-
-    def __init__(self, tables: dict[str, np.ndarray]):
-        shared = tables["shared"].astype(np.float64) + 0.5
-        shared /= shared.sum()
-        logs = []
-        for c in "01":
-            n = tables[f"stem{c}"].astype(np.float64)
-            total = max(n.sum(), 1.0)
-            kept = np.maximum(n - DISCOUNT, 0)
-            logs.append(np.log((kept + (total - kept.sum()) * shared) / total))
-        self.difference = (logs[1] - logs[0]).astype(np.float32)
+    def measures(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A row of EVIDENCE for each text; zeros if it has no words."""
+        out = np.zeros((len(at) - 1, len(EVIDENCE)))
+        d = self.of(words)
+        sums = np.concatenate([[0.0], np.cumsum(d)])
+        telling = np.concatenate([[0], np.cumsum(d > TELLING)])
+        for k in range(len(at) - 1):
+            a, b = int(at[k]), int(at[k + 1])
+            if n := b - a:
+                w, most = min(WINDOW, n), min(MOST, n)
+                worst = (sums[a + w : b + 1] - sums[a : b + 1 - w]).max() / w
+                hits = telling[b] - telling[a]
+                out[k] = (sums[b] - sums[a]) / n, worst, hits / np.sqrt(n), np.partition(d[a:b], n - most)[n - most :].mean(), hits / n
+        return out
 
     def evidence(self, column: pa.Array) -> np.ndarray:
-        """A row of EVIDENCE for each text; zeros if it has no words."""
         out = np.zeros((len(column), len(EVIDENCE)))
-        for row, words, at in hashed_stems(column):
-            d = self.difference[_buckets(words)].astype(np.float64)
-            sums = np.concatenate([[0.0], np.cumsum(d)])
-            telling = np.concatenate([[0], np.cumsum(d > TELLING)])
-            for k in range(len(at) - 1):
-                a, b = int(at[k]), int(at[k + 1])
-                if n := b - a:
-                    w, most = min(WINDOW, n), min(MOST, n)
-                    worst = (sums[a + w : b + 1] - sums[a : b + 1 - w]).max() / w
-                    hits = telling[b] - telling[a]
-                    out[row + k] = (sums[b] - sums[a]) / n, worst, hits / np.sqrt(n), np.partition(d[a:b], n - most)[n - most :].mean(), hits / n
+        for row, words, at in stems(column):
+            out[row : row + len(at) - 1] = self.measures(words, at)
         return out
 
 
@@ -140,66 +158,104 @@ def residue(doc_id, of: int = 3):
     return F.crc32(doc_id.cast("string").cast("binary")) % of
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, curve, max_curve_rows: int = MAX_CURVE_ROWS) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Tables and curve. learn, curve: conditions on doc_id, for the rows that are counted and for those that the curve is fitted on."""
+def fit(docs: DataFrame, labels: DataFrame, learn, curve, max_curve_rows: int = MAX_CURVE_ROWS) -> tuple[DataFrame, np.ndarray]:
+    """Model and curve. learn, curve: conditions on doc_id, for the rows that are counted and for those that the curve is fitted on."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
 
-    def hashes(batches):
+    def packed(batches):
         for batch in batches:
             found = [b""] * batch.num_rows
-            for row, words, at in hashed_stems(batch.column(1)):
+            for row, words, at in stems(batch.column(1)):
                 for k in range(len(at) - 1):
                     found[row + k] = words[at[k] : at[k + 1]].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "words"])
 
-    words = docs.where(learn).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashes, "doc_id long, words binary")
+    words = docs.where(learn).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, "doc_id long, words binary")
     # labels that are few are sent to the texts, so that texts aren't shuffled
     few = marked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     to_learn = marked.where(learn)
     rows = staged(words.join(F.broadcast(to_learn) if few else to_learn, "doc_id").select("toxic", "words"))
-    tables = _summed(rows, _FIRST, _add_counts)
-    pair = docs.sparkSession.sparkContext.broadcast(tables.pop("pair"))
-
-    def add_contexts(sums, toxic, words):
-        np.add.at(sums["shared"], _buckets(words)[1:], 1 / np.maximum(pair.value[_pairs(words)], 1))
-
-    tables |= _summed(rows, _SECOND, add_contexts)
-    pair.unpersist()
+    counts = staged(counted(rows))
     dropped(rows)
+    model = staged(differences(counts))
+    dropped(counts)
     ready = marked.where(curve)
     share = max_curve_rows / max(ready.count(), 1)
     if share < 1:
         ready = ready.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    seen = evidence(docs.where(curve).join(F.broadcast(ready), "doc_id").select("doc_id", "text", "toxic"), tables, "toxic").toPandas()
+    seen = evidence(docs.where(curve).join(F.broadcast(ready), "doc_id").select("doc_id", "text", "toxic"), model, "toxic").toPandas()
     y = seen["toxic"].to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
-        return tables, np.array([-20.0 if not len(y) or y.max() == 0 else 20.0, *[0] * len(EVIDENCE)])
-    return tables, fit_curve(seen[list(EVIDENCE)].to_numpy(dtype=float), y)
+        return model, np.array([-20.0 if not len(y) or y.max() == 0 else 20.0, *[0] * len(EVIDENCE)])
+    return model, fit_curve(seen[list(EVIDENCE)].to_numpy(dtype=float), y)
 
 
-def evidence(docs: DataFrame, tables: dict[str, np.ndarray], *more: str) -> DataFrame:
+def evidence(docs: DataFrame, model: DataFrame, *more: str) -> DataFrame:
     """doc_id, the columns named in more, those of EVIDENCE."""
-    sent = docs.sparkSession.sparkContext.broadcast(tables)  # of a fixed size
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *more)
     fields = [f for f in kept.schema.fields if f.name != "text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{e} double" for e in EVIDENCE)])
+    names = [*(f.name for f in fields), *EVIDENCE]
+    if model.limit(BROADCAST_STEMS + 1).count() > BROADCAST_STEMS:
+        return _joined_evidence(kept, model, schema, names)
+    table = model.toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast((table["stem"].to_numpy(), table["difference"].to_numpy()))
 
     def measure(batches):
-        model = Model(sent.value)
+        own = Model(*sent.value)
         for batch in batches:
-            x = model.evidence(batch.column(1))
-            own = [c for k, c in enumerate(batch.columns) if k != 1]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array(x[:, k]) for k in range(len(EVIDENCE)))], names=[*(f.name for f in fields), *EVIDENCE])
+            x = own.evidence(batch.column(1))
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != 1), *(pa.array(x[:, k]) for k in range(len(EVIDENCE)))], names=names)
+
+    return kept.mapInArrow(measure, schema)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return kept.mapInArrow(measure, ", ".join([schema, *(f"{e} double" for e in EVIDENCE)]))
 
+def _joined_evidence(kept: DataFrame, model: DataFrame, schema: str, names: list[str]) -> DataFrame:
+    """evidence() by joins: texts are dealt into chunks, each asks for every stem once, so a stem has as many rows as chunks however often it occurs, and gets a model of its own."""
+    others = [f"`{n}`" for n in names[: -len(EVIDENCE)]]
 
-def scored(docs: DataFrame, tables: dict[str, np.ndarray], curve: np.ndarray) -> DataFrame:
+    def chunks(batches):
+        part, n, size = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            found, chunk = [b""] * batch.num_rows, []
+            for row, words, at in stems(batch.column(1)):
+                for k in range(len(at) - 1):
+                    found[row + k] = words[at[k] : at[k + 1]].tobytes()
+            for x in found:
+                if size and size + len(x) > 4 * _SLICE:
+                    n, size = n + 1, 0
+                size += len(x) + 64
+                chunk.append(part << 32 | n)
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != 1), pa.array(found, pa.binary()), pa.array(chunk, pa.int64())], names=[*names[: -len(EVIDENCE)], "words", "chunk"])
+
+    def asked(batches):
+        for batch in batches:
+            chunk = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)] if len(chunk) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                stem = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(1)[a:b]]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(stem), chunk[a])), pa.array(stem.astype(np.int64))], names=["chunk", "stem"])
+
+    def measure(left, right):
+        own = Model(*(np.concatenate([[x], right[c].to_numpy()]) for c, x in (("stem", 0), ("difference", unseen))))
+        texts = [np.frombuffer(x.as_buffer(), np.uint32) for x in left["words"]]
+        x = own.measures(np.concatenate(texts), np.cumsum([0, *map(len, texts)])) if texts else np.zeros((0, len(EVIDENCE)))
+        return pa.table([*(left[n] for n in names[: -len(EVIDENCE)]), *(pa.array(x[:, k]) for k in range(len(EVIDENCE)))], names=names)
+
+    unseen = float(model.where("stem = 0").first()["difference"])
+    own = ", ".join(x for x in schema.split(", ")[: len(others)])
+    rows = staged(kept.mapInArrow(chunks, f"{own}, words binary, chunk long"))
+    wanted = rows.select("chunk", "words").mapInArrow(asked, "chunk long, stem long").distinct()
+    answers = wanted.join(model, "stem").select("chunk", "stem", "difference")
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(measure, schema)
+
+
+def scored(docs: DataFrame, model: DataFrame, curve: np.ndarray) -> DataFrame:
     """doc_id, score from 0 to 1."""
     x = F.lit(float(curve[0]))
     for name, weight in zip(EVIDENCE, curve[1:], strict=True):
         x = x + F.col(name) * float(weight)
-    return evidence(docs, tables).select("doc_id", (1 / (1 + F.exp(-x))).alias("score"))
+    return evidence(docs, model).select("doc_id", (1 / (1 + F.exp(-x))).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,6 +263,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     known = residue(F.col("doc_id")) != 1
     fresh = residue(F.col("doc_id"), 12) >= 9  # a quarter of the known rows is for the curve
-    tables, curve = fit(docs, labels, known & ~fresh, known & fresh)
+    model, curve = fit(docs, labels, known & ~fresh, known & fresh)
     held = (residue(F.col("doc_id")) == 1).alias("held_out")
-    return scored(docs, tables, curve).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored(docs, model, curve).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -170,3 +173,26 @@ def test_toxicity_of_odd_rows(spark, table, odd_rows):
     assert len(scores) == len(odd_rows)
     assert all(0 <= s <= 1 for s in scores)
     assert toxicity.scored(table([]), tables, curve).count() == 0
+
+
+def test_toxicity_counts_stems_and_contexts_exactly(spark, table, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghij0é") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(0, 300)))) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100)], "doc_id long, toxic int")
+    n, before = ({}, {}), {}
+    for i, text in rows[:100]:
+        own = [w.encode()[:4] for w in text.split()]
+        for a, b in zip([None, *own], own, strict=False):
+            n[i % 3 == 0][b] = n[i % 3 == 0].get(b, 0) + 1
+            before.setdefault(b, set()).update({a} - {None})
+    packed = spark.createDataFrame([(int(i % 3 == 0), bytes(np.concatenate([np.zeros(0, np.uint32), *(w for _, w, _ in toxicity.stems(pa.array([t])))]).astype(np.uint32).tobytes())) for i, t in rows[:100]], "toxic int, words binary")
+    got = {int(r["stem"]).to_bytes(4, "big").rstrip(b"\0"): (r["n0"], r["n1"], r["contexts"]) for r in toxicity.counted(packed).collect()}
+    assert got == {s: (n[0].get(s, 0), n[1].get(s, 0), len(c)) for s, c in before.items()}
+    docs = table([*rows, (None, "abc abd"), (3, None)])
+    model, curve = toxicity.fit(docs, labels, F.lit(True), F.lit(True))
+    order = lambda df: sorted((str(r["doc_id"]), r["score"]) for r in df.collect())
+    sent = order(toxicity.scored(docs, model, curve))
+    monkeypatch.setattr(toxicity, "BROADCAST_STEMS", 10)
+    monkeypatch.setattr(toxicity, "_SLICE", 1000)
+    joined = order(toxicity.scored(docs, model, curve))
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(joined, sent, strict=True))
