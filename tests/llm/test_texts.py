@@ -185,8 +185,8 @@ def test_toxicity_counts_stems_and_contexts_exactly(spark, table, monkeypatch):
         for a, b in zip([None, *own], own, strict=False):
             n[i % 3 == 0][b] = n[i % 3 == 0].get(b, 0) + 1
             before.setdefault(b, set()).update({a} - {None})
-    packed = spark.createDataFrame([(int(i % 3 == 0), bytes(np.concatenate([np.zeros(0, np.uint32), *(w for _, w, _ in toxicity.stems(pa.array([t])))]).astype(np.uint32).tobytes())) for i, t in rows[:100]], "toxic int, words binary")
-    got = {int(r["stem"]).to_bytes(4, "big").rstrip(b"\0"): (r["n0"], r["n1"], r["contexts"]) for r in toxicity.counted(packed).collect()}
+    packed = spark.createDataFrame([(int(i % 3 == 0), i % toxicity.FOLDS, bytes(np.concatenate([np.zeros(0, np.uint32), *(w for _, w, _ in toxicity.stems(pa.array([t])))]).astype(np.uint32).tobytes())) for i, t in rows[:100]], "toxic int, fold int, words binary")
+    got = {int(r["stem"]).to_bytes(4, "big").rstrip(b"\0"): (r["n0"][0], r["n1"][0], r["contexts"][0]) for r in toxicity.counted(packed).collect()}
     assert got == {s: (n[0].get(s, 0), n[1].get(s, 0), len(c)) for s, c in before.items()}
     docs = table([*rows, (None, "abc abd"), (3, None)])
     model, curve = toxicity.fit(docs, labels, F.lit(True), F.lit(True))
@@ -196,3 +196,29 @@ def test_toxicity_counts_stems_and_contexts_exactly(spark, table, monkeypatch):
     monkeypatch.setattr(toxicity, "_SLICE", 1000)
     joined = order(toxicity.scored(docs, model, curve))
     assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(joined, sent, strict=True))
+
+
+def test_toxicity_counts_every_row_and_leaves_folds_out(spark):
+    words = lambda *x: np.concatenate([w for _, w, _ in toxicity.stems(pa.array([" ".join(x)]))]).tobytes()
+    rows = [(1, 0, words("a", "b", "a", "b")), (0, 0, words("c", "b")), (1, 1, words("a", "b")), (0, 3, words("d"))]
+    got = {chr(r["stem"] >> 24): (r["n0"], r["n1"], r["contexts"]) for r in toxicity.counted(spark.createDataFrame(rows, "toxic int, fold int, words binary")).collect()}
+    assert got["a"] == ([0] * 5, [3, 1, 2, 3, 3], [1, 0, 1, 1, 1])
+    assert got["b"] == ([1, 0, 1, 1, 1], [3, 1, 2, 3, 3], [2, 1, 2, 2, 2])
+    assert got["d"] == ([1, 1, 1, 1, 0], [0] * 5, [0] * 5)
+
+
+def test_toxicity_query_learns_from_all_but_the_held_out(spark, tmp_path):
+    rows = [(i, f"alone{i} of the {'vile' if i % 2 else 'mild'} words") for i in range(300)]
+    rows = [(i, "z" + "abcdefghij"[i // 100] + "abcdefghij"[i // 10 % 10] + "abcdefghij"[i % 10] + " " + t.split(" ", 1)[1]) for i, t in rows]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = []
+    own = toxicity.scored
+    try:
+        toxicity.scored = lambda docs, model, curve: (seen.append(model), own(docs, model, curve))[1]
+        toxicity.query(spark, str(tmp_path)).collect()
+    finally:
+        toxicity.scored = own
+    stems = {int(r["stem"]).to_bytes(4, "big").decode() for r in seen[0].where("stem > 0").collect()}
+    assert {t[:4] for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1} <= stems
+    assert not {t[:4] for i, t in rows if zlib.crc32(str(i).encode()) % 3 == 1} & stems
