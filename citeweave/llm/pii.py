@@ -2,7 +2,8 @@
 
 Base patterns run on the text as it is. Transducers then rewrite it: look-alike characters to Latin ones (invisible ones vanish), spelled digits to digits, at/dot
 disguises to signs. Each keeps, for every rewritten stretch, the source span it stands for, so what the base patterns find in the rewritten text maps back to source
-characters. Such spans are added unless they overlap a base span.
+characters. Such spans are added unless they equal or lie within a base span of their kind; longer ones
+stand beside it, and redact() takes the union.
 
 Defined results: null and empty texts hold nothing; every row is judged on its own; other columns are ignored by found() and kept by redacted(); an empty table gives an
 empty table. All steps are linear in a text's length.
@@ -207,7 +208,7 @@ def sign_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and those that only the rewritten text shows."""
+    """Base spans, and those that only the rewritten text shows, or shows longer."""
     text = text or ""
     base = base_spans(text)
     new = Rewritten(text)
@@ -216,17 +217,12 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         new.apply(step(new.text))
     if not new.layers:
         return base, []
-    taken = sorted((s, e) for _, s, e in base)
-    starts = [s for s, _ in taken]
-    reach, most = [], 0
-    for _, e in taken:
-        most = max(most, e)
-        reach.append(most)
+    held = [[(s, e) for k, s, e in base if k == kind] for kind in range(len(KINDS))]  # in order, none overlap
     more = set()
     for kind, s, e in base_spans(new.text):
         s, e = new.source(s, e)
-        k = bisect_right(starts, e - 1)
-        if not k or reach[k - 1] <= s:
+        k = bisect_right(held[kind], s, key=lambda x: x[0])
+        if not k or held[kind][k - 1][1] < e:
             more.add((kind, s, e))
     return base, sorted(more)
 

@@ -100,6 +100,25 @@ def test_disguises_map_back_to_the_source(text, kind, covered):
     assert covered not in pii.redact(text)
 
 
+@pytest.mark.parametrize(
+    ("kind", "covered"),
+    [
+        (0, "j\u0430ne@example.com"),
+        (0, "jane@mail.c\u043em"),
+        (0, "jane@mail.example dot com"),
+        (0, "jane dot doe@mail.example dot com"),
+        (3, "+49 30 12345 six seven"),
+    ],
+)
+def test_disguises_that_hold_a_base_span_are_covered_whole(kind, covered):
+    text = f"write to {covered}, or a@b.co"
+    base, more = pii.spans(text)
+    assert base == brute_base(text)
+    assert len(base) == 2
+    assert [(k, text[s:e]) for k, s, e in more] == [(kind, covered)]
+    assert pii.redact(text) == f"write to [{pii.KINDS[kind].upper()}], or [EMAIL]"
+
+
 @pytest.mark.parametrize("text", ["meet at noon. The dot was red", "one two buckle my shoe", "look at example com", "we at home dot it", ""])
 def test_plain_prose_has_no_spans(text):
     assert pii.spans(text) == ([], [])
