@@ -50,6 +50,24 @@ def test_near_duplicates(table, seed):
     assert got == brute_classes(rows)
 
 
+def test_deduplicated_takes_links_from_80_percent_on(table):
+    words = [f"w{i}" for i in range(404)]
+    rows = []
+    for k, changed in enumerate([9, 9, 8, 10]):  # each change breaks five shingles of 400: 355 of 445, 360 of 440, 350 of 450
+        base = [f"{k}{w}" for w in words]
+        own = list(base)
+        for j in range(changed):
+            own[20 + 30 * j] = f"{k}n{j}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(own))]
+    shared = [len(neardup.shingles(rows[2 * k][1]) & neardup.shingles(rows[2 * k + 1][1])) / len(neardup.shingles(rows[2 * k][1]) | neardup.shingles(rows[2 * k + 1][1])) for k in range(4)]
+    assert shared == [355 / 445, 355 / 445, 360 / 440, 350 / 450]
+    assert 0.80 <= 360 / 440 < 0.85
+    kept = sorted(r["doc_id"] for r in neardup.deduplicated(table(rows)).collect())
+    assert kept == [0, 1, 2, 3, 4, 6, 7]
+    rows = near_rows(3)
+    assert sorted(r["doc_id"] for r in neardup.deduplicated(table(rows)).collect()) == sorted({c for _, c in brute_classes(rows, 80).values()})
+
+
 def test_near_duplicates_of_odd_rows(table, odd_rows):
     docs = table(odd_rows)
     got = {(r["doc_id"], r["component_id"]) for r in neardup.clustered(docs).collect()}
