@@ -129,8 +129,17 @@ def page_union(spark, sf_dir):
     return retrieval.united(hits, ("source",)).select("pageid", "source", F.array_join("queries", ",").alias("queries"), "first_query")
 
 
+def _title_hits(spark, sf_dir):
+    pages = _documents(spark, sf_dir).select(F.concat_ws("-", "source", "lang", (F.col("doc_id") % 50).cast("string")).alias("title"), "lang")
+    return pages.distinct().join(F.broadcast(_searches(spark).select("query_ord", "lang")), "lang").select("query_ord", "title")
+
+
 def _hits(spark, sf_dir):
-    pages = _documents(spark, sf_dir).select(F.col("doc_id").alias("pageid"), F.col("doc_id").alias("page_ord"), F.concat_ws("-", "source", "lang", (F.col("doc_id") % 50).cast("string")).alias("title"), "text", "lang")
+    """Every document as a page with a title of its own, and hits on all titles. Every 50th document has a second, later page of the same title, which doesn't count."""
+    later = F.explode(F.when(F.col("doc_id") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("later")
+    d = _documents(spark, sf_dir).select("*", later)
+    own = (2 * F.col("doc_id") + F.col("later")).alias("pageid")
+    pages = d.select(own, own.alias("page_ord"), F.concat_ws("-", "source", "lang", F.col("doc_id").cast("string")).alias("title"), "text", "lang")
     hits = pages.select("title", "lang").distinct().join(F.broadcast(_searches(spark).select("query_ord", "lang")), "lang").select("query_ord", "title")
     return pages.drop("lang"), hits
 
@@ -141,7 +150,7 @@ def filter_pages(spark, sf_dir):
     angles = spark.createDataFrame([(0, "of that and", ["the erst"]), (1, "other", ["the erst", "les eaux"])], "angle_ord int, argument string, search_queries array<string>")
     queries = retrieval.with_argument(_searches(spark).select("query_ord", "query"), angles)
     kept, _ = retrieval.filtered(queries, numbered, pages, ("title", "text"), min_terms=1)
-    return kept.select("query_ord", "pageid", "title", "position")
+    return kept.select("query_ord", F.floor(F.col("pageid") / 2).cast("long").alias("pageid"), "title", "position")
 
 
 def _wiki(spark, sf_dir):
@@ -225,8 +234,7 @@ def used_refs(spark, sf_dir):
 
 def lineage(spark, sf_dir):
     """Which searches found a title, and whether the filter kept it."""
-    _, hits = _hits(spark, sf_dir)
-    hits = hits.join(F.broadcast(_searches(spark).select("query_ord", "query")), "query_ord")
+    hits = _title_hits(spark, sf_dir).join(F.broadcast(_searches(spark).select("query_ord", "query")), "query_ord")
     out = reports.title_queries(hits, hits.where("query_ord < 4").select("title"))
     return out.select("title", F.array_join("queries", ",").alias("queries"), "kept")
 
