@@ -43,7 +43,7 @@ def buckets(assessments: DataFrame) -> DataFrame:
     return assessments.agg(*[F.count_if(c).alias(f"n_{n}") for n, c in names.items()])
 
 
-def domain_report(links: DataFrame, probes: DataFrame, least: int = 1, most: int = 1000) -> DataFrame:
+def domain_report(links: DataFrame, probes: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
     """bucket, n, origin, top_url, issue_type, rank within the bucket: whitelisted origins unprobed, the others by the probe of their most frequent URL."""
     top = domain_frequency(links, least, most)
     known = urls.whitelisted(F.col("top_url"))
