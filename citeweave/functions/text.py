@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The white space that browsers' \s and trim() know; Java's \s is ASCII only.
-WS = r"[\t\n\x0B\f\r    -     　﻿]"
+WS_CHARS = "\t\n\x0b\f\r   " + "".join(map(chr, range(0x2000, 0x200B))) + "    　﻿"
+WS = f"[{WS_CHARS}]"
 
 
 def replaced(c: Column, *steps: tuple[str, str]) -> Column:
@@ -17,7 +18,12 @@ def replaced(c: Column, *steps: tuple[str, str]) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return replaced(c, (f"^{WS}+|{WS}+$", ""))
+    return F.btrim(c, F.lit(WS_CHARS))
+
+
+def safe_text(c: Column) -> Column:
+    """Trimmed; null is empty."""
+    return F.coalesce(trimmed(c), F.lit(""))
 
 
 def or_null(c: Column) -> Column:
@@ -30,35 +36,51 @@ def slug(c: Column) -> Column:
     return F.coalesce(or_null(x), F.lit("untitled"))
 
 
+#: Fixed value: reference tags with what they enclose; the lazy form also starts at a self-closing tag.
+ANY_REF = r"(?i)<ref[\s\S]*?</ref\s*>|<ref[^>]*/\s*>"
+
+
 def without_refs(c: Column) -> Column:
-    """Reference tags with what they enclose; the lazy form also starts at a self-closing tag."""
-    return trimmed(replaced(c, (r"(?i)<ref[\s\S]*?</ref\s*>|<ref[^>]*/\s*>", "")))
+    return trimmed(replaced(c, (ANY_REF, "")))
 
 
 def refs_marked(c: Column) -> Column:
-    return replaced(c, (r"(?i)<ref[\s\S]*?</ref\s*>|<ref[^>]*/\s*>", "[REF]"))
+    return replaced(c, (ANY_REF, "[REF]"))
+
+
+#: Links as their text, quotes, tags; then templates, from the innermost out.
+MARKUP = ((r"\[\[([^\]|]+\|)?([^\]]+)\]\]", "$2"), ("''([^']*)''", "$1"), ("'{2,3}([^']*)'{2,3}", "$1"), ("<[^>]+>", ""))
+TEMPLATE = r"\{\{[^{}]*\}\}"
 
 
-def without_markup(c: Column, depth: int = 8) -> Column:
-    """Links as their text, quotes and tags gone, templates gone from the innermost out (to a depth)."""
-    x = replaced(c, (r"\[\[([^\]|]+\|)?([^\]]+)\]\]", "$2"), ("''([^']*)''", "$1"), ("'{2,3}([^']*)'{2,3}", "$1"), ("<[^>]+>", ""))
-    return trimmed(replaced(x, *[(r"\{\{[^{}]*\}\}", "")] * depth))
+def without_markup(c: Column) -> Column:
+    """Links as their text, quotes and tags gone, templates gone however deeply they nest.
+
+    Each round takes at least two opening braces, so half their number of rounds is enough; rounds after the first that changes nothing cost nothing.
+    """
+    text = replaced(c, *MARKUP)
+    rounds = F.array_repeat(F.lit(0), F.when(F.contains(text, F.lit("{{")), F.floor((F.length(text) - F.length(F.translate(text, "{", ""))) / 2)).otherwise(0).cast("int"))
+    state = lambda t, more: F.struct(t.alias("t"), more.alias("more"))
+    step = lambda a, _: F.when(a["more"], state(F.regexp_replace(a["t"], TEMPLATE, ""), F.regexp_like(a["t"], F.lit(TEMPLATE)))).otherwise(a)
+    return trimmed(F.aggregate(rounds, state(text, F.lit(True)), step, lambda a: a["t"]))
 
 
 def section_titles(c: Column) -> Column:
     """Header lines' titles, templates dropped and links resolved, in one string."""
     found = F.regexp_extract_all(c, F.lit(r"(?m)^\s*(={2,6})\s*(.+?)\s*\1\s*$"), 2)
-    clean = F.transform(found, lambda t: trimmed(replaced(t, (r"\{\{[^}]*\}\}", ""), (r"\[\[([^\]|]+\|)?([^\]]+)\]\]", "$2"))))
+    clean = F.transform(found, lambda t: trimmed(replaced(t, (r"\{\{[^}]*\}\}", ""), (r"\[\[([^|\]]*\|)?([^\]]+)\]\]", "$2"))))
     return F.array_join(F.filter(clean, lambda t: F.length(t) > 0), " ")
 
 
 def clean_content(c: Column) -> Column:
-    return trimmed(replaced(c, (r"\[REF\]", ""), ("''+", "'"), (f"{WS}+", " ")))
+    return trimmed(replaced(F.replace(F.replace(c, F.lit("[REF]"), F.lit("")), F.lit("''"), F.lit("'")), (f"{WS}+", " ")))
 
 
 def html_escaped(c: Column, quote: bool = False) -> Column:
-    x = replaced(c, ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
-    return replaced(x, ("'", "&#39;")) if quote else x
+    """The four signs that HTML needs escaped, with ``quote`` the apostrophe too."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")) + ((("'", "&#39;"),) if quote else ()):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return c
 
 
 def script_safe(c: Column) -> Column:
@@ -108,15 +130,25 @@ def image_extension(url: Column) -> Column:
     return F.coalesce(or_null(F.lower(F.regexp_extract(url, r"\.([A-Za-z]{3,4})(?:\?|$)", 1))), F.lit("jpg"))
 
 
+def percent(part: Column, whole: Column) -> Column:
+    """Per cent of a whole, 100 at most; 0 of nothing."""
+    return F.when(whole > 0, F.least(F.lit(100.0), 100.0 * part / whole)).otherwise(0.0)
+
+
+def section_text(paragraphs: Column) -> Column:
+    """A section's paragraphs (strings) in one line, empty ones left out."""
+    return F.array_join(F.filter(paragraphs, lambda p: F.coalesce(p, F.lit("")) != ""), " ")
+
+
 def shortened(c: Column, most: int = 80) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 3), F.lit("…"))).otherwise(c)
 
 
 def without_fence(c: Column) -> Column:
-    """What one fence around a whole answer encloses; else the answer, trimmed."""
+    """What one fence (with the mark json or none) around a whole answer encloses; else the answer, trimmed."""
     x = trimmed(c)
-    inner = F.regexp_extract(x, r"^```(?:[A-Za-z]+)?\s*\n?([\s\S]*?)\n?```$", 1)
-    return F.when(x.startswith("```") & (inner != ""), trimmed(inner)).otherwise(x)
+    inner = F.regexp_extract(x, r"^```(?:json)?\s*([\s\S]*?)```\s*$", 1)
+    return F.when(F.regexp_like(x, F.lit(r"^```(?:json)?\s*[\s\S]*?```\s*$")), trimmed(inner)).otherwise(x)
 
 
 def parsed_json(c: Column, schema: str) -> Column:

@@ -12,7 +12,14 @@ WHITELIST = (
 )
 #: Substrings of links that are left out.
 EXCLUDED = ("pqarchiver.com", "pqasb.pqarchiver.com", "archive.org", "web.archive.org", "scribd.com", "jstor.org", "link.springer.com", "proquest.com", "ebscohost.com", "facebook.com")
+#: Paths of a site's home, and words of an error's message with the issue they stand for, in order.
 HOME = ("/", "/index", "/index.html", "/index.htm")
+ISSUES = (
+    ("connection_timeout", ("timeout", "timed out")),
+    ("dns_failed", ("name resolution", "nodename", "getaddrinfo")),
+    ("connection_refused", ("connection refused",)),
+    ("ssl_error", ("ssl", "certificate")),
+)
 
 
 def host(url: Column) -> Column:
@@ -46,10 +53,15 @@ def excluded(url: Column, patterns=EXCLUDED) -> Column:
     return F.exists(F.array(*map(F.lit, patterns)), lambda p: F.contains(F.lower(url), p))
 
 
+def bare_path(url: Column) -> Column:
+    """The path without one closing slash; a root path stays."""
+    return F.coalesce(F.nullif(F.regexp_replace(path(url), "/$", ""), F.lit("")), F.lit("/"))
+
+
 def comparable(url: Column) -> Column:
-    """Scheme, host, path without one closing slash, query."""
-    query = F.try_parse_url(url, F.lit("QUERY"))
-    return F.concat(scheme(url), F.lit("://"), host(url), F.regexp_replace(path(url), "/$", ""), F.when(query.isNull(), "").otherwise(F.concat(F.lit("?"), query)))
+    """Scheme, host, bare path, query; port and fragment don't count."""
+    query = F.nullif(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
+    return F.concat(scheme(url), F.lit("://"), host(url), bare_path(url), F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
 
 
 def differ(a: Column, b: Column) -> Column:
@@ -61,17 +73,29 @@ def same_site(a: Column, b: Column) -> Column:
     return (x == y) | x.endswith(F.concat(F.lit("."), y)) | y.endswith(F.concat(F.lit("."), x))
 
 
+def is_home(url: Column) -> Column:
+    """Whether the path is a site's home; case counts. False for what is no URL."""
+    return host(url).isNotNull() & bare_path(url).isin(*HOME)
+
+
 def to_home(url: Column, final: Column) -> Column:
-    return F.coalesce(same_site(url, final) & F.lower(path(final)).isin(*HOME), F.lit(False))
+    return F.coalesce(same_site(url, final) & is_home(final), F.lit(False))
 
 
 def issue_of_error(message: Column) -> Column:
-    m = F.lower(message)
-    has = lambda *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(m, w))
-    return (
-        F.when(has("timeout", "timed out"), "connection_timeout").when(has("enotfound", "getaddrinfo", "dns"), "dns_failed").when(has("econnrefused", "refused"), "connection_refused")
-        .when(has("ssl", "tls", "cert"), "ssl_error").otherwise("connection_failed")
-    )
+    """The first issue whose words the message holds; connection_failed if none."""
+    low, out = F.lower(message), F.lit("connection_failed")
+    for issue, words in reversed(ISSUES):
+        out = F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), issue).otherwise(out)
+    return out
+
+
+def safe_url(url: Column, site: str | None = None) -> Column:
+    """The URL if it is one of http or https, else '#'. With a site, what has no scheme is a path of it."""
+    if site:
+        url = F.when(F.regexp_like(url, F.lit("(?i)^[a-z][a-z0-9+.-]*:")), url).when(url != "", F.concat(F.lit(site.rstrip("/") + "/"), F.regexp_replace(url, "^/", "")))
+    known = F.regexp_like(F.coalesce(url, F.lit("")), F.lit(r"(?i)^https?://[^/?#\s]")) & F.try_parse_url(url, F.lit("HOST")).isNotNull()
+    return F.when(known, url).otherwise("#")
 
 
 def classified(url: Column, status: Column, status_text: Column, final: Column, error: Column, aborted: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.text import WS, citation_key
+from ..functions.text import WS, citation_key, clean_content
 from .retrieval import first_by
 
 TYPES = ("web", "news", "journal", "magazine", "report", "dictionary", "encyclopedia")
@@ -15,7 +15,7 @@ TYPES = ("web", "news", "journal", "magazine", "report", "dictionary", "encyclop
 def matched(terms: DataFrame, hits: DataFrame, pages: DataFrame, types=TYPES, patterns=urls.EXCLUDED, min_length: int = 5) -> DataFrame:
     """Candidates: term_ord, term, hit_ord, para_ord, cite_ord, link, title, content, article_title, section.
 
-    terms: term_ord, query_ord, term. A paragraph matches if it holds one of the term's longer words; a term without such words matches nothing. pages as wikitext.parsed() gives them.
+    terms: term_ord, query_ord, term. A paragraph matches if it holds one of the term's longer words; a term without such words matches nothing. pages as wikitext.with_paragraphs() gives them.
     """
     words = F.filter(F.split(F.lower(F.trim(F.coalesce("term", F.lit("")))), f"{WS}+"), lambda w: F.length(w) >= min_length)
     asked = terms.withColumn("words", words).where(F.size("words") > 0).join(hits.select("query_ord", "hit_ord", "pageid"), "query_ord")
@@ -53,14 +53,22 @@ def extracted(candidates: DataFrame, assessments: DataFrame, top: int = 6, least
     return accepted(one.unionByName(two), assessments)
 
 
-def flat(citations: DataFrame, most: int = 80) -> DataFrame:
-    """id (from 1), text, link, title: http citations once by link and title in term order, the first ones."""
-    once = first_by(citations.where(F.col("link").startswith("http")), ["link", "title"], "term_ord", "rank")
-    order = Window.orderBy("term_ord", "rank")
-    numbered = once.orderBy("term_ord", "rank").limit(most).withColumn("id", F.row_number().over(order))  # at most so many rows
-    return numbered.select("id", F.coalesce(F.nullif("content", F.lit("")), F.col("title")).alias("text"), "link", "title")
+def flat(citations: DataFrame, most: int = 80, any_link: bool = False, run: tuple[str, ...] = ()) -> DataFrame:
+    """id (from 1), text, link, title: citations once by link and title in term order, the first ones; only http links unless any_link. With run, a numbering for each value of its columns."""
+    rows = citations.withColumns({"title": F.coalesce("title", F.lit("")), "content": F.coalesce(clean_content(F.col("content")), F.lit(""))})
+    once = first_by(rows if any_link else rows.where(F.col("link").startswith("http")), [*run, "link", "title"], "term_ord", "rank")
+    if run:
+        first = once.withColumn("id", F.row_number().over(Window.partitionBy(*run).orderBy("term_ord", "rank"))).where(F.col("id") <= most)
+    else:
+        first = once.orderBy("term_ord", "rank").limit(most).withColumn("id", F.row_number().over(Window.orderBy("term_ord", "rank")))  # at most so many rows
+    return first.select(*run, "id", F.coalesce(F.nullif("content", F.lit("")), F.col("title")).alias("text"), "link", "title")
 
 
-def shown_numbers(flat_citations: DataFrame, most: int = 50) -> DataFrame:
+def counts(candidates: DataFrame, got: DataFrame) -> DataFrame:
+    """One row: citations accepted, and candidates before the choice."""
+    return got.agg(F.count("*").alias("extracted")).join(F.broadcast(candidates.agg(F.count("*").alias("raw_extracted"))))  # a row each
+
+
+def shown_numbers(flat_citations: DataFrame, most: int = 50, run: tuple[str, ...] = ()) -> DataFrame:
     """link, number: the first position of each link among the first ones."""
-    return flat_citations.where(F.col("id") <= most).groupBy("link").agg(F.min("id").alias("number"))
+    return flat_citations.where(F.col("id") <= most).groupBy(*run, "link").agg(F.min("id").alias("number"))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from .ranking import numbered
+from .retrieval import first_by
 
 
 def domain_frequency(links: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
     """origin, n, top_url, top_n from (url, ord): how often each origin occurs and its most frequent URL (ties: first seen), for origins with least occurrences, the most frequent ones first."""
     by_url = links.withColumn("origin", urls.origin(F.col("url"))).where("origin is not null").groupBy("origin", "url").agg(F.count("*").alias("c"), F.min("ord").alias("first"))
-    out = by_url.groupBy("origin").agg(F.sum("c").alias("n"), F.max_by("url", F.struct(F.col("c"), -F.col("first"))).alias("top_url"), F.max("c").alias("top_n"), F.min("first").alias("first_ord"))
-    out = out.where(F.col("n") >= least)
-    return out.orderBy(F.col("n").desc(), "first_ord").limit(most) if most else out
+    out = by_url.groupBy("origin").agg(F.sum("c").alias("n"), F.min_by("url", F.struct(-F.col("c"), F.col("first"))).alias("top_url"), F.max("c").alias("top_n"), F.min("first").alias("first_ord"))
+    out = out.where(F.col("n") >= least).orderBy(F.col("n").desc(), "first_ord")
+    return out.limit(most) if most else out
 
 
 def assessed(probes: DataFrame) -> DataFrame:
@@ -43,17 +45,22 @@ def buckets(assessments: DataFrame) -> DataFrame:
     return assessments.agg(*[F.count_if(c).alias(f"n_{n}") for n, c in names.items()])
 
 
-def domain_report(links: DataFrame, probes: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
-    """bucket, n, origin, top_url, issue_type, rank within the bucket: whitelisted origins unprobed, the others by the probe of their most frequent URL."""
-    top = domain_frequency(links, least, most)
-    known = urls.whitelisted(F.col("top_url"))
-    probed = top.where(~known).join(assessed(probes).select(F.col("url").alias("top_url"), "link_status", "issue_type").dropDuplicates(["top_url"]), "top_url")
-    both = top.where(known).withColumns({"link_status": F.lit("whitelisted"), "issue_type": F.lit(None).cast("string")}).unionByName(probed.select(*top.columns, "link_status", "issue_type"))
-    order = Window.partitionBy("link_status").orderBy(F.col("n").desc(), "first_ord")
-    return both.select(F.col("link_status").alias("bucket"), "n", "origin", "top_url", "issue_type", F.row_number().over(order).alias("rank"))
+def cited_links(citations: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """url, ord of http links of citations (pageid, ord, type, url) of the types."""
+    return citations.where(F.col("type").isin(*types) & F.col("url").startswith("http")).select("url", F.struct("pageid", "ord").alias("ord"))
+
+
+def domain_report(links: DataFrame, probes: DataFrame, least: int = 1, most: int | None = None, full_url: bool = True) -> DataFrame:
+    """bucket, n, origin, top_url, issue_type, detail, rank within the bucket. Whitelisted origins need no probe; the others are judged by that of their most frequent URL, or of the origin itself; those without one are in the bucket unprobed."""
+    top = domain_frequency(links, least, most).withColumn("target", F.col("top_url" if full_url else "origin"))
+    known = urls.whitelisted(F.col("target"))
+    seen = first_by(assessed(probes), "url", "round", "time_ms").select(F.col("url").alias("target"), "link_status", "issue_type", "detail")
+    both = top.join(seen, "target", "left").withColumns({"bucket": F.when(known, "whitelisted").otherwise(F.coalesce("link_status", F.lit("unprobed"))), "issue_type": F.when(~known, F.col("issue_type")), "detail": F.when(~known, F.col("detail"))})
+    return numbered(both, ("bucket",), F.col("n").desc(), F.col("first_ord")).select("bucket", "n", "origin", "top_url", "issue_type", "detail", "rank")
 
 
 def dead_links(extracted: DataFrame, assessments: DataFrame) -> DataFrame:
-    """A row for each term and rank that uses a link that didn't pass; the title falls back to the link."""
+    """A row for each term and rank that uses a link that didn't pass. The title is that of the first citation with the link, else the link."""
     bad = assessments.where(~F.col("link_status").isin("probably_valid", "whitelisted")).select(F.col("url").alias("link"), "link_status", "issue_type")
-    return extracted.join(bad, "link").select("term", "rank", "link", F.coalesce(F.nullif("title", F.lit("")), F.col("link")).alias("title"), F.coalesce("issue_type", "link_status").alias("reason"))
+    first = extracted.groupBy("link").agg(F.min_by("title", F.struct("term_ord", "rank")).alias("first_title"))
+    return extracted.join(bad, "link").join(first, "link").select("term", "rank", "link", F.coalesce(F.nullif("first_title", F.lit("")), F.col("link")).alias("title"), F.coalesce("issue_type", "link_status").alias("reason"))

@@ -1,17 +1,23 @@
-"""Ranking by words and reciprocal rank fusion."""
+"""Ranking by words and reciprocal rank fusion.
+
+Texts are tokenised once, whatever the number of searches that found them; what a document says about the words asked for is a few numbers a row, and only these rows meet searches.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS
+from ..staging import few, sent, staged
 
 K1, B, DELTA = 1.2, 0.75, 1.0
 SPLIT = r"[^\p{L}\p{N}]+"
+#: Up to so many different words of all searches are part of the plan; of more, documents' words are joined to them.
+MOST_ASKED = 2000
 
 
-def tokens(c):
+def tokens(c: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), SPLIT), "")
 
 
@@ -21,24 +27,44 @@ def search_words(queries: DataFrame, min_length: int = 3) -> DataFrame:
     return queries.select("query_ord", F.explode(F.array_distinct(F.filter(words, lambda w: F.length(w) >= min_length))).alias("word"))
 
 
-def word_ranks(docs: DataFrame, words: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """query_ord, doc_ord, word, score, rank. docs: query_ord, doc_ord and fields; statistics are those of each query's own documents.
+def postings(docs: DataFrame, asked: DataFrame, fields: tuple[str, ...], most_asked: int = MOST_ASKED) -> DataFrame:
+    """doc_id, field, dl (tokens), found (array of token, tf): what each document says about the tokens in asked."""
+    wanted = asked.select("token").distinct()
+    long = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in fields])).alias("x")).select("doc_id", "x.*")
+    if few(wanted, most_asked):
+        listed = F.array(*map(F.lit, sorted(r["token"] for r in wanted.collect()))).cast("array<string>")  # most_asked rows at most
+        tf = F.transform(F.array_intersect("toks", listed), lambda t: F.struct(t.alias("token"), (F.size("toks") - F.size(F.array_remove("toks", t))).cast("long").alias("tf")))
+        return long.select("doc_id", "field", F.size("toks").alias("dl"), tf.alias("found"))
+    size = long.select("doc_id", "field", F.size("toks").alias("dl"))
+    tf = long.select("doc_id", "field", F.explode("toks").alias("token")).join(wanted, "token", "left_semi").groupBy("doc_id", "field", "token").agg(F.count("*").alias("tf"))
+    found = tf.groupBy("doc_id", "field").agg(F.collect_list(F.struct("token", "tf")).alias("found"))  # no more than a document's own words
+    return size.join(found, ["doc_id", "field"], "left").select("doc_id", "field", "dl", F.coalesce("found", F.array().cast("array<struct<token:string,tf:bigint>>")).alias("found"))
+
+
+def numbered(rows: DataFrame, keys: tuple[str, ...], *order: Column) -> DataFrame:
+    """rows with rank from 1 within each key. A key's rows are dealt by range over many tasks, so one that has most of the rows doesn't sort in one; order must leave no ties."""
+    dealt = staged(rows.repartitionByRange(*map(F.col, keys), *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, "_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")  # a row for each key and task
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return dealt.withColumn("_n", inside).join(counts, [*keys, "_part"]).withColumn("rank", (F.col("_before") + F.col("_n")).cast("int")).drop("_part", "_n", "_before")
+
+
+def word_ranks(docs: DataFrame, hits: DataFrame, words: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """query_ord, doc_ord, word, score, rank. docs: doc_id (once each) and fields; hits: query_ord, doc_id, doc_ord; words: query_ord, word. Statistics are those of each query's own hits.
 
-    Only documents' tokens that a word asks for are counted: a posting is a row, a text is none. Scores are rounded so that equal ones tie; ties go to the smaller doc_ord.
+    Scores are rounded so that equal ones tie; ties go to the smaller doc_ord.
     """
     asked = words.withColumn("token", F.explode(F.array_distinct(tokens(F.col("word")))))
-    long = docs.select("query_ord", "doc_ord", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in fields])).alias("x")).select("query_ord", "doc_ord", "x.*")
-    size = long.select("query_ord", "doc_ord", "field", F.size("toks").alias("dl"), "toks")
-    stats = size.groupBy("query_ord", "field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = asked.groupBy("query_ord").agg(F.collect_set("token").alias("wanted"))  # the words of one query
-    hits = size.join(wanted, "query_ord").select("query_ord", "doc_ord", "field", "dl", F.explode(F.filter("toks", lambda t: F.array_contains("wanted", t))).alias("token"))
-    tf = hits.groupBy("query_ord", "doc_ord", "field", "dl", "token").agg(F.count("*").alias("tf"))
+    seen = staged(postings(docs, asked, fields).join(hits.select("query_ord", "doc_id", "doc_ord"), "doc_id").select("query_ord", "doc_ord", "field", "dl", "found"))
+    stats = seen.groupBy("query_ord", "field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = seen.where(F.size("found") > 0).select("query_ord", "doc_ord", "field", "dl", F.inline("found")).join(sent(asked.select("query_ord", "token").distinct(), 100_000), ["query_ord", "token"], "left_semi")
     df = tf.groupBy("query_ord", "field", "token").agg(F.count("*").alias("df"))
     scored = tf.join(df, ["query_ord", "field", "token"]).join(stats, ["query_ord", "field"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     scored = scored.withColumn("s", idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) + DELTA))
     by_word = scored.join(asked, ["query_ord", "token"]).groupBy("query_ord", "word", "doc_ord").agg(F.round(F.sum("s"), 9).alias("score"))
-    return by_word.withColumn("rank", F.row_number().over(Window.partitionBy("query_ord", "word").orderBy(F.col("score").desc(), "doc_ord")))
+    return numbered(by_word, ("query_ord", "word"), F.col("score").desc(), F.col("doc_ord"))
 
 
 def fused(ranks: DataFrame, min_terms: int = 2, top_k: int = 10, rrf_k: int = 60) -> DataFrame:
@@ -47,6 +73,16 @@ def fused(ranks: DataFrame, min_terms: int = 2, top_k: int = 10, rrf_k: int = 60
     return sums.withColumn("position", F.row_number().over(Window.partitionBy("query_ord").orderBy(F.col("rrf").desc(), "doc_ord"))).where(F.col("position") <= top_k)
 
 
-def ranked(docs: DataFrame, queries: DataFrame, fields: tuple[str, ...], min_length: int = 3, **how) -> DataFrame:
-    """Pages by title, extract and section titles, or citations by blurb and sentence: the fields decide."""
-    return fused(word_ranks(docs, search_words(queries, min_length), fields), **how)
+def ranked(docs: DataFrame, hits: DataFrame, queries: DataFrame, fields: tuple[str, ...], min_length: int = 3, **how) -> DataFrame:
+    """query_ord, doc_ord, rrf, matched, position. Pages by title, extract and section titles (PAGE_FIELDS), or citations by blurb and sentence (CITATION_FIELDS): the fields decide."""
+    return fused(word_ranks(docs, hits, search_words(queries, min_length), fields), **how)
+
+
+PAGE_FIELDS = ("title", "extract", "section_titles")
+CITATION_FIELDS = ("blurb", "sentence")
+
+
+def ranked_citations(citations: DataFrame, queries: DataFrame, min_length: int = 5, min_terms: int = 2, top_k: int = 50, rrf_k: int = 60) -> DataFrame:
+    """query_ord, doc_ord, rrf, matched, position: citations (query_ord, doc_ord, blurb, sentence) of each query by its words in blurb and sentence."""
+    rows = citations.withColumn("doc_id", F.struct("query_ord", "doc_ord"))
+    return ranked(rows.select("doc_id", *CITATION_FIELDS), rows.select("query_ord", "doc_id", "doc_ord"), queries, CITATION_FIELDS, min_length, min_terms=min_terms, top_k=top_k, rrf_k=rrf_k)

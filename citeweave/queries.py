@@ -1,4 +1,4 @@
-"""Registry of the engine's queries over the sample tables, and the SQL that checks them."""
+"""Registry of the engine's queries over the sample tables. Their SQL is in oracles.py."""
 
 from __future__ import annotations
 
@@ -8,14 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text, urls
-from .operators import citations, links, ranking, reports, retrieval, wikitext
+from .operators import answers, citations, links, ranking, reports, retrieval, wikitext
+from .oracles import SQL
+from .samples import ANGLES, ERRORS, MARKED, SEARCHES, STATUSES, TYPES_USED
+from .staging import staged
 from .streaming import progress
 
-#: Eight searches, two a language of the documents; the words are frequent ones of the sample texts.
-SEARCHES = [(0, "en", "the erst", "of that and"), (1, "en", "tion thonti in", "ingly was"), (2, "fr", "les eaux", "de la mente"), (3, "fr", "une elle", "pour avec"), (4, "de", "und nicht", "der die ung"), (5, "de", "von sich", "ein mit"), (6, "es", "que para", "los una"), (7, "es", "por esa", "del como")]
-TYPES_USED = ("web", "news")
-
-
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,42 +26,44 @@ def _documents(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _links(spark, sf_dir) -> DataFrame:
+    """page_id, url: each page's own, or for some a host that needs no probe, or one with a port."""
+    p = F.col("page_id")
+    return _t(spark, sf_dir, "pages").select("page_id", F.when(p % 13 == 5, F.concat(F.lit("https://www.reuters.com/a/"), p.cast("string"))).when(p % 13 == 6, F.concat(F.lit("http://Site"), (p % 4).cast("string"), F.lit(".example.com:8080/a/"), p.cast("string"))).otherwise(F.col("url")).alias("url"))
+
+
 def _probes(spark, sf_dir) -> DataFrame:
-    """A probe for each page's URL, its outcome a function of page_id."""
-    kind = F.col("page_id") % 11
-    statuses = F.array(*map(F.lit, (200, 200, 200, 401, 403, 404, 405, 410, 429, 503)))
+    """A probe for each link, its outcome a function of page_id."""
+    p = F.col("page_id")
+    kind = p % 14
     home = F.concat(F.regexp_extract("url", "^(https?://[^/?#]+)", 1), F.lit("/"))
-    return _t(spark, sf_dir, "pages").select(
-        "page_id", "url", F.when(kind < 10, F.get(statuses, kind)).alias("status"), F.lit("text").alias("status_text"),
-        F.when(kind == 1, F.concat(home, F.lit("moved/"), F.col("page_id").cast("string"))).when(kind == 2, home).otherwise(F.col("url")).alias("final_url"),
-        F.when(kind == 10, F.when(F.col("page_id") % 2 == 0, "getaddrinfo ENOTFOUND x").otherwise("socket timed out")).alias("error"),
-        (F.col("page_id") % 33 == 10).alias("aborted"), ((F.col("page_id") * 37) % 5000).cast("double").alias("time_ms"), (F.col("page_id") % 2 + 1).cast("int").alias("round"),
+    final = F.when(kind == 1, F.concat(home, F.lit("moved/"), p.cast("string"))).when(kind == 2, F.concat(home, F.lit("index.html/"))).when(kind == 3, F.concat(F.regexp_replace("url", "#.*", ""), F.lit("#part"))).otherwise(F.col("url"))
+    return _links(spark, sf_dir).select(
+        "page_id", "url", F.get(F.array(*map(F.lit, STATUSES)), kind).alias("status"), F.when(p % 2 == 0, "Some text").alias("status_text"), final.alias("final_url"),
+        F.when(kind >= len(STATUSES), F.get(F.array(*map(F.lit, ERRORS)), F.floor(p / 14) % len(ERRORS))).alias("error"),
+        (p % 42 == 13).alias("aborted"), ((p * 37) % 5000).cast("double").alias("time_ms"), (p % 2 + 1).cast("int").alias("round"),
     )
 
 
-_PROBES_SQL = """p0 AS (SELECT page_id, url, page_id % 11 AS kind, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/' AS home FROM pages),
-p1 AS (SELECT page_id, url, CASE WHEN kind < 10 THEN ([200, 200, 200, 401, 403, 404, 405, 410, 429, 503])[kind::INT + 1] END AS status,
-  CASE WHEN kind = 1 THEN home || 'moved/' || page_id WHEN kind = 2 THEN home ELSE url END AS final_url,
-  CASE WHEN kind = 10 AND page_id % 2 = 0 THEN 'dns' WHEN kind = 10 THEN 'timeout' END AS error, page_id % 33 = 10 AS aborted,
-  ((page_id * 37) % 5000)::DOUBLE AS time_ms, (page_id % 2 + 1)::INT AS round FROM p0),
-a AS (SELECT *, CASE WHEN aborted THEN 'timeout' WHEN error = 'timeout' THEN 'forbidden' WHEN error = 'dns' THEN 'invalid' WHEN status IN (401, 403) THEN 'forbidden' WHEN status <> 200 THEN 'invalid'
-    WHEN final_url <> url AND final_url LIKE '%/moved/%' THEN 'probably_valid' WHEN final_url <> url THEN 'invalid' ELSE 'probably_valid' END AS link_status,
-  CASE WHEN aborted OR error = 'timeout' THEN 'connection_timeout' WHEN error = 'dns' THEN 'dns_failed' WHEN status = 503 THEN 'http_5xx' WHEN status <> 200 THEN 'http_' || status
-    WHEN final_url <> url AND final_url LIKE '%/moved/%' THEN 'redirect' WHEN final_url <> url THEN 'redirect_to_home' END AS issue_type FROM p1)"""
-
-
 def domain_frequency(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages").select("url", F.col("page_id").alias("ord"))
     return links.domain_frequency(pages, 2).select("origin", "n", "top_url", "top_n")
 
 
+#: URLs made for a page: ports, case, fragments, listed and excluded hosts, a root, no URL at all.
+def _url_variants(spark, sf_dir) -> DataFrame:
+    p = F.col("page_id").cast("string")
+    made = F.array(F.col("url"), F.concat(F.lit("http://WWW.Site"), p, F.lit(".Example.com:8080/Index.html/?q=1#f")), F.concat(F.lit("https://www.nytimes.com/"), p), F.concat(F.lit("https://web.archive.org/x/"), p), F.lit("https://archive.nytimes.com:443/"), F.concat(F.lit("no url "), p))
+    return _t(spark, sf_dir, "pages").select("page_id", F.posexplode(made).alias("variant", "url"))
+
+
 def url_scalars(spark, sf_dir):
     u = F.col("url")
-    return _t(spark, sf_dir, "pages").select("page_id", urls.bare_host(u).alias("host"), urls.origin(u).alias("origin"), urls.comparable(u).alias("comparable"), urls.whitelisted(u).alias("listed"), urls.excluded(u).alias("excluded"))
+    return _url_variants(spark, sf_dir).select("page_id", "variant", urls.bare_host(u).alias("host"), urls.origin(u).alias("origin"), urls.comparable(u).alias("comparable"), urls.is_home(u).alias("home"), urls.whitelisted(u).alias("listed"), urls.excluded(u).alias("excluded"), urls.safe_url(u).alias("safe"))
 
 
 def assessed_links(spark, sf_dir):
-    return links.assessed(_probes(spark, sf_dir)).select("page_id", "link_status", "issue_type")
+    return links.assessed(_probes(spark, sf_dir)).select("page_id", "link_status", "issue_type", "detail")
 
 
 def link_timing(spark, sf_dir):
@@ -75,50 +75,68 @@ def link_buckets(spark, sf_dir):
 
 
 def link_domain_report(spark, sf_dir):
-    pages = _t(spark, sf_dir, "pages").select("url", F.col("page_id").alias("ord"))
-    return links.domain_report(pages, _probes(spark, sf_dir), 2).select("bucket", "n", "origin", "top_url", "issue_type", "rank")
+    """Some links have no probe."""
+    probes = _probes(spark, sf_dir)
+    return links.domain_report(probes.select("url", F.col("page_id").alias("ord")), probes.where("page_id % 17 <> 3"), 2).select("bucket", "n", "origin", "top_url", "issue_type", "detail", "rank")
 
 
 def text_scalars(spark, sf_dir):
     d = _documents(spark, sf_dir)
-    line = F.get(F.split("text", "\n"), F.lit(0))
+    t = F.col("text")
     ms = F.col("doc_id") * 7.5
     return d.select(
-        "doc_id", text.slug(line).alias("slug"), text.html_escaped(line).alias("html"), text.clean_content(F.concat(F.col("text"), F.lit(" [REF] x"))).alias("clean"),
-        text.without_refs(F.concat(line, F.lit("<ref>a</ref> b"))).alias("plain"), text.citation_key(F.col("source"), F.col("lang")).alias("key"), text.cite_phrase(F.concat(F.lit("{{ Cite  "), F.col("lang"), F.lit("|"))).alias("phrase"),
-        text.shown_ms(F.floor(ms)).alias("shown"), text.shortened(F.col("text")).alias("short"),
+        "doc_id", text.slug(t).alias("slug"), text.html_escaped(t).alias("html"), text.html_escaped(F.concat(t, F.lit("'")), True).alias("quoted"), text.clean_content(F.concat(t, F.lit(" [REF] x"))).alias("clean"),
+        text.without_refs(F.concat(t, F.lit("<ref>a</ref> b<ref name=c/>"))).alias("plain"), text.refs_marked(F.concat(t, F.lit("<ref>a</ref>"))).alias("marked"), text.without_markup(F.concat(t, F.lit(MARKED))).alias("bare"),
+        text.citation_key(F.when(F.col("doc_id") % 3 > 0, F.col("source")), F.when(F.col("doc_id") % 2 > 0, F.col("lang"))).alias("key"), text.cite_phrase(F.concat(F.lit("{{ Cite  "), F.col("lang"), F.lit("|"))).alias("phrase"),
+        text.shown_ms(F.floor(ms)).alias("shown"), text.shortened(t).alias("short"),
     )
 
 
+def display_scalars(spark, sf_dir):
+    o, k = _t(spark, sf_dir, "orders"), F.col("o_orderkey")
+    return o.select(
+        "o_orderkey", text.long_date(F.col("o_orderdate")).alias("date"), text.shown_cents((k % 997) / 10000).alias("cents"), text.wiki_url(F.concat(F.lit("It's (a) ~"), F.col("o_orderpriority"), F.lit("! *"))).alias("wiki"),
+        text.image_extension(F.concat(F.lit("http://x/y"), F.when(k % 3 == 0, ".PNG?x=1").when(k % 3 == 1, ".jpeg").otherwise("/none"))).alias("extension"), text.script_safe(F.concat(F.lit("a</SCRIPT>"), k.cast("string"))).alias("script"),
+        F.round(text.percent(k % 50, k % 40), 6).alias("percent"), text.safe_text(F.when(k % 5 > 0, F.concat(F.lit(" \t"), F.col("o_orderstatus"), F.lit("\n ")))).alias("safe"),
+    )
+
+
+def search_plans(spark, sf_dir):
+    """The first eight queries that aren't blank, and the angles' queries where there are none."""
+    d = _documents(spark, sf_dir)
+    found = F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 11 + 1).cast("int")), lambda i: F.when(i == 3, " ").otherwise(F.concat(F.col("source"), F.lit(" "), i.cast("string"))))
+    angles = F.array(F.struct(F.array(F.col("lang"), F.lit("")).alias("search_queries")), F.struct(F.lit(None).cast("array<string>").alias("search_queries")), F.struct(F.array(F.col("source")).alias("search_queries")))
+    own = F.when(F.col("doc_id") % 3 > 0, text.first_queries(found)).otherwise(F.array().cast("array<string>"))
+    return d.select("doc_id", F.array_join(text.queries_or_fallback(own, angles), "|").alias("queries"))
+
+
 def _ranked(spark, sf_dir):
-    docs = _documents(spark, sf_dir).join(F.broadcast(_searches(spark).select("query_ord", "lang")), "lang")  # eight rows
-    docs = docs.select("query_ord", F.col("doc_id").alias("doc_ord"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.col("text").alias("body"))
-    return docs, _searches(spark).select("query_ord", F.array("query", "argument").alias("terms"))
+    """Documents as pages with a title (the first line), an extract (the text) and section titles (every third line's words), the hits of searches in their language, and the searches."""
+    docs = _documents(spark, sf_dir)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0)
+    heads = F.filter(F.transform(lines, lambda x, i: F.when(i % 3 == 1, F.concat(F.lit("== "), F.regexp_replace(F.substring(x, 1, 40), r"[^\p{L}\p{N} ]", ""), F.lit(" ==\n")))), lambda h: h.isNotNull())
+    pages = docs.select(F.col("doc_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.col("text").alias("extract"), text.section_titles(F.array_join(heads, "\n")).alias("section_titles"))
+    hits = docs.select("doc_id", "lang").join(F.broadcast(_searches(spark).select("query_ord", "lang")), "lang").select("query_ord", "doc_id", F.col("doc_id").alias("doc_ord"))  # eight searches
+    return pages, hits, _searches(spark).select("query_ord", F.array("query", "argument").alias("terms"))
 
 
 def rank_pages(spark, sf_dir):
     """Flagship: the best documents of each search."""
-    docs, queries = _ranked(spark, sf_dir)
-    return ranking.ranked(docs, queries, ("title", "body"), min_length=3)
+    pages, hits, queries = _ranked(spark, sf_dir)
+    return ranking.ranked(pages, hits, queries, ranking.PAGE_FIELDS, min_length=3)
 
 
 def word_ranks(spark, sf_dir):
-    docs, queries = _ranked(spark, sf_dir)
-    return ranking.word_ranks(docs, ranking.search_words(queries), ("title", "body")).select("query_ord", "word", "doc_ord", "score", "rank")
+    pages, hits, queries = _ranked(spark, sf_dir)
+    return ranking.word_ranks(pages, hits, ranking.search_words(queries), ranking.PAGE_FIELDS).select("query_ord", "word", "doc_ord", "score", "rank")
 
 
-_TOK = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
-_RANK_SQL = f"""WITH q(query_ord, lang, query, argument) AS (VALUES {", ".join(str(s) for s in SEARCHES)}),
-w AS (SELECT DISTINCT query_ord, unnest(string_split_regex(lower(query || ' ' || argument), '\\s+')) AS word FROM q),
-ww AS (SELECT * FROM w WHERE length(word) >= 3), wt AS (SELECT DISTINCT query_ord, word, unnest({_TOK.format("word")}) AS token FROM ww),
-f AS (SELECT query_ord, doc_id AS doc_ord, 'title' AS field, {_TOK.format("coalesce(string_split(text, chr(10))[1], '')")} AS toks FROM documents d JOIN q USING (lang)
-  UNION ALL SELECT query_ord, doc_id, 'body', {_TOK.format("coalesce(text, '')")} FROM documents d JOIN q USING (lang)),
-st AS (SELECT query_ord, field, count(*) AS n, avg(len(toks)) AS avgdl FROM f GROUP BY ALL),
-tf AS (SELECT query_ord, doc_ord, field, len(toks) AS dl, token, len(list_filter(toks, lambda x: x = token)) AS tf FROM f JOIN (SELECT DISTINCT query_ord, token FROM wt) USING (query_ord)),
-df AS (SELECT query_ord, field, token, count(*) AS df FROM tf WHERE tf > 0 GROUP BY ALL),
-s AS (SELECT query_ord, token, doc_ord, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) + 1) AS s FROM tf JOIN df USING (query_ord, field, token) JOIN st USING (query_ord, field) WHERE tf > 0),
-b AS (SELECT query_ord, word, doc_ord, round(sum(s), 9) AS score FROM s JOIN wt USING (query_ord, token) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_ord, word ORDER BY score DESC, doc_ord)::INT AS rank FROM b)"""
+def rank_citations(spark, sf_dir):
+    """The best citations of each search among those of the pages in its language, by blurb and sentence."""
+    found = wikitext.citations(wikitext.with_sentences(_wiki(spark, sf_dir)))
+    rows = found.join(_documents(spark, sf_dir).select(F.col("doc_id").alias("pageid"), "lang"), "pageid").join(F.broadcast(_searches(spark).select("query_ord", "lang")), "lang")
+    rows = rows.select("query_ord", (F.col("pageid") * 100_000 + F.col("ref_ord")).alias("doc_ord"), "blurb", "sentence")
+    return ranking.ranked_citations(staged(rows), _searches(spark).select("query_ord", F.array("query", "argument").alias("terms")), min_length=3)
 
 
 def page_union(spark, sf_dir):
@@ -129,11 +147,6 @@ def page_union(spark, sf_dir):
     return retrieval.united(hits, ("source",)).select("pageid", "source", F.array_join("queries", ",").alias("queries"), "first_query")
 
 
-def _title_hits(spark, sf_dir):
-    pages = _documents(spark, sf_dir).select(F.concat_ws("-", "source", "lang", (F.col("doc_id") % 50).cast("string")).alias("title"), "lang")
-    return pages.distinct().join(F.broadcast(_searches(spark).select("query_ord", "lang")), "lang").select("query_ord", "title")
-
-
 def _hits(spark, sf_dir):
     """Every document as a page with a title of its own, and hits on all titles. Every 50th document has a second, later page of the same title, which doesn't count."""
     later = F.explode(F.when(F.col("doc_id") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("later")
@@ -144,40 +157,69 @@ def _hits(spark, sf_dir):
     return pages.drop("lang"), hits
 
 
-def filter_pages(spark, sf_dir):
+def _filtered(spark, sf_dir):
     pages, hits = _hits(spark, sf_dir)
-    numbered = retrieval.hit_pages(hits, pages).select("query_ord", "title", F.col("page_ord").alias("hit_ord"))
-    angles = spark.createDataFrame([(0, "of that and", ["the erst"]), (1, "other", ["the erst", "les eaux"])], "angle_ord int, argument string, search_queries array<string>")
+    numbered = retrieval.hit_pages(hits, pages.select("title", "page_ord")).select("query_ord", "title", F.col("page_ord").alias("hit_ord"))
+    angles = retrieval.arguments(spark.createDataFrame(ANGLES, "angle_ord int, argument string, search_queries array<string>"))
     queries = retrieval.with_argument(_searches(spark).select("query_ord", "query"), angles)
-    kept, _ = retrieval.filtered(queries, numbered, pages, ("title", "text"), min_terms=1)
+    kept, left = retrieval.filtered(queries, numbered, pages, ("title", "text"), min_terms=1)
+    return numbered, kept, left
+
+
+def filter_pages(spark, sf_dir):
+    _, kept, _ = _filtered(spark, sf_dir)
     return kept.select("query_ord", F.floor(F.col("pageid") / 2).cast("long").alias("pageid"), "title", "position")
 
 
+def filtered_titles(spark, sf_dir):
+    """What the filter left of each search's hits; the rest of the pages are gone."""
+    hits, kept, left = _filtered(spark, sf_dir)
+    titles = retrieval.pruned(hits, kept).select("query_ord", F.array_join("titles", "|").alias("titles"))
+    return titles.join(F.broadcast(left.agg(F.count("*").alias("pages"))))  # one row
+
+
+def extraction_hits(spark, sf_dir):
+    """Of pages that share a title the extraction takes the last one."""
+    pages, hits = _hits(spark, sf_dir)
+    return retrieval.hit_pages(hits, pages.select("title", "page_ord", "pageid"), last_wins=True).select("query_ord", "title", "pageid")
+
+
+def belief_data(spark, sf_dir):
+    """Known beliefs by exact key, others made from the belief."""
+    known = spark.createDataFrame([("en", "known en", "K1"), ("fr", "known fr", "K2")], "belief string, title string, source string")
+    rows = _documents(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.substring("text", 1, 90)).alias("belief"))
+    return retrieval.looked_up(rows, known, "belief", {"title": F.concat(F.lit('Analyst: "'), text.shortened(F.col("belief")), F.lit('"')), "source": F.lit("made")}).select("doc_id", "title", "source")
+
+
 def _wiki(spark, sf_dir):
     d = _documents(spark, sf_dir)
     return d.select(F.col("doc_id").alias("pageid"), F.concat_ws("-", "source", "lang", F.col("doc_id").cast("string")).alias("title"), wikitext.constructed(F.col("text"), F.col("doc_id")).alias("source"))
 
 
 def parsed_citations(spark, sf_dir):
-    out = wikitext.citations(wikitext.parsed(_wiki(spark, sf_dir)))
+    out = wikitext.citations(wikitext.with_sentences(_wiki(spark, sf_dir)))
+    return out.select("pageid", "ref_ord", "type", "url", "blurb", "sentence", "section")
+
+
+def citation_counts(spark, sf_dir):
+    out = wikitext.citations(wikitext.with_sentences(_wiki(spark, sf_dir)))
     return out.groupBy("pageid", "type").agg(F.count("*").alias("n"), F.count("url").alias("n_urls"), F.max("blurb").alias("last_blurb"), F.count_distinct("url").alias("n_links"))
 
 
-_LINES_SQL = """d AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(x) > 0) AS ls FROM documents),
-l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS i FROM d),
-k AS (SELECT *, (doc_id + i) % 6 AS kind, doc_id || '-' || i AS id, 'https://host' || ((doc_id + i) % 7) || '.example.org/' || doc_id || '-' || i AS url FROM l),
-named AS (SELECT doc_id, arg_min(url, i) AS nurl, arg_min(id, i) AS nid FROM k WHERE kind = 3 GROUP BY doc_id),
-c AS (SELECT k.doc_id, i, CASE kind WHEN 2 THEN 'web' WHEN 5 THEN 'book' ELSE 'news' END AS type, CASE WHEN kind = 4 THEN nurl ELSE url END AS url, 'T' || CASE WHEN kind = 4 THEN nid ELSE id END AS blurb
-  FROM k LEFT JOIN named USING (doc_id) WHERE kind IN (2, 3, 5) OR kind = 4 AND nid IS NOT NULL)"""
+def corpus_link_report(spark, sf_dir):
+    """From pages to origins: citations, their links, the origins' own probes."""
+    found = wikitext.citations(wikitext.with_sentences(_wiki(spark, sf_dir)))
+    probes = spark.range(7).select(F.concat(F.lit("https://host"), F.col("id").cast("string"), F.lit(".example.org")).alias("url"), F.get(F.array(F.lit(200), F.lit(404), F.lit(403)), F.col("id") % 3).alias("status"), F.lit("T").alias("status_text"), F.lit(1).alias("round"), F.lit(1.0).alias("time_ms"), F.lit(False).alias("aborted"), F.lit(None).cast("string").alias("error")).withColumn("final_url", F.col("url"))
+    return links.domain_report(links.cited_links(found, TYPES_USED), probes, full_url=False).select("bucket", "n", "origin", "top_url", "issue_type", "detail", "rank")
 
 
 def cite_type_report(spark, sf_dir):
     files = _wiki(spark, sf_dir).select(F.concat(F.lit("f"), (F.col("pageid") % 3).cast("string")).alias("file"), "source")
-    return reports.cite_types(files).select("type", "n", F.array_join("files", ",").alias("files"))
+    return reports.cite_types(files).select("type", "n", F.array_join("files", ",").alias("files"), "rank")
 
 
 def _candidates(spark, sf_dir):
-    pages = wikitext.parsed(_wiki(spark, sf_dir))
+    pages = wikitext.with_paragraphs(_wiki(spark, sf_dir))
     s = _searches(spark)
     terms = s.select((F.col("query_ord") * 2).alias("term_ord"), "query_ord", F.col("query").alias("term")).union(s.select((F.col("query_ord") * 2 + 1).alias("term_ord"), "query_ord", F.col("argument").alias("term")))
     hits = _documents(spark, sf_dir).join(F.broadcast(s.select("query_ord", "lang")), "lang").select("query_ord", F.col("doc_id").alias("hit_ord"), F.col("doc_id").alias("pageid"))
@@ -185,24 +227,32 @@ def _candidates(spark, sf_dir):
 
 
 def term_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir).groupBy("term_ord").agg(F.count("*").alias("n"), F.count_distinct("link").alias("n_links"))
+    return _candidates(spark, sf_dir).select("term_ord", "hit_ord", "type", "link", "title", "content", "article_title", "section")
 
 
 def _assess(candidates):
-    good = F.abs(F.xxhash64("link")) % 3 != 0
+    good = F.regexp_extract("link", "^https://host([0-9])", 1).cast("int") % 3 != 0
     return candidates.select("link").distinct().select(F.col("link").alias("url"), F.when(good, "probably_valid").otherwise("invalid").alias("link_status"), F.when(~good, F.lit("http_404")).alias("issue_type"))
 
 
+def _extracted(spark, sf_dir):
+    """Candidates are found once and written; what follows reads them."""
+    c = staged(_candidates(spark, sf_dir))
+    return c, citations.extracted(c, _assess(c), least=4)
+
+
 def extracted_citations(spark, sf_dir):
-    c = _candidates(spark, sf_dir)
-    return citations.extracted(c, _assess(c), least=4).select("term_ord", "rank", "round", "link", "title")
+    return _extracted(spark, sf_dir)[1].select("term_ord", "rank", "round", "link", "title", "content")
 
 
+def extraction_counts(spark, sf_dir):
+    return citations.counts(*_extracted(spark, sf_dir))
 
 
 def flat_citations(spark, sf_dir):
     p = _t(spark, sf_dir, "pages")
-    c = p.select((F.col("page_id") % 9).cast("int").alias("term_ord"), F.col("page_id").alias("rank"), F.regexp_replace("url", r"\?.*", "").alias("link"), F.lit("t").alias("title"), F.when(F.col("page_id") % 2 == 0, "").otherwise(F.concat(F.lit("c"), F.col("page_id").cast("string"))).alias("content"))
+    content = F.when(F.col("page_id") % 2 == 0, "").otherwise(F.concat(F.lit("c [REF]  "), F.col("page_id").cast("string"), F.lit(" ''x'' ")))
+    c = p.select((F.col("page_id") % 9).cast("int").alias("term_ord"), F.col("page_id").alias("rank"), F.regexp_replace("url", r"\?.*", "").alias("link"), F.lit("t").alias("title"), content.alias("content"))
     return citations.flat(c)
 
 
@@ -226,17 +276,69 @@ def token_deltas(spark, sf_dir):
     return reports.deltas(s)
 
 
-def used_refs(spark, sf_dir):
+def _parts(spark, sf_dir):
+    """Turns of conversations as parts of articles, with links put behind them."""
     c = _t(spark, sf_dir, "conversations")
-    parts = c.select(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("slug"), F.col("turn").alias("part"), F.concat(F.lit("see [a]("), (F.col("conv_id") % 90).cast("string"), F.lit(") and [b]("), (F.col("turn") + 1).cast("string"), F.lit(") [c](http://u)")).alias("text"))
-    return reports.used_refs(parts, flat_citations(spark, sf_dir))
+    return c.select(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("slug"), F.col("turn").alias("part"), F.concat(F.coalesce("text", F.lit("")), F.lit(" see [a]("), (F.col("conv_id") % 90).cast("string"), F.lit(") and [b]("), (F.col("turn") + 1).cast("string"), F.lit(") [c](http://u)")).alias("text"))
+
+
+def used_refs(spark, sf_dir):
+    return reports.used_refs(_parts(spark, sf_dir), flat_citations(spark, sf_dir))
+
+
+def article_links(spark, sf_dir):
+    """Links of articles as HTML, with the numbers of the report."""
+    flat = flat_citations(spark, sf_dir)
+    ids = flat.agg(F.map_from_entries(F.collect_list(F.struct("id", "link"))).alias("ids"))  # 80 entries
+    numbers = citations.shown_numbers(flat).agg(F.map_from_entries(F.collect_list(F.struct("link", "number"))).alias("numbers"))
+    rows = _parts(spark, sf_dir).join(F.broadcast(ids)).join(F.broadcast(numbers))  # one row each
+    return rows.select("slug", "part", answers.linked(F.col("text"), F.col("ids"), F.col("numbers"), "d.html?a&b").alias("html"))
+
+
+def _answers(spark, sf_dir):
+    """Articles as a model writes them: in a fence, paragraphs as strings, objects or arrays."""
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t")).distinct()
+    json = F.concat(F.lit('```json\n{"article": {"intro": '), F.to_json(F.array("t")), F.lit(', "sections": [{"heading": "H", "paragraphs": '), F.to_json(F.array("t", F.lit("see [a](3)"), F.lit(""))), F.lit('}, {"paragraphs": [{"text": "t [b]('), F.col("turn").cast("string"), F.lit(')", "note": "[z](9)"}, "x"]}], "conclusion": "end [c](7)"}}\n```'))
+    return c.select(F.concat_ws("-", "conv_id", "turn").alias("slug"), json.alias("answer"))
+
+
+def article_parts(spark, sf_dir):
+    return answers.part_texts(answers.article_parts(_answers(spark, sf_dir)))
+
+
+def angle_plans(spark, sf_dir):
+    """Angles of plans: a bare array, or held by an object; one has no queries."""
+    c = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    array = F.concat(F.lit('[{"argument": "a'), F.col("conv_id").cast("string"), F.lit('", "search_queries": ["q1", "q2"]}, {"argument": "b"}]'))
+    answer = F.when(F.col("conv_id") % 2 == 0, array).otherwise(F.concat(F.lit('```\n{"angles": '), array, F.lit("}```")))
+    return answers.angle_rows(c.select(F.col("conv_id").cast("string").alias("slug"), answer.alias("answer"))).select("slug", "angle_ord", "argument", F.array_join("search_queries", ",").alias("queries"))
+
+
+def feed_articles(spark, sf_dir):
+    """Six articles an answer, of which five count; fields that lack get what stands for them. Some answers have prose around the JSON."""
+    p = _t(spark, sf_dir, "part")
+    one = F.concat(F.lit('{"title": '), F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit('"'), F.col("p_name"), F.lit('"'))).otherwise("null"), F.lit(', "summary": "s"}'))
+    answer = F.concat(F.when(F.col("p_partkey") % 2 == 0, "Here: ").otherwise(""), F.lit('{"articles": ['), F.array_join(F.array_repeat(one, 6), ", "), F.lit("]}"))
+    rows = p.select("p_partkey", F.posexplode(answers.feed_articles(answer)).alias("ord", "a"))
+    return rows.select("p_partkey", "ord", "a.*")
+
+
+def regenerated(spark, sf_dir):
+    """Runs with a plan, a plan without a topic, a filtered set alone, and neither."""
+    p = _t(spark, sf_dir, "pages")
+    slug = lambda k: F.concat(F.lit("run-no-"), (k % 8).cast("string"))
+    extracted = p.select(slug(F.col("page_id")).alias("slug"), (F.col("page_id") % 5).cast("int").alias("term_ord"), F.col("page_id").alias("rank"), F.col("url").alias("link"), F.lit("t").alias("title"), F.lit("").alias("content"))
+    runs = spark.range(8).select("id", slug(F.col("id")).alias("slug"))
+    out = answers.regenerated(runs.select("slug", F.concat(F.lit('{"article": {"headline": "h'), F.col("id").cast("string"), F.lit('"}}')).alias("answer")), extracted, runs.where("id < 4").select("slug", F.when(F.col("id") < 2, F.concat(F.lit("topic "), F.col("id").cast("string"))).alias("topic")), runs.where("id < 6").select("slug", F.lit("fetched").alias("query")))
+    return out.select("slug", "topic", "article", F.size("citations").alias("n"), F.array_join(F.transform("citations", lambda c: c["link"]), " ").alias("links"))
 
 
 def lineage(spark, sf_dir):
     """Which searches found a title, and whether the filter kept it."""
-    hits = _title_hits(spark, sf_dir).join(F.broadcast(_searches(spark).select("query_ord", "query")), "query_ord")
-    out = reports.title_queries(hits, hits.where("query_ord < 4").select("title"))
-    return out.select("title", F.array_join("queries", ",").alias("queries"), "kept")
+    pages, hits = _hits(spark, sf_dir)
+    found = hits.join(F.broadcast(_searches(spark).select("query_ord", "query")), "query_ord")  # eight searches
+    out = reports.title_queries(found, _filtered(spark, sf_dir)[1].select("title"))
+    return out.select("title", F.array_join("queries", ",").alias("queries"), "first_query", "kept")
 
 
 def angle_counts(spark, sf_dir):
@@ -246,23 +348,59 @@ def angle_counts(spark, sf_dir):
 
 def critique_zip(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations")
-    sections = c.where("role = 'user'").select(F.col("conv_id").alias("slug"), (F.col("turn") / 2).cast("int").alias("section_ord"), F.substring("text", 1, 30).alias("heading"))
-    critiques = c.where("role = 'assistant' and turn % 3 = 1").select(F.col("conv_id").alias("slug"), (F.col("turn") / 2).cast("int").alias("section_ord"), F.lit("b").alias("blurb"), F.col("role").alias("analysis"))
-    return reports.critiqued(sections, critiques).groupBy("section_ord").agg(F.count("*").alias("n"), F.count_if(F.col("analysis") != "").alias("n_critiques"))
+    sections = c.where("role = 'user'").select(F.col("conv_id").alias("slug"), F.col("turn").alias("section_ord"), F.col("text").alias("heading"))
+    critiques = c.where("role = 'assistant' and turn % 3 = 1").select(F.col("conv_id").alias("slug"), (F.col("turn") - 1).alias("section_ord"), F.col("role").alias("blurb"), F.col("text").alias("analysis"))
+    return reports.critiqued(sections, critiques)
+
+
+def _citations_used(spark, sf_dir):
+    t = F.concat(F.lit("t"), (F.col("page_id") % 5).cast("string"))
+    return _links(spark, sf_dir).select(t.alias("term"), (F.col("page_id") % 5).cast("int").alias("term_ord"), F.col("page_id").alias("rank"), F.col("url").alias("link"), F.when(F.col("page_id") % 2 == 0, "").otherwise(F.concat(F.lit("T"), F.col("page_id").cast("string"))).alias("title"), F.lit("c").alias("content"))
 
 
 def dead_links(spark, sf_dir):
     a = links.assessed(_probes(spark, sf_dir))
-    p = _t(spark, sf_dir, "pages")
-    ex = p.select(F.concat(F.lit("t"), (F.col("page_id") % 5).cast("string")).alias("term"), F.col("page_id").alias("rank"), F.col("url").alias("link"), F.lit("").alias("title"))
-    return links.dead_links(ex, a.select("url", "link_status", "issue_type").distinct())
+    return links.dead_links(_citations_used(spark, sf_dir), a.select("url", "link_status", "issue_type").distinct())
+
+
+def _report(spark, sf_dir):
+    used = _citations_used(spark, sf_dir)
+    a = links.assessed(_probes(spark, sf_dir))
+    marks = a.select(F.col("url").alias("link"), F.col("link_status").isin("probably_valid", "whitelisted").alias("ok"), "link_status", "issue_type").distinct()
+    x = used.join(marks, "link")
+    extracted = x.where("ok").select("term", "term_ord", "link", "title", "content", F.when(F.col("rank") % 7 > 0, F.col("rank")).alias("rank"))
+    dead = x.where("not ok").select(F.when(F.col("rank") % 10 > 0, F.col("term")).alias("term"), "link", F.nullif("title", F.lit("")).alias("title"), "content", "rank", F.coalesce("issue_type", "link_status").alias("reason"))
+    angles = spark.createDataFrame([("first", ["t0", "t1"]), ("second", ["t2", "t9"]), ("third", ["t3"])], "argument string, search_queries array<string>")
+    hits = _hits(spark, sf_dir)[1].join(F.broadcast(_searches(spark).select("query_ord", "query")), "query_ord")
+    flat = staged(citations.flat(x.where("ok"), any_link=True))
+    used_ids = spark.range(1, 60, 3).select(F.col("id").cast("int").alias("id"))
+    stats = _stats(spark, sf_dir).withColumn("cost", F.lit(0.0))
+    return reports.run_report(angles, hits, hits.where("query_ord < 4").select("title"), extracted, dead, a, flat, used_ids, stats, used)
+
+
+def report_refs(spark, sf_dir):
+    return _report(spark, sf_dir)["refs"].select("term", "place", "link", "rank", "dead", "number", "used", "reason")
+
+
+def report_angles(spark, sf_dir):
+    return _report(spark, sf_dir)["angles"]
+
+
+def report_orphans(spark, sf_dir):
+    return _report(spark, sf_dir)["orphans"]
+
+
+def report_overview(spark, sf_dir):
+    return _report(spark, sf_dir)["overview"]
 
 
 def refutation_view(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
-    articles = p.select(F.col("p_partkey").alias("ord"), F.col("p_type").alias("title"), F.col("p_name").alias("url"))
-    rows = p.select(F.concat(F.lit(" "), F.upper("p_type"), F.when(F.col("p_partkey") % 2 == 0, "x").otherwise("")).alias("article_title"), F.col("p_brand").alias("issue"), F.lit("c").alias("correction"))
-    return reports.refutations(rows, articles).groupBy("article_title", "url", "place").agg(F.count("*").alias("n"))
+    feed = (F.col("p_partkey") % 20).alias("feed")
+    articles = p.where("p_partkey % 3 > 0").select(feed, F.col("p_partkey").alias("ord"), F.when(F.col("p_partkey") % 50 == 7, " ").otherwise(F.col("p_type")).alias("title"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("snippet"), F.col("p_name").alias("url"))
+    rows = p.select("p_partkey", feed, F.when(F.col("p_partkey") % 11 > 0, F.concat(F.lit(" "), F.upper("p_type"), F.when(F.col("p_partkey") % 7 == 0, "x").otherwise(""))).otherwise("").alias("article_title"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_brand")).otherwise("").alias("issue"), F.when(F.col("p_partkey") % 4 > 0, F.lit("c")).otherwise("").alias("correction"))
+    out = reports.refutations(rows, articles, "a claim", "no context")
+    return out.groupBy("feed", "article_title", "url", "place", "belief", "expert").agg(F.count("*").alias("n"))
 
 
 def _events(spark, sf_dir):
@@ -279,71 +417,76 @@ def event_windows(spark, sf_dir):
     return progress.windowed(e).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def event_slides(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    return progress.windowed(e, "1 hour", "30 minutes").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def user_sessions(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    return progress.sessions(e, "6 hours").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+def probe_trials(spark, sf_dir):
+    return reports.trials(_t(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("n")))
+
+
 def price_cube(spark, sf_dir):
     """Grouping sets over line items; an addition of ours."""
     return _t(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
 _QUERIES = [
-    domain_frequency, url_scalars, assessed_links, link_timing, link_buckets, link_domain_report, text_scalars, rank_pages, word_ranks, page_union, filter_pages, parsed_citations, cite_type_report, term_candidates,
-    extracted_citations, flat_citations, shown_numbers, stage_totals, token_deltas, used_refs, lineage, angle_counts, critique_zip, dead_links, refutation_view, progress_fold, event_windows, price_cube,
-]
-
-_FREQ_SQL = """u AS (SELECT regexp_extract(lower(url), '^(https?://[^/?#]+)', 1) AS origin, url, count(*) AS c, min(page_id) AS first FROM pages GROUP BY ALL),
-g AS (SELECT origin, sum(c)::BIGINT AS n, arg_max(url, {'c': c, 'f': -first}) AS top_url, max(c)::BIGINT AS top_n, min(first) AS first_ord FROM u GROUP BY origin HAVING sum(c) >= 2)"""
-_FLAT_SQL = """r AS (SELECT (page_id % 9)::INT AS term_ord, page_id AS rank, regexp_replace(url, '\\?.*', '') AS link, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'c' || page_id END AS content FROM pages),
-o AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY term_ord, rank) AS n FROM r),
-x AS (SELECT row_number() OVER (ORDER BY term_ord, rank)::INT AS id, CASE WHEN content = '' THEN 't' ELSE content END AS text, link, 't' AS title FROM o WHERE n = 1),
-flat AS (SELECT * FROM x WHERE id <= 80)"""
-_STATS_SQL = """s AS (SELECT 'run' || (conv_id % 20) AS slug, turn AS stage, CASE role WHEN 'system' THEN 'gamma' WHEN 'user' THEN 'alpha' ELSE 'beta' END AS model, length(text) AS i, length(text) % 100 AS o, conv_id::DOUBLE AS t FROM conversations)"""
-
-_SQL = {
-    "domain_frequency": f"WITH {_FREQ_SQL} SELECT origin, n, top_url, top_n FROM g",
-    "url_scalars": """SELECT page_id, regexp_replace(regexp_extract(lower(url), '^https?://([^/?#]+)', 1), '^www\\.', '') AS host, regexp_extract(lower(url), '^(https?://[^/?#]+)', 1) AS origin,
-        regexp_extract(lower(url), '^(https?://[^/?#]+)', 1) || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/$', '') || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) AS comparable, false AS listed, false AS excluded FROM pages""",
-    "assessed_links": f"WITH {_PROBES_SQL} SELECT page_id, link_status, issue_type FROM a",
-    "link_timing": f"""WITH {_PROBES_SQL} SELECT sum(time_ms) AS total_ms, sum(time_ms) / count(*) FILTER (WHERE time_ms > 0) AS mean_ms, median(time_ms) FILTER (WHERE time_ms > 0) AS median_ms,
-        max(time_ms) FILTER (WHERE link_status <> 'timeout') AS max_ms, max(time_ms) FILTER (WHERE link_status = 'probably_valid') AS max_valid_ms, max(time_ms) FILTER (WHERE round = 1) + max(time_ms) FILTER (WHERE round = 2) AS effective_ms FROM a""",
-    "link_buckets": f"""WITH {_PROBES_SQL} SELECT count(*) FILTER (WHERE link_status = 'probably_valid') AS n_valid, count(*) FILTER (WHERE link_status = 'forbidden') AS n_forbidden, count(*) FILTER (WHERE link_status = 'invalid') AS n_invalid,
-        count(*) FILTER (WHERE link_status = 'timeout') AS n_timeout, 0::BIGINT AS n_whitelisted FROM a""",
-    "link_domain_report": f"""WITH {_FREQ_SQL}, {_PROBES_SQL}, b AS (SELECT link_status AS bucket, n, origin, top_url, issue_type, first_ord FROM g JOIN a ON a.url = g.top_url)
-        SELECT bucket, n, origin, top_url, issue_type, row_number() OVER (PARTITION BY bucket ORDER BY n DESC, first_ord)::INT AS rank FROM b""",
-    "text_scalars": """WITH d AS (SELECT doc_id, coalesce(text, '') AS x, string_split(coalesce(text, ''), chr(10))[1] AS line, lang, source FROM documents),
-        s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(line)), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS sl FROM d)
-        SELECT doc_id, CASE WHEN sl = '' THEN 'untitled' ELSE sl END AS slug, replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html,
-          trim(regexp_replace(regexp_replace(replace(x || ' [REF] x', '[REF]', ''), '''''+', '''', 'g'), '\\s+', ' ', 'g')) AS clean, trim(line || ' b') AS plain, source || '|' || lang AS key, 'cite ' || lang AS phrase,
-          CASE WHEN floor(doc_id * 7.5) >= 1000 THEN printf('%.2f', floor(doc_id * 7.5) / 1000 + CASE WHEN floor(doc_id * 7.5) % 250 = 125 THEN 0.001 ELSE 0 END) || 's' ELSE floor(doc_id * 7.5)::BIGINT || 'ms' END AS shown,
-          CASE WHEN length(x) > 80 THEN substr(x, 1, 77) || '…' ELSE x END AS short FROM s""",
-    "word_ranks": _RANK_SQL + " SELECT query_ord, word, doc_ord, score, rank FROM r",
-    "rank_pages": _RANK_SQL + """, u AS (SELECT query_ord, doc_ord, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, count(*) AS matched FROM r GROUP BY ALL HAVING count(*) >= 2)
-        SELECT query_ord, doc_ord, rrf, matched, row_number() OVER (PARTITION BY query_ord ORDER BY rrf DESC, doc_ord)::INT AS position FROM u QUALIFY position <= 10""",
-    "page_union": """WITH h AS (SELECT doc_id AS pageid, source, unnest([(doc_id + 1) % 8, (doc_id * 3 + 3) % 8, (doc_id * 5 + 5) % 8])::INT AS o FROM documents), x AS (SELECT DISTINCT * FROM h)
-        SELECT pageid, source, string_agg('q' || o, ',' ORDER BY o) AS queries, min(o) AS first_query FROM x GROUP BY ALL""",
-    "parsed_citations": f"WITH {_LINES_SQL} SELECT doc_id AS pageid, type, count(*) AS n, count(url) AS n_urls, max(blurb) AS last_blurb, count(DISTINCT url) AS n_links FROM c GROUP BY ALL",
-    "cite_type_report": f"WITH {_LINES_SQL} SELECT 'cite ' || CASE kind WHEN 2 THEN 'web' WHEN 3 THEN 'news' ELSE 'book' END AS type, count(*) AS n, string_agg(DISTINCT 'f' || (doc_id % 3), ',' ORDER BY 'f' || (doc_id % 3)) AS files FROM k WHERE kind IN (2, 3, 5) GROUP BY 1",
-    "flat_citations": f"WITH {_FLAT_SQL} SELECT * FROM flat",
-    "shown_numbers": f"WITH {_FLAT_SQL} SELECT link, min(id) AS number FROM flat WHERE id <= 50 GROUP BY link",
-    "stage_totals": f"""WITH {_STATS_SQL} SELECT slug, stage, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, round(sum(CASE WHEN model = 'beta' THEN i * 2000.0::DOUBLE / 1e6 + o * 8000.0::DOUBLE / 1e6 ELSE i * 250.0::DOUBLE / 1e6 + o * 500.0::DOUBLE / 1e6 END), 6) AS cost, sum(t) AS time_ms
-        FROM s GROUP BY ROLLUP (slug, stage)""",
-    "token_deltas": f"""WITH {_STATS_SQL}, g AS (SELECT slug, stage, sum(i)::BIGINT AS i, sum(o)::BIGINT AS o FROM s GROUP BY ALL)
-        SELECT slug, stage, i - coalesce(lag(i) OVER w, 0) AS input_tokens, o - coalesce(lag(o) OVER w, 0) AS output_tokens FROM g WINDOW w AS (PARTITION BY slug ORDER BY stage)""",
-    "used_refs": f"WITH {_FLAT_SQL}, u AS (SELECT DISTINCT 's' || conv_id AS slug, turn AS part, unnest([conv_id % 90, turn + 1])::INT AS id FROM conversations) SELECT slug, part, id, link FROM u LEFT JOIN flat USING (id)",
-    "lineage": f"""WITH q(query_ord, lang, query, argument) AS (VALUES {", ".join(str(s) for s in SEARCHES)}),
-        h AS (SELECT DISTINCT source || '-' || lang || '-' || (doc_id % 50) AS title, query_ord, query FROM documents JOIN q USING (lang))
-        SELECT title, string_agg(query, ',' ORDER BY query_ord) AS queries, min(query_ord) < 4 AS kept FROM h GROUP BY title""",
-    "angle_counts": "SELECT event_type AS argument, count(*) AS total, count(*) FILTER (WHERE value > 10) AS valid, count(*) FILTER (WHERE event_id % 3 = 0) AS used FROM events GROUP BY 1",
-    "critique_zip": """WITH s AS (SELECT conv_id, (turn // 2)::INT AS section_ord FROM conversations WHERE role = 'user'), c AS (SELECT conv_id, (turn // 2)::INT AS section_ord, role FROM conversations WHERE role = 'assistant' AND turn % 3 = 1)
-        SELECT section_ord, count(*) AS n, count(role) AS n_critiques FROM s LEFT JOIN c USING (conv_id, section_ord) GROUP BY 1""",
-    "dead_links": f"WITH {_PROBES_SQL} SELECT 't' || (page_id % 5) AS term, page_id AS rank, url AS link, url AS title, issue_type AS reason FROM a WHERE link_status <> 'probably_valid'",
-    "refutation_view": """WITH a AS (SELECT lower(trim(p_type)) AS k, arg_max(p_name, p_partkey) AS url, min(p_partkey) AS place FROM part GROUP BY 1),
-        r AS (SELECT ' ' || upper(p_type) || CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE '' END AS article_title FROM part)
-        SELECT article_title, url, coalesce(place, -1) AS place, count(*) AS n FROM r LEFT JOIN a ON lower(trim(article_title)) = k GROUP BY ALL""",
-    "progress_fold": """WITH e AS (SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'ready' ELSE 'stepComplete' END AS type, event_id % 9 AS step FROM events)
-        SELECT run_id, CASE WHEN count(*) FILTER (WHERE type = 'ready') > 0 THEN 100.0::DOUBLE ELSE coalesce(max(step) FILTER (WHERE type = 'stepComplete' AND step <= 6), 0) * 100.0::DOUBLE / 6 END AS percent,
-          coalesce(arg_max(type, seq) FILTER (WHERE type IN ('done', 'error')), 'running') AS state FROM e GROUP BY run_id""",
-    "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-    "price_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
-}
+    domain_frequency,
+    url_scalars,
+    assessed_links,
+    link_timing,
+    link_buckets,
+    link_domain_report,
+    text_scalars,
+    display_scalars,
+    search_plans,
+    rank_pages,
+    word_ranks,
+    rank_citations,
+    page_union,
+    filter_pages,
+    filtered_titles,
+    extraction_hits,
+    belief_data,
+    parsed_citations,
+    citation_counts,
+    corpus_link_report,
+    cite_type_report,
+    term_candidates,
+    extracted_citations,
+    extraction_counts,
+    flat_citations,
+    shown_numbers,
+    stage_totals,
+    token_deltas,
+    used_refs,
+    article_links,
+    article_parts,
+    angle_plans,
+    feed_articles,
+    regenerated,
+    lineage,
+    angle_counts,
+    critique_zip,
+    dead_links,
+    report_refs,
+    report_angles,
+    report_orphans,
+    report_overview,
+    refutation_view,
+    progress_fold,
+    event_windows,
+    event_slides,
+    user_sessions,
+    probe_trials,
+    price_cube,
+]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,4 +498,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
