@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir. Only a session on this one machine may go without that setting; it then gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
