@@ -2,55 +2,30 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import dropped, few, sent, staged, work_dir
+
+__all__ = ["BROADCAST_IDS", "WORD_GAP", "WORD_GAP_CHARS", "dropped", "few", "groups", "lowered", "mixed", "narrowed", "prefix_hashes", "range_hashes", "runs", "sent", "staged", "text_slices", "word_bounds", "word_hashes", "words", "work_dir"]
+
 #: ``[^\x20\x09-\x0D]+`` is a word; this is what lies between words, for Java's regexes.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: The same six characters, for translate().
 WORD_GAP_CHARS = " \t\n\x0b\f\r"
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        base = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: lineage ends there and lost executors cost nothing."""
-    path = work_dir(df.sparkSession)
-    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Removes what staged() wrote for df, once nothing reads it any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 #: So many ids (some 20 bytes each) are sent to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 18
 
 
 def narrowed(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows of df whose key is among ids. Few ids are broadcast, so that the rows that go aren't shuffled first; ids should be cheap to count."""
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return df.join(ids, key, "left_semi")
+    return df.join(sent(ids, BROADCAST_IDS), key, "left_semi")
 
 
 def words(text):
@@ -111,6 +86,30 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 256
+
+
+def word_hashes(data: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[first:stop], eight bytes a round, each round a bijective mix of what came before with them: no pattern of bytes collides by construction."""
+    size = (stop - first).astype(np.int64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mixed(size.astype(np.uint64), 11)
+    long = size > _LONG_WORD
+    for k in np.flatnonzero(long).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[first[k] : stop[k]], digest_size=8).digest(), "little")
+    live, at = np.flatnonzero(~long & (size > 0)), 0
+    while len(live):
+        left = size[live] - at
+        chunk = eight[first[live] + at]
+        short = left < 8
+        chunk[short] &= (np.uint64(1) << (np.uint64(8) * left[short].astype(np.uint64))) - np.uint64(1)
+        out[live] = mixed(out[live] ^ chunk, 12)
+        live, at = live[left > 8], at + 8
+    return out
+
+
 #: A random-looking number for each byte, and an odd base with its inverse for hashes of ranges of bytes.
 _BYTE = mixed(np.arange(256, dtype=np.uint64), 7)
 _BASE = 0xD1342543DE82EF95

@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, component (its smallest node) for every node of edges (a, b: long). Each half round is a partial minimum by node and a join back, so a hub's edges never meet in one group."""
+    """node, component (its smallest node) for every node of edges (a, b: long), as a staged table. Each half round is a partial minimum by node and a join back, so a hub's edges never meet in one group."""
     edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     state = _state(edges)
     for _ in range(most_rounds):
@@ -31,4 +31,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         state = now
     else:
         raise RuntimeError("components didn't settle")
-    return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = staged(edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+    dropped(edges)
+    return out

@@ -4,8 +4,9 @@ A document's set is its distinct shingles of five lower-cased words. Its sketch
 and an empty bucket borrows a full one's by a fixed random order. Bands of ROWS registers are hashed; documents that share a band are candidates. Pairs whose estimate of the Jaccard index, corrected for
 registers that collide by chance, is far too low are dropped, the others are compared on full sets of words.
 
-Documents with equal sets are one class from the start. No band's pairs are listed: each band's members are first compared with one hub, the member that shares most bands with others. Then components are built, and only
-members of a band whose components still differ are compared with each other, by these and by finer sketches. A link of Jaccard index 0.85 shares no band with probability 2e-9, one of 0.80 with 3e-6.
+Documents with equal sequences of words (by a 128-bit digest of the words themselves) are one class from the start; every other link is confirmed on full sets. No band's pairs are listed: each band's members are first compared with one hub, the member that shares most bands with others. Then components are built, and only
+members of a band whose components still differ are compared with each other, by these and by finer sketches. A link of Jaccard index 0.85 shares no band with probability 2e-9, one of 0.80 with 3e-6; an estimate falls 4.5 standard errors short of the true index with probability 3e-6 or so. So the
+expected recall of links is above 0.9999 (tests measure it on planted pairs at the threshold).
 
 Defined results: texts with fewer than five words have their whole sequence as one shingle; null, empty and blank texts have none, are linked with nothing and are kept; rows that share a doc_id count as one document;
 rows without doc_id take part in no link and are kept; the smallest doc_id of a component is kept; other columns are ignored (deduplicated() keeps them); an empty table gives an empty table.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, groups, lowered, mixed, narrowed, prefix_hashes, range_hashes, staged, text_slices, word_bounds
+from .common import dropped, groups, lowered, mixed, narrowed, staged, text_slices, word_bounds, word_hashes
 from .components import components
 
 WORDS = 5
@@ -36,11 +37,11 @@ _ORDER = np.stack([np.argsort(mixed(np.arange(REGISTERS, dtype=np.uint64), 1000
 
 
 def shingle_hashes(column: pa.Array):
-    """(row, sorted distinct 64-bit hashes of its shingles)."""
+    """(row, sorted distinct 64-bit hashes of its shingles, its lower-cased bytes)."""
     for row, data, starts in text_slices(column):
         low = lowered(data)
         first, stop, at = word_bounds(low, starts)
-        words = range_hashes(prefix_hashes(low), first, stop)
+        words = word_hashes(low, first, stop)
         n = len(words)
         five = np.zeros(max(n - WORDS + 1, 0), dtype=np.uint64)
         for k in range(WORDS):
@@ -48,12 +49,13 @@ def shingle_hashes(column: pa.Array):
         five = mixed(five)
         for k in range(len(at) - 1):
             a, b = int(at[k]), int(at[k + 1])
+            own = low[starts[k] : starts[k + 1]]
             if b - a >= WORDS:
-                yield row + k, np.unique(five[a : b - WORDS + 1])
+                yield row + k, np.unique(five[a : b - WORDS + 1]), own
             elif b > a:
-                yield row + k, mixed(np.array([int((mixed(words[a:b]) * np.array(_STEPS[: b - a])).sum(dtype=np.uint64))], dtype=np.uint64), b - a)
+                yield row + k, mixed(np.array([int((mixed(words[a:b]) * (np.array(_STEPS[: b - a]) | np.uint64(1))).sum(dtype=np.uint64))], dtype=np.uint64), b - a), own
             else:
-                yield row + k, five[:0]
+                yield row + k, five[:0], own
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -90,14 +92,14 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), sketch."""
+    """doc_id, n_shingles, set_key (a digest of the words in order; null without words), sketch."""
 
     def run(batches):
         for batch in batches:
             n, keys, sketches = [0] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
-            for row, hashes in shingle_hashes(batch.column(1)):
+            for row, hashes, low in shingle_hashes(batch.column(1)):
                 if len(hashes):
-                    n[row], keys[row], sketches[row] = len(hashes), hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), sketch(hashes).tobytes()
+                    n[row], keys[row], sketches[row] = len(hashes), hashlib.blake2b(b" ".join(low.tobytes().split()), digest_size=16).digest(), sketch(hashes).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
@@ -156,7 +158,7 @@ def detailed(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame
     def run(batches):
         for batch in batches:
             fine = [None] * batch.num_rows
-            for row, hashes in shingle_hashes(batch.column(1)):
+            for row, hashes, _ in shingle_hashes(batch.column(1)):
                 fine[row] = fine_sketch(hashes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], names=["node", "fine"])
 
@@ -256,7 +258,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, text: str = "text
 
 
 def clustered(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+    """doc_id, n_shingles, component_id, as a staged table."""
     docs = docs.select("doc_id", text)
     rows = staged(sketched(docs, text))
     ok = rows.where("set_key is not null and doc_id is not null")
@@ -268,21 +270,27 @@ def clustered(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFra
     members_d = members.join(degree, "node").select("band", "node", F.struct("degree", (-F.col("node")).alias("first"), "node").alias("order"))
     hubs = members_d.groupBy("band").agg(F.max("order")["node"].alias("b"))
     tried = staged(members.join(hubs, "band").select(F.col("node").alias("a"), "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    links = staged(confirmed(staged(likely(tried, classes, percent / 100)), docs, percent, text))
-    found = staged(components(links))
+    near = staged(likely(tried, classes, percent / 100))
+    links = staged(confirmed(near, docs, percent, text))
+    dropped(near)
+    found = components(links)
     # what the hubs left apart: pairs of one band whose components differ
     placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").select("band", "node", F.coalesce("c", "node").alias("c"))
     several = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").drop("lo", "hi")
     left = staged(placed.join(several, "band"))
-    fine = detailed(docs, staged(left.select("node").distinct()), text)
-    left = left.join(classes.select("node", "n_shingles", "sketch").join(fine, "node"), "node")
-    new = staged(apart(left, percent / 100).join(tried, ["a", "b"], "left_anti"))
+    nodes = staged(left.select("node").distinct())
+    both = left.join(classes.select("node", "n_shingles", "sketch").join(detailed(docs, nodes, text), "node"), "node")
+    new = staged(apart(both, percent / 100).join(tried, ["a", "b"], "left_anti"))
     more = staged(confirmed(new, docs, percent, text))
+    dropped(members, tried, left, nodes, new)
     if not more.isEmpty():
-        found = staged(components(links.union(more)))
+        before, found = found, components(links.union(more))
+        dropped(before)
     place = classes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(place, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
+    joined = rows.select("doc_id", "n_shingles", "set_key").join(place, "set_key", "left")
+    out = staged(joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id")).alias("component_id")))
+    dropped(rows, classes, links, more, found)
+    return out
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:

@@ -6,7 +6,8 @@ characters. Such spans are added unless they equal or lie within a base span of
 stand beside it, and redact() takes the union.
 
 Defined results: null and empty texts hold nothing; every row is judged on its own; other columns are ignored by found() and kept by redacted(); an empty table gives an
-empty table. All steps are linear in a text's length.
+empty table. All steps are linear in a text's length: no pattern is tried again over what an earlier try has passed.
+The plain form `name at host dot tld` counts for the endings in PLAIN_ENDS alone, as prose has such words too; bracketed forms count for any.
 """
 
 from __future__ import annotations
@@ -94,9 +95,14 @@ _JOIN = re.compile(r"[\s,()-]{1,3}\Z")
 #: Last labels with which the plain form (name at host dot com) counts; bracketed forms take any.
 PLAIN_ENDS = "com org net edu gov info biz dev app cloud mail email io co uk eu de fr es nl ch ca au".split()
 _DOT_WORD = r"(?:dot|punkt|punto|point)"
-_BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:(?P<at>at|arroba|@)|(?P<dot>{_DOT_WORD}|\.))\s*[\])}}>]\s*", re.I)
-_PLAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]+(?:\s{_DOT_WORD}\s[A-Za-z0-9._%+-]+)*)(?P<at>\s(?:at|arroba)\s|@)(?P<domain>[A-Za-z0-9-]+(?:\s{_DOT_WORD}\s[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)*\s{_DOT_WORD}\s(?:{'|'.join(PLAIN_ENDS)}))(?![A-Za-z0-9-])", re.I)
-_PLAIN_IP = re.compile(rf"(?<![0-9])[0-9]+(?:(?:\s{_DOT_WORD}\s|\.)[0-9]+){{3}}(?![0-9])", re.I)
+_BRACKETED = re.compile(rf"[\[({{<]\s*+(?:(?P<at>at|arroba|@)|(?P<dot>{_DOT_WORD}|\.))\s*+[\])}}>]", re.I)
+#: A chain of words with spelled dots between them, and what follows it if that makes it an address; a chain is passed as a whole, so each is read once.
+_PLAIN = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\s{_DOT_WORD}\s[A-Za-z0-9._%+-]++)*+"
+    rf"(?:(?P<at>\s(?:at|arroba)\s|@)(?P<domain>[A-Za-z0-9-]++(?:\s{_DOT_WORD}\s(?!(?:{'|'.join(PLAIN_ENDS)})(?![A-Za-z0-9-]|\s{_DOT_WORD}\s))[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)*+\s{_DOT_WORD}\s(?:{'|'.join(PLAIN_ENDS)}))(?![A-Za-z0-9-]))?+",
+    re.I,
+)
+_PLAIN_IP = re.compile(rf"(?<![0-9])[0-9]++(?:(?:\s{_DOT_WORD}\s|\.)[0-9]++){{3}}", re.I)
 _NEAR_DOT = re.compile(rf"{_DOT_WORD}\s0|0\s{_DOT_WORD}\s", re.I)
 _SPACED_DOT = re.compile(rf"\s{_DOT_WORD}\s", re.I)
 _DOTS = ("dot", "punkt", "punto", "point")
@@ -191,12 +197,19 @@ def sign_edits(text: str) -> list[tuple[int, int, str]]:
     """[at], (dot) and the like; `name at host dot tld`; `1 dot 2 dot 3 dot 4`."""
     edits = []
     if any(c in text for c in "[({<"):
-        edits = [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(text)]
+        for m in _BRACKETED.finditer(text):
+            start, end, least = m.start(), m.end(), edits[-1][1] if edits else 0
+            while start > least and text[start - 1].isspace():
+                start -= 1
+            while end < len(text) and text[end].isspace():
+                end += 1
+            edits.append((start, end, "@" if m["at"] else "."))
     low = text.lower()
     if any(w in low for w in _DOTS):
         for m in _PLAIN.finditer(text):
-            edits.append((*m.span("at"), "@"))
-            edits += [(*d.span(), ".") for d in _SPACED_DOT.finditer(text, m.start(), m.end())]
+            if m["at"]:
+                edits.append((*m.span("at"), "@"))
+                edits += [(*d.span(), ".") for d in _SPACED_DOT.finditer(text, m.start(), m.end())]
         for m in _PLAIN_IP.finditer(text):
             edits += [(*d.span(), ".") for d in _SPACED_DOT.finditer(text, m.start(), m.end())]
     out, end = [], 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pathlib
 import random
 import zlib
 
@@ -68,6 +69,55 @@ def test_deduplicated_takes_links_from_80_percent_on(table):
     assert sorted(r["doc_id"] for r in neardup.deduplicated(table(rows)).collect()) == sorted({c for _, c in brute_classes(rows, 80).values()})
 
 
+def test_words_that_collide_in_polynomial_hashes_stay_apart(table):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word), (4, f"{word} x y z w v"), (5, f"{word.translate(str.maketrans('ab', 'ba'))} x y z w v")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.clustered(table(rows)).collect()}
+    assert got == brute_classes(rows) == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (2, 4), 5: (2, 5)}
+
+
+def test_equal_sets_in_another_order_are_linked(table):
+    part = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{part} {part} {part}"), (2, f"{part} {part}"), (3, f"{part}  {part} {part.upper()} {part}")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.clustered(table(rows)).collect()}
+    assert got == brute_classes(rows)
+    assert {c for _, c in got.values()} == {1}
+
+
+def test_recall_of_links_at_the_threshold(table):
+    rng = random.Random(11)
+    rows = []
+    for g in range(600):
+        n = rng.choice([110, 150, 400, 900])
+        base = [f"g{g}w{i}" for i in range(n)]
+        own = list(base)
+        changed = next(c for c in range(n, 0, -1) if (n - 4 - 5 * c) >= 0.85 * (n - 4 + 5 * c))
+        for k in range(changed):
+            own[5 + k * ((n - 10) // changed)] = f"g{g}n{k}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(own))]
+    want = brute_classes_of_pairs(rows)
+    assert sum(want.values()) > 500
+    got = {r["doc_id"]: r["component_id"] for r in neardup.clustered(table(rows)).collect()}
+    assert sum(got[d] == d - 1 for d, linked in want.items() if linked) == sum(want.values())
+    assert all(got[d] == d for d, linked in want.items() if not linked)
+
+
+def brute_classes_of_pairs(rows, percent=85):
+    """Whether each row with an odd id is linked with the one before it."""
+    sets = [neardup.shingles(t) for _, t in rows]
+    return {rows[k + 1][0]: 100 * len(sets[k] & sets[k + 1]) >= percent * len(sets[k] | sets[k + 1]) for k in range(0, len(rows), 2)}
+
+
+def test_near_duplicates_leave_one_table_behind(spark, table):
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    held = lambda: {p.name for p in shared.iterdir() if any(p.rglob("*.parquet"))}
+    before = held()
+    neardup.clustered(table(near_rows(4)))
+    assert len(held() - before) == 1
+
+
 def test_near_duplicates_of_odd_rows(table, odd_rows):
     docs = table(odd_rows)
     got = {(r["doc_id"], r["component_id"]) for r in neardup.clustered(docs).collect()}

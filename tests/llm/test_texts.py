@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -124,6 +125,62 @@ def test_plain_prose_has_no_spans(text):
     assert pii.spans(text) == ([], [])
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "(" + " " * 1_000_000, "a dot " * 170_000, "a@a dot " * 120_000, "a at " * 200_000, "[at] " * 200_000, "1 dot " * 160_000, "one " * 250_000, "+1" + " " * 1_000_000, "1" * 1_000_000, "a." * 500_000, "a at b" + " dot b" * 160_000, "double " * 140_000])
+def test_a_megabyte_of_anything_takes_little_time(text):
+    began = time.time()
+    pii.spans(text)
+    assert time.time() - began < 3 if len(text.split()) > 2 else time.time() - began < 1
+
+
+def disguised(rng, kind):
+    """(text, start, end): an identifier that only its rewritten form shows."""
+    letters = lambda n: "".join(rng.choice("abcdeghiklmnoprstuvwxyz") for _ in range(n))
+    like = {"a": "а", "e": "е", "o": "о", "p": "р", "c": "с", "x": "х", "i": "і"}
+    words = "zero one two three four five six seven eight nine".split()
+    if kind == "email":
+        user, host, end = letters(6) + "a", letters(5) + "o", rng.choice(pii.PLAIN_ENDS)
+        own = rng.choice([f"{user} [at] {host} [dot] {end}", f"{user}(at){host}(dot){end}", f"{user} at {host} dot {end}", f"{user}@{host} dot {end}", "".join(like.get(c, c) for c in user) + f"@{host}.{end}", f"{user}＠{host}．{end}", f"{user}\u200b@{host}.{end}"])
+    elif kind == "ip":
+        parts = [str(rng.randrange(256)) for _ in range(4)]
+        own = rng.choice([" dot ".join(parts), "[.]".join(parts), "(dot)".join(parts), "".join(chr(0xFF10 + int(c)) if c.isdigit() else "．" for c in ".".join(parts))])
+    elif kind == "card":
+        digits = "4" + "".join(str(rng.randrange(10)) for _ in range(14))
+        digits += next(c for c in "0123456789" if pii.luhn(digits + c))
+        own = rng.choice([" ".join(words[int(c)] for c in digits), "".join(chr(0xFF10 + int(c)) for c in digits), "–".join(digits[k : k + 4] for k in range(0, 16, 4)), digits[:12] + " " + " ".join(words[int(c)] for c in digits[12:])])
+    else:
+        digits = "".join(str(rng.randrange(1, 10)) for _ in range(11))
+        own = rng.choice(["+" + " ".join(words[int(c)] for c in digits), "plus " + " ".join(words[int(c)] for c in digits), "＋" + digits, "+" + digits[:8] + " " + " ".join(words[int(c)] for c in digits[8:])])
+    before = " ".join(letters(4) for _ in range(rng.randrange(4))) + " so "
+    return before + own + ", " + letters(5), len(before), len(before) + len(own)
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_planted_disguises_are_found(kind):
+    rng = random.Random(kind)
+    hit = 0
+    for _ in range(400):
+        text, a, b = disguised(rng, kind)
+        base, more = pii.spans(text)
+        hit += (pii.KINDS.index(kind), a, b) in base + more
+    assert hit >= 0.95 * 400
+
+
+def test_pii_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["x", "a@b.co", "10.0.0.1", "999.0.0.1", "4111 1111 1111 1111", "+49 30 1234567", "jane [at] b [dot] org", "é😀"]) for _ in range(rng.randrange(9)))) for i in range(200)] + [(None, "a@b.co"), (900, None), (900, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for d, t in rows:
+        base = brute_base(t or "")
+        line = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+        every = sorted(base + pii.spans(t)[1])
+        assert set(base) <= set(every)
+        want.append((d, *(sum(k == n for k, _, _ in base) for n in range(4)), hashlib.sha256(line(base).encode()).hexdigest(), line(every)))
+    got = pii.query(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_redacted_keeps_rows_and_columns(table, odd_rows):
     docs = table([*odd_rows, (30, "mail a@b.co, ok")])
     out = pii.redacted(docs)
