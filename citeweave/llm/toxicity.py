@@ -1,19 +1,21 @@
-"""Toxicity by class-conditional Kneser-Ney models of word stems.
+"""Toxicity by class-conditional Kneser-Ney models of the bytes of words.
 
-Each class has discounted counts of stems (the first STEM bytes of lower-cased words, so that compounds and inflections of a word share its evidence) and backs off to one distribution that both
-classes share: the Kneser-Ney continuation count, in how many different contexts a stem follows, over both classes. A text's evidence is the difference of its toxic and ordinary
-log-likelihoods, length-normalised over the text, over its worst window and over its most telling words; a logistic curve, fitted on labelled texts by counts that leave out the fold of the text, turns it into a score.
+Each class has a model of order ORDER: a byte of a word (or the word's end) given the bytes before it, from the class's own counts with Kneser-Ney's discount, estimated from how many strings occur once and twice.
+What the discounts take goes to one lower-order distribution that both classes share: Kneser-Ney continuation counts (in how many different contexts a string follows, over both classes), discounted the same way, down to order 1.
+So whole words are read, and rare ones and compounds are judged by their parts. A word's evidence is the difference of its toxic and ordinary log-likelihoods. A text's evidence is that difference, length-normalised, over the text, over its worst window
+and over its most telling words; a logistic curve, fitted on labelled texts by counts that leave out the fold of the text, turns it into a score.
 
-Counts cover every labelled text to learn from. Stems and pairs are counted exactly, by Spark, in tables that grow with the corpus: a stem's bytes are its key. Up to BROADCAST_STEMS stems are sent to tasks, more are joined to chunks of texts.
+Counts cover every labelled text to learn from, exactly, in Spark tables that grow with the corpus. Up to BROADCAST_STRINGS of the model's strings are sent to tasks, more are joined to chunks of texts.
 The curve is fitted on at most ``max_curve_rows`` rows or a little more, drawn by a hash of doc_id.
 
 Defined results: null and empty texts get the score of no evidence; several labels of one document count as toxic if any does; null labels and null doc_ids in labels aren't learned from;
-without toxic or without ordinary labels to fit the curve on, all scores are near 1 or near 0; repeated rows are scored each on its own; other columns are no inputs.
+without toxic or without ordinary labels to fit the curve on, all scores are near 1 or near 0; repeated rows are scored each on its own; other columns are no inputs, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, dropped, lowered, runs, staged, text_slices
+from .common import BROADCAST_IDS, dropped, few, lowered, runs, sent, staged, text_slices, word_hashes
 
-STEM = 4
-DISCOUNT = 1.5
+#: A byte and the bytes before it that its probability is given by; strings are kept as whole numbers, the last byte lowest.
+ORDER = 5
+#: Stands behind a word; zeros stand before it.
+_END = 1
+#: Marks the keys of contexts among those of whole strings.
+_CONTEXT = 1 << (8 * ORDER)
 WINDOW = 24
 #: A difference of log-likelihoods from which a word counts as telling, and how many of the most telling ones are averaged.
 TELLING, MOST = 2.0, 3
@@ -32,109 +38,140 @@ EVIDENCE = ("mean", "worst", "dense", "top", "share")
 MAX_CURVE_ROWS = 20_000
 #: Parts of the counted rows; the curve sees each part by the counts of the others.
 FOLDS = 4
-#: So many stems (eight bytes each, or 20 for the folds of the curve) are sent to every executor; of more, each chunk of texts gets its own by a join.
-BROADCAST_STEMS = 1 << 21
-#: Stems that are worked on at a time.
-_SLICE = 1 << 20
+EVERY = range(1 + FOLDS)
+#: So many strings (12 bytes each, or 28 for the folds of the curve) are sent to every executor; of more, each chunk of texts gets its own by a join.
+BROADCAST_STRINGS = 1 << 21
+#: Bytes of text that are joined to a model at a time.
+_CHUNK = 1 << 22
 
 
-def stems(column: pa.Array):
-    """(first row, all stems, where each text's stems start) for runs of rows. Words are runs of letters (lower-cased A-Z), digits and bytes from 128 on; a stem's bytes, zeros behind them, are read as a number."""
+def word_slices(column: pa.Array):
+    """(first row, bytes, starts and ends of words, where each text's words start) for runs of rows. Words are runs of letters (lower-cased A-Z), digits and bytes from 128 on."""
     for row, data, starts in text_slices(column):
         low = lowered(data)
-        inside = ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57)) | (low >= 128)
-        first, stop, at = runs(inside, starts)
-        low = np.concatenate([low, np.zeros(STEM, np.uint8)])
-        out = np.zeros(len(first), np.uint32)
-        for k in range(STEM):
-            out |= np.where(first + k < stop, low[first + k], 0).astype(np.uint32) << np.uint32(8 * (STEM - 1 - k))
-        yield row, out, at
-
-
-def _pairs(words: np.ndarray) -> np.ndarray:
-    """Each pair of neighbours, as one number."""
-    return words[:-1].astype(np.uint64) << np.uint64(32) | words[1:].astype(np.uint64)
-
-
-def _texts(batches):
-    """{(fold, toxic): stems of each text} of some _SLICE stems at a time."""
-    for batch in batches:
-        held, size = {}, 0
-        for toxic, fold, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            own = np.frombuffer(x.as_buffer(), np.uint32)
-            held.setdefault((fold, toxic), []).append(own)
-            size += len(own)
-            if size >= _SLICE:
-                yield held
-                held, size = {}, 0
-        yield held
+        first, stop, at = runs(((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57)) | (low >= 128), starts)
+        yield row, low, first, stop, at
+
+
+def strings(low: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The string of ORDER bytes that ends at each byte of each word and behind it, and where each word's strings start."""
+    size = stop - first
+    pad = ORDER - 1
+    begins = np.concatenate([[0], np.cumsum(size + pad + 1)]).astype(np.int64)
+    laid = np.zeros(int(begins[-1]), np.uint8)
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    laid[np.repeat(begins[:-1] + pad, size) + within] = low[np.repeat(first, size) + within]
+    laid[begins[1:] - 1] = _END
+    out = np.zeros(max(len(laid) - pad, 0), np.int64)
+    for k in range(ORDER):
+        out = out << 8 | laid[k : len(laid) - pad + k]
+    own = size + 1
+    at = np.concatenate([[0], np.cumsum(own)]).astype(np.int64)
+    return out[np.repeat(begins[:-1], own) + np.arange(at[-1]) - np.repeat(at[:-1], own)], at
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """stem, n0, n1 (occurrences by class), contexts (different stems that it follows) from rows (toxic, fold, words); arrays of 1 + FOLDS: of all rows, then of all but those of each fold."""
+    """string, n0, n1: occurrences by class in rows (toxic, fold, text); arrays of 1 + FOLDS: in all rows, then in all but those of each fold."""
 
     def occurrences(batches):
-        for held in _texts(batches):
-            for (fold, toxic), texts in held.items():
-                stem, n = np.unique(np.concatenate(texts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(stem.astype(np.int64)), *(pa.array(np.full(len(stem), x, np.int32)) for x in (toxic, fold)), pa.array(n.astype(np.int64))], names=["stem", "toxic", "fold", "n"])
-
-    def neighbours(batches):
-        for held in _texts(batches):
-            for fold in {f for f, _ in held}:
-                pair = np.unique(np.concatenate([_pairs(x) for toxic in (0, 1) for x in held.get((fold, toxic), [])]))
-                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(np.full(len(pair), 1 << fold, np.int32))], names=["pair", "folds"])
+        for batch in batches:
+            group = np.array(batch.column(0).to_pylist(), np.int64) * FOLDS + np.array(batch.column(1).to_pylist(), np.int64)
+            for row, low, first, stop, at in word_slices(batch.column(2)):
+                own = np.repeat(group[row : row + len(at) - 1], np.diff(at))
+                for g in np.unique(own).tolist():
+                    found, n = np.unique(strings(low, first[own == g], stop[own == g])[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(np.full(len(found), x, np.int32)) for x in (g // FOLDS, g % FOLDS)), pa.array(n.astype(np.int64))], names=["string", "toxic", "fold", "n"])
 
     others = [F.lit(True), *(F.col("fold") != f for f in range(FOLDS))]
     count = lambda c: F.array(*[F.coalesce(F.sum(F.when((F.col("toxic") == c) & o, F.col("n"))), F.lit(0)) for o in others]).alias(f"n{c}")
-    own = rows.mapInArrow(occurrences, "stem long, toxic int, fold int, n long").groupBy("stem").agg(count(0), count(1))
-    pairs = rows.mapInArrow(neighbours, "pair long, folds int").groupBy("pair").agg(F.bit_or("folds").alias("folds"))
-    seen = [F.lit(True), *(F.col("folds") != 1 << f for f in range(FOLDS))]  # in any other fold
-    contexts = pairs.groupBy(F.col("pair").bitwiseAND(0xFFFFFFFF).alias("stem")).agg(F.array(*[F.count_if(x) for x in seen]).alias("contexts"))
-    return own.join(contexts, "stem", "left").select("stem", "n0", "n1", F.coalesce("contexts", _none()).alias("contexts"))
-
-
-def _none():
-    return F.array(*[F.lit(0).cast("long")] * (1 + FOLDS))
+    return rows.select("toxic", "fold", "text").mapInArrow(occurrences, "string long, toxic int, fold int, n long").groupBy("string").agg(count(0), count(1))
+
+
+def _each(f):
+    return F.array(*map(f, EVERY))
+
+
+def _discounts(table: DataFrame, *columns: str) -> list[list[float]]:
+    """For each column of counts, Kneser-Ney's discount n1 / (n1 + 2 n2) of each of its variants, from how many counts are 1 and 2."""
+    cell = lambda c, k: F.struct(F.count_if(F.col(c)[k] == 1).alias("one"), F.count_if(F.col(c)[k] == 2).alias("two"))
+    found = table.agg(*[cell(c, k) for c in columns for k in EVERY]).first()
+    at = [r["one"] / (r["one"] + 2 * r["two"]) if r["one"] and r["two"] else 0.5 for r in found]
+    return [at[i * len(EVERY) : (i + 1) * len(EVERY)] for i in range(len(columns))]
+
+
+def _contexts(table: DataFrame, *columns: str) -> DataFrame:
+    """before (a string without its last byte), and for each column c of counts c_all (their sum) and c_kinds (how many strings have it)."""
+    total = [_each(lambda k, c=c: F.sum(F.col(c)[k])).alias(f"{c}_all") for c in columns]
+    kinds = [_each(lambda k, c=c: F.count_if(F.col(c)[k] > 0)).alias(f"{c}_kinds") for c in columns]
+    return table.groupBy(F.shiftright("string", 8).alias("before")).agg(*total, *kinds)
+
+
+def shared(counts: DataFrame) -> DataFrame:
+    """string (of ORDER - 1 bytes), p: its last byte's probability after the others, by continuation counts over both classes."""
+    levels = []
+    longer = counts.select("string", _each(lambda k: (F.col("n0")[k] + F.col("n1")[k] > 0).cast("long")).alias("n"))
+    for size in range(ORDER - 1, 0, -1):
+        cut = longer.select(F.col("string").bitwiseAND((1 << 8 * size) - 1).alias("string"), "n")
+        longer = staged(cut.groupBy("string").agg(_each(lambda k: F.count_if(F.col("n")[k] > 0)).alias("n")))
+        levels.append(longer)
+    out = None
+    for size, level in enumerate(reversed(levels), 1):
+        discount = _discounts(level, "n")[0]
+        held = level.withColumn("before", F.shiftright("string", 8)).join(_contexts(level, "n"), "before")
+        if out is None:
+            held = held.withColumn("low", F.array(*[F.lit(1 / 256)] * len(EVERY)))
+        else:
+            held = held.withColumn("short", F.col("string").bitwiseAND((1 << 8 * (size - 1)) - 1)).join(out.select(F.col("string").alias("short"), F.col("p").alias("low")), "short")
+        p = lambda k: F.when(F.col("n_all")[k] > 0, (F.greatest(F.col("n")[k] - discount[k], F.lit(0.0)) + discount[k] * F.col("n_kinds")[k] * F.col("low")[k]) / F.col("n_all")[k]).otherwise(F.col("low")[k])  # noqa: E731, B023
+        before, out = out, staged(held.select("string", _each(p).alias("p")))
+        dropped(level, *([before] if before is not None else []))
+    return out
 
 
 def differences(counts: DataFrame) -> DataFrame:
-    """stem, difference: toxic minus ordinary log-likelihood of every stem, and of one that no text has (stem 0); an array as in counted()."""
-    kept = lambda c, k: F.greatest(F.col(f"n{c}")[k] - DISCOUNT, F.lit(0.0))
-    every = range(1 + FOLDS)
-    n = lambda k: F.col("n0")[k] + F.col("n1")[k]
-    one = lambda k: F.struct(F.count_if(n(k) > 0).alias("stems"), F.sum(F.col("contexts")[k]).alias("contexts"), *[f(c) for c in (0, 1) for f in (lambda c: F.sum(F.col(f"n{c}")[k]).alias(f"n{c}"), lambda c: F.sum(kept(c, k)).alias(f"kept{c}"))])
-    sums = counts.agg(*[one(k) for k in every]).first()
-    out = []
-    for k in every:
-        stems_, contexts, *own = [x or 0 for x in sums[k]]
-        shared = (F.col("contexts")[k] + 0.5) / (contexts + 0.5 * (stems_ + 1))
-        log = []
-        for c in (0, 1):
-            total = max(own[2 * c], 1)
-            log.append(F.log((kept(c, k) + (total - own[2 * c + 1]) * shared) / total))
-        out.append((log[1] - log[0]).cast("float"))
-    unseen = counts.sparkSession.range(1).select(F.lit(0).cast("long").alias("stem"), *[_none().alias(n) for n in ("n0", "n1", "contexts")])
-    return counts.unionByName(unseen).select("stem", F.array(*out).alias("difference"))
+    """key, difference: toxic minus ordinary log-likelihood of every string's last byte, and, under the keys of contexts, of a byte that never followed in either class; an array as in counted()."""
+    base = shared(counts)
+    discount = _discounts(counts, "n0", "n1")
+    before = staged(_contexts(counts, "n0", "n1"))
+    back = lambda c, k: F.when(F.col(f"n{c}_all")[k] > 0, discount[c][k] * F.col(f"n{c}_kinds")[k] / F.col(f"n{c}_all")[k]).otherwise(1.0)
+    none = before.select((F.col("before") + _CONTEXT).alias("key"), _each(lambda k: (F.log(back(1, k)) - F.log(back(0, k))).cast("float")).alias("difference"))
+    joined = counts.select("*", F.shiftright("string", 8).alias("before"), F.col("string").bitwiseAND((1 << 8 * (ORDER - 1)) - 1).alias("short")).join(before, "before").join(base.withColumnRenamed("string", "short"), "short")
+    own = lambda c, k: F.when(F.col(f"n{c}_all")[k] > 0, F.greatest(F.col(f"n{c}")[k] - discount[c][k], F.lit(0.0)) / F.col(f"n{c}_all")[k]).otherwise(0.0) + back(c, k) * F.col("p")[k]
+    seen = joined.select(F.col("string").alias("key"), _each(lambda k: (F.log(own(1, k)) - F.log(own(0, k))).cast("float")).alias("difference"))
+    out = staged(seen.union(none))
+    dropped(base, before)
+    return out
 
 
 class Model:
-    """Differences of some stems (rows as in counted()'s arrays), found by the stem; stem 0 stands for all others. Each text is measured by the row that its ``by`` names."""
-
-    def __init__(self, stem: np.ndarray, difference: np.ndarray):
-        order = np.argsort(stem)
-        self.stem, self.difference = stem[order].astype(np.uint32), difference[:, order].astype(np.float32)
-
-    def of(self, words: np.ndarray, by: np.ndarray) -> np.ndarray:
-        k = np.searchsorted(self.stem, words)
-        k[k == len(self.stem)] = 0
-        k[self.stem[k] != words] = 0
-        return self.difference[by, k].astype(np.float64)
-
-    def measures(self, words: np.ndarray, at: np.ndarray, by: np.ndarray) -> np.ndarray:
-        """A row of EVIDENCE for each text; zeros if it has no words."""
+    """Differences of some strings and contexts (rows as in counted()'s arrays), found by the key. Each text is measured by the row that its ``by`` names."""
+
+    def __init__(self, key: np.ndarray, difference: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.difference = key[order].astype(np.int64), difference[:, order].astype(np.float32)
+
+    def _place(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 for those that aren't there."""
+        if not len(self.key):
+            return np.full(len(wanted), -1)
+        k = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+        return np.where(self.key[k] == wanted, k, -1)
+
+    def words(self, low: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The difference of each word by each row of the model: the sum over its bytes and its end. Equal words are worked out once."""
+        if not len(first):
+            return np.zeros((len(self.difference), 0))
+        _, one, inverse = np.unique(word_hashes(low, first, stop), return_index=True, return_inverse=True)
+        string, at = strings(low, first[one], stop[one])
+        k = self._place(string)
+        lost = np.flatnonzero(k < 0)
+        k[lost] = self._place((string[lost] >> 8) + _CONTEXT)
+        d = np.where(k >= 0, self.difference[:, k].astype(np.float64), 0.0) if len(self.key) else np.zeros((len(self.difference), len(k)))
+        return np.add.reduceat(d, at[:-1], axis=1)[:, inverse]
+
+    def measures(self, d: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A row of EVIDENCE for each text, from its words' differences; zeros if it has no words."""
         out = np.zeros((len(at) - 1, len(EVIDENCE)))
-        d = self.of(words, np.repeat(by, np.diff(at)))
         sums = np.concatenate([[0.0], np.cumsum(d)])
         telling = np.concatenate([[0], np.cumsum(d > TELLING)])
         for k in range(len(at) - 1):
@@ -148,8 +185,10 @@ class Model:
 
     def evidence(self, column: pa.Array, by: np.ndarray) -> np.ndarray:
         out = np.zeros((len(column), len(EVIDENCE)))
-        for row, words, at in stems(column):
-            out[row : row + len(at) - 1] = self.measures(words, at, by[row : row + len(at) - 1])
+        for row, low, first, stop, at in word_slices(column):
+            every = self.words(low, first, stop)
+            own = every[np.repeat(by[row : row + len(at) - 1], np.diff(at)), np.arange(len(first))]
+            out[row : row + len(at) - 1] = self.measures(own, at)
         return out
 
 
@@ -181,30 +220,18 @@ def fold():
 
 def fit(docs: DataFrame, labels: DataFrame, learn, curve, max_curve_rows: int = MAX_CURVE_ROWS) -> tuple[DataFrame, np.ndarray]:
     """Model and curve. learn, curve: conditions on doc_id, for the rows that are counted and for those that the curve is fitted on. These are measured by the counts of the other folds, so a row may be both."""
+    docs = docs.select("doc_id", "text")
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-
-    def packed(batches):
-        for batch in batches:
-            found = [b""] * batch.num_rows
-            for row, words, at in stems(batch.column(1)):
-                for k in range(len(at) - 1):
-                    found[row + k] = words[at[k] : at[k + 1]].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "words"])
-
-    words = docs.where(learn).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, "doc_id long, words binary")
     # labels that are few are sent to the texts, so that texts aren't shuffled
-    few = marked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    to_learn = marked.where(learn)
-    rows = staged(words.join(F.broadcast(to_learn) if few else to_learn, "doc_id").select("toxic", fold().alias("fold"), "words"))
-    counts = staged(counted(rows))
-    dropped(rows)
-    model = staged(differences(counts))
+    to_learn = sent(marked.where(learn), BROADCAST_IDS)
+    counts = staged(counted(docs.where(learn).join(to_learn, "doc_id").select("toxic", fold().alias("fold"), F.col("text").cast("string").alias("text"))))
+    model = differences(counts)
     dropped(counts)
     ready = marked.where(curve)
     share = max_curve_rows / max(ready.count(), 1)
     if share < 1:
         ready = ready.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    seen = evidence(docs.where(curve).join(F.broadcast(ready), "doc_id").select("doc_id", "text", "toxic", (fold() + 1).alias("by")), model, "toxic", "by").toPandas()
+    seen = evidence(docs.where(curve).join(F.broadcast(ready), "doc_id").select("doc_id", "text", "toxic", (fold() + 1).alias("by")), model, "toxic", "by").toPandas()  # max_curve_rows or a little more
     y = seen["toxic"].to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
         return model, np.array([-20.0 if not len(y) or y.max() == 0 else 20.0, *[0] * len(EVIDENCE)])
@@ -213,18 +240,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn, curve, max_curve_rows: int =
 
 def evidence(docs: DataFrame, model: DataFrame, *more: str) -> DataFrame:
     """doc_id, the columns named in more, those of EVIDENCE, by the counts of all rows or those that a column ``by`` among more names (as in counted())."""
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *more)
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     fields = [f for f in kept.schema.fields if f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{e} double" for e in EVIDENCE)])
     names = [*(f.name for f in fields), *EVIDENCE]
-    if model.limit(BROADCAST_STEMS + 1).count() > BROADCAST_STEMS:
-        return _joined_evidence(kept, model, schema, names)
     by = names.index("by") if "by" in more else None
-    table = model.select("stem", *_wanted("by" in more)).toArrow()
-    sent = docs.sparkSession.sparkContext.broadcast((table["stem"].to_numpy(), _rows(table)))
+    wanted = [F.col("difference")[k].alias(f"d{k}") for k in (EVERY if by is not None else range(1))]
+    if not few(model, BROADCAST_STRINGS):
+        return _joined_evidence(kept, model.select("key", *wanted), schema, names)
+    table = model.select("key", *wanted).toArrow()  # BROADCAST_STRINGS rows at most
+    own_model = docs.sparkSession.sparkContext.broadcast((table["key"].to_numpy(), _rows(table)))
 
     def measure(batches):
-        own = Model(*sent.value)
+        own = Model(*own_model.value)
         for batch in batches:
             rest = [c for k, c in enumerate(batch.columns) if k != 1]
             x = own.evidence(batch.column(1), np.zeros(batch.num_rows, np.int64) if by is None else rest[by].to_numpy())
@@ -233,53 +261,47 @@ def evidence(docs: DataFrame, model: DataFrame, *more: str) -> DataFrame:
     return kept.mapInArrow(measure, schema)
 
 
-def _wanted(folds: bool) -> list:
-    return [F.col("difference")[k].alias(f"d{k}") for k in range(1 + FOLDS if folds else 1)]
-
-
 def _rows(table: pa.Table) -> np.ndarray:
     return np.stack([table[n].to_numpy() for n in table.column_names if re.fullmatch("d[0-9]+", n)])
 
 
 def _joined_evidence(kept: DataFrame, model: DataFrame, schema: str, names: list[str]) -> DataFrame:
-    """evidence() by joins: texts are dealt into chunks, each asks for every stem once, so a stem has as many rows as chunks however often it occurs, and gets a model of its own."""
-    others = [f"`{n}`" for n in names[: -len(EVIDENCE)]]
+    """evidence() by joins: texts are dealt into chunks, each asks for every string and context once, so one has as many rows as chunks however often it occurs, and gets a model of its own."""
+    fields = names[: -len(EVIDENCE)]
+    folds = "by" in names
 
     def chunks(batches):
         part, n, size = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            found, chunk = [b""] * batch.num_rows, []
-            for row, words, at in stems(batch.column(1)):
-                for k in range(len(at) - 1):
-                    found[row + k] = words[at[k] : at[k + 1]].tobytes()
-            for x in found:
-                if size and size + len(x) > 4 * _SLICE:
+            chunk = []
+            for x in batch.column(1):
+                length = len(x.as_buffer()) if x.is_valid else 0
+                if size and size + length > _CHUNK:
                     n, size = n + 1, 0
-                size += len(x) + 64
+                size += length + 64
                 chunk.append(part << 32 | n)
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != 1), pa.array(found, pa.binary()), pa.array(chunk, pa.int64())], names=[*names[: -len(EVIDENCE)], "words", "chunk"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk, pa.int64())], names=[*batch.schema.names, "chunk"])
 
     def asked(batches):
         for batch in batches:
             chunk = batch.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)] if len(chunk) else []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                stem = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(1)[a:b]]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(stem), chunk[a])), pa.array(stem.astype(np.int64))], names=["chunk", "stem"])
+                found = [strings(low, first, stop)[0] for _, low, first, stop, _ in word_slices(batch.column(1).slice(a, b - a))]
+                string = reduce(np.union1d, map(np.unique, found), np.zeros(0, np.int64))
+                key = np.concatenate([string, np.unique(string >> 8) + _CONTEXT])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), chunk[a])), pa.array(key)], names=["chunk", "key"])
 
     def measure(left, right):
-        own = Model(np.concatenate([[0], right["stem"].to_numpy()]), np.concatenate([unseen, _rows(right)], axis=1))
+        own = Model(right["key"].to_numpy(), _rows(right))
         by = left["by"].to_numpy() if folds else np.zeros(left.num_rows, np.int64)
-        texts = [np.frombuffer(x.as_buffer(), np.uint32) for x in left["words"]]
-        x = own.measures(np.concatenate(texts), np.cumsum([0, *map(len, texts)]), by) if texts else np.zeros((0, len(EVIDENCE)))
-        return pa.table([*(left[n] for n in names[: -len(EVIDENCE)]), *(pa.array(x[:, k]) for k in range(len(EVIDENCE)))], names=names)
+        x = own.evidence(left["text"], by) if left.num_rows else np.zeros((0, len(EVIDENCE)))
+        return pa.table([*(left[n] for n in fields), *(pa.array(x[:, k]) for k in range(len(EVIDENCE)))], names=names)
 
-    folds = "by" in names
-    unseen = np.array(model.where("stem = 0").select(*_wanted(folds)).first(), dtype=float)[:, None]
-    own = ", ".join(x for x in schema.split(", ")[: len(others)])
-    rows = staged(kept.mapInArrow(chunks, f"{own}, words binary, chunk long"))
-    wanted = rows.select("chunk", "words").mapInArrow(asked, "chunk long, stem long").distinct()
-    answers = wanted.join(model, "stem").select("chunk", "stem", *_wanted(folds))
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    rows = staged(kept.mapInArrow(chunks, f"{own}, chunk long"))
+    wanted = rows.select("chunk", "text").mapInArrow(asked, "chunk long, key long").distinct()
+    answers = wanted.join(model, "key").select("chunk", *model.columns)
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(measure, schema)
 
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import time
 import zlib
+from collections import Counter
 
-import numpy as np
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -251,41 +251,95 @@ def test_toxicity_of_odd_rows(spark, table, odd_rows):
     assert toxicity.scored(table([]), tables, curve).count() == 0
 
 
-def test_toxicity_counts_stems_and_contexts_exactly(spark, table, monkeypatch):
+def brute_differences(rows):
+    """(difference of a string's last byte, the strings seen) of class-conditional Kneser-Ney models with shared lower orders, from (toxic, text)."""
+    order = toxicity.ORDER
+    n = (Counter(), Counter())
+    for toxic, text in rows:
+        for w in re.findall(rb"[a-z0-9\x80-\xff]+", text.lower().encode()):
+            laid = b"\0" * (order - 1) + w + b"\x01"
+            n[toxic].update(laid[k : k + order] for k in range(len(laid) - order + 1))
+
+    def discount(values):
+        one, two = sum(v == 1 for v in values), sum(v == 2 for v in values)
+        return one / (one + 2 * two) if one and two else 0.5
+
+    def contexts(counts):
+        total, kinds = Counter(), Counter()
+        for g, v in counts.items():
+            total[g[:-1]] += v
+            kinds[g[:-1]] += 1
+        return total, kinds
+
+    levels, longer = {}, set(n[0]) | set(n[1])
+    for size in range(order - 1, 0, -1):
+        levels[size] = Counter(g[1:] for g in longer)
+        longer = set(levels[size])
+    held = {size: (level, discount(level.values()), *contexts(level)) for size, level in levels.items()}
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        level, d, total, kinds = held[len(g)]
+        return (max(level[g] - d, 0) + d * kinds[g[:-1]] * p(g[1:])) / total[g[:-1]] if total[g[:-1]] else p(g[1:])
+
+    own = [(discount(n[c].values()), *contexts(n[c])) for c in (0, 1)]
+
+    def log(c, g):
+        d, total, kinds = own[c]
+        return math.log((max(n[c][g] - d, 0) + d * kinds[g[:-1]] * p(g[1:])) / total[g[:-1]] if total[g[:-1]] else p(g[1:]))
+
+    return lambda g: log(1, g) - log(0, g), set(n[0]) | set(n[1])
+
+
+def _model(df):
+    return {r["key"]: r["difference"] for r in df.collect()}
+
+
+def test_toxicity_likelihoods_are_those_of_brute_force(spark):
     rng = random.Random(4)
-    rows = [(i, " ".join("".join(rng.choice("abcdefghij0é") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(0, 300)))) for i in range(120)]
-    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100)], "doc_id long, toxic int")
-    n, before = ({}, {}), {}
-    for i, text in rows[:100]:
-        own = [w.encode()[:4] for w in text.split()]
-        for a, b in zip([None, *own], own, strict=False):
-            n[i % 3 == 0][b] = n[i % 3 == 0].get(b, 0) + 1
-            before.setdefault(b, set()).update({a} - {None})
-    packed = spark.createDataFrame([(int(i % 3 == 0), i % toxicity.FOLDS, bytes(np.concatenate([np.zeros(0, np.uint32), *(w for _, w, _ in toxicity.stems(pa.array([t])))]).astype(np.uint32).tobytes())) for i, t in rows[:100]], "toxic int, fold int, words binary")
-    got = {int(r["stem"]).to_bytes(4, "big").rstrip(b"\0"): (r["n0"][0], r["n1"][0], r["contexts"][0]) for r in toxicity.counted(packed).collect()}
-    assert got == {s: (n[0].get(s, 0), n[1].get(s, 0), len(c)) for s, c in before.items()}
-    docs = table([*rows, (None, "abc abd"), (3, None)])
+    rows = [(int(i % 3 == 0), i % toxicity.FOLDS, " ".join("".join(rng.choice("abcdefghij0é") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 200)))) for i in range(100)]
+    got = _model(toxicity.differences(toxicity.counted(spark.createDataFrame(rows, "toxic int, fold int, text string"))))
+    for k in range(1 + toxicity.FOLDS):
+        want, seen = brute_differences([(t, x) for t, f, x in rows if f != k - 1])
+        for g in seen:
+            assert got[int.from_bytes(g, "big")][k] == pytest.approx(want(g), abs=1e-4)
+        for g in list(seen)[:200]:
+            never = g[:-1] + b"~"
+            assert got[int.from_bytes(g[:-1], "big") + (1 << 8 * toxicity.ORDER)][k] == pytest.approx(want(never), abs=1e-4)
+
+
+def test_toxicity_scores_are_sums_over_whole_words(spark, table, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghij0é") for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(0, 120)))) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100)] * 2, "doc_id long, toxic int")
+    docs = table([*rows, (None, "abc abd"), (3, None)]).withColumn("toxic", F.lit("x")).withColumn("by", F.lit(1))
     model, curve = toxicity.fit(docs, labels, F.lit(True), F.lit(True))
+    want, _ = brute_differences([(int(i % 3 == 0), t) for i, t in [*rows[:100], (3, "")]])
+    word = lambda w: sum(want((b"\0" * (toxicity.ORDER - 1) + w + b"\x01")[k : k + toxicity.ORDER]) for k in range(len(w) + 1))
+    got = {r["doc_id"]: r["mean"] for r in toxicity.evidence(docs, model).collect()}
+    for i, t in rows[60:]:
+        ws = [word(w.encode()) for w in t.split()]
+        assert got[i] == pytest.approx(sum(ws) / len(ws) if ws else 0, abs=1e-3)
     order = lambda df: sorted((str(r["doc_id"]), r["score"]) for r in df.collect())
-    sent = order(toxicity.scored(docs, model, curve))
-    monkeypatch.setattr(toxicity, "BROADCAST_STEMS", 10)
-    monkeypatch.setattr(toxicity, "_SLICE", 1000)
+    by_broadcast = order(toxicity.scored(docs, model, curve))
+    monkeypatch.setattr(toxicity, "BROADCAST_STRINGS", 10)
+    monkeypatch.setattr(toxicity, "_CHUNK", 1000)
     joined = order(toxicity.scored(docs, model, curve))
-    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(joined, sent, strict=True))
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(joined, by_broadcast, strict=True))
 
 
-def test_toxicity_counts_every_row_and_leaves_folds_out(spark):
-    words = lambda *x: np.concatenate([w for _, w, _ in toxicity.stems(pa.array([" ".join(x)]))]).tobytes()
-    rows = [(1, 0, words("a", "b", "a", "b")), (0, 0, words("c", "b")), (1, 1, words("a", "b")), (0, 3, words("d"))]
-    got = {chr(r["stem"] >> 24): (r["n0"], r["n1"], r["contexts"]) for r in toxicity.counted(spark.createDataFrame(rows, "toxic int, fold int, words binary")).collect()}
-    assert got["a"] == ([0] * 5, [3, 1, 2, 3, 3], [1, 0, 1, 1, 1])
-    assert got["b"] == ([1, 0, 1, 1, 1], [3, 1, 2, 3, 3], [2, 1, 2, 2, 2])
-    assert got["d"] == ([1, 1, 1, 1, 0], [0] * 5, [0] * 5)
+def test_toxicity_tells_words_with_one_opening_apart(spark, table):
+    rows = [(i, "the abcdxyz and so" if i % 2 else "the abcdqrs and so") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    model, curve = toxicity.fit(table(rows), labels, F.lit(True), F.lit(True))
+    scores = {r["doc_id"]: r["score"] for r in toxicity.scored(table(rows), model, curve).collect()}
+    assert min(scores[i] for i in range(301, 400, 2)) > 0.9 > 0.1 > max(scores[i] for i in range(300, 400, 2))
 
 
 def test_toxicity_query_learns_from_all_but_the_held_out(spark, tmp_path):
-    rows = [(i, f"alone{i} of the {'vile' if i % 2 else 'mild'} words") for i in range(300)]
-    rows = [(i, "z" + "abcdefghij"[i // 100] + "abcdefghij"[i // 10 % 10] + "abcdefghij"[i % 10] + " " + t.split(" ", 1)[1]) for i, t in rows]
+    word = lambda i: "z" + "".join("abcdefghij"[int(c)] for c in f"{i:03d}")
+    rows = [(i, f"{word(i)} of the {'vile' if i % 2 else 'mild'} words") for i in range(300)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     seen = []
@@ -295,6 +349,8 @@ def test_toxicity_query_learns_from_all_but_the_held_out(spark, tmp_path):
         toxicity.query(spark, str(tmp_path)).collect()
     finally:
         toxicity.scored = own
-    stems = {int(r["stem"]).to_bytes(4, "big").decode() for r in seen[0].where("stem > 0").collect()}
-    assert {t[:4] for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1} <= stems
-    assert not {t[:4] for i, t in rows if zlib.crc32(str(i).encode()) % 3 == 1} & stems
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
+    key = lambda i: int.from_bytes(word(i).encode() + b"\x01", "big")
+    keys = {r["key"] for r in seen[0].collect()}
+    assert {key(i) for i, _ in rows if i not in held} <= keys
+    assert not {key(i) for i in held} & keys
