@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and, but for the last, returns the columns of documents. Its decisions take effect: documents
 that break a rule go, one document of each near-duplicate group stays, personal data becomes its kind in brackets (n_chars follows), documents are repeated or left out as the mix asks, and the rest is packed.
+Columns of other names, whatever they are called, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -14,22 +15,27 @@ from citeweave.llm.common import dropped, staged
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break no quality rule, all columns as they are. A null or empty text is too short and goes; repeated rows are judged each on its own; an empty table stays empty."""
     return quality.passing(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (80 per cent of shingles of five words), the one with the smallest doc_id; rows that share it are cut to one. Texts without words and rows without doc_id stay."""
     return neardup.deduplicated(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text with its personal data as kinds in brackets; n_chars follows. Null texts stay null, their n_chars too; no row goes."""
     return pii.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's rate asks, in whole copies. A null source is one of its own; texts without words have no size and are emitted by their source's rate."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in a sequence of 1,024 ids. Null and empty texts have the end id alone; repeated rows are packed each on its own."""
     return packing.packed(docs, with_ids=False).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
