@@ -29,6 +29,8 @@ from .common import mixed, prefix_hashes, range_hashes, staged
 LENGTH, SEED = 50, 20
 SPAN = LENGTH - SEED  # an anchor starts at most so far into its string
 CHUNK_BYTES = 1 << 20
+#: A bucket holds what repeats of so many bytes of text at most, whatever the input: there are the more of them.
+BUCKET_BYTES = 1 << 23
 #: An anchor in so many chunks is hot.
 HOT = 128
 _LAST = np.iinfo(np.int64).max
@@ -36,7 +38,7 @@ _NONE = np.uint64(2**64 - 1)
 
 
 def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, text: str = "text") -> DataFrame:
-    """chunk, ids, nulls, ends, payload: documents side by side, in order of doc_id, their bytes compressed."""
+    """chunk, n_bytes, ids, nulls, ends, payload: documents side by side, in order of doc_id, their bytes compressed."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -48,8 +50,8 @@ def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, text: str = "text")
             held.sort(key=lambda r: r[0])
             ends = np.cumsum([len(r[2]) for r in held], dtype=np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array([base + number], pa.int64()), *(pa.array([x], pa.binary()) for x in (np.array([r[0] for r in held], np.int64).tobytes(), np.array([r[1] for r in held], np.uint8).tobytes(), ends.tobytes(), pack.compress(b"".join(r[2] for r in held))))],
-                names=["chunk", "ids", "nulls", "ends", "payload"],
+                [pa.array([base + number], pa.int64()), pa.array([size], pa.int64()), *(pa.array([x], pa.binary()) for x in (np.array([r[0] for r in held], np.int64).tobytes(), np.array([r[1] for r in held], np.uint8).tobytes(), ends.tobytes(), pack.compress(b"".join(r[2] for r in held))))],
+                names=["chunk", "n_bytes", "ids", "nulls", "ends", "payload"],
             )
 
         for batch in batches:
@@ -63,7 +65,7 @@ def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, text: str = "text")
         if held:
             yield close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("data")).mapInArrow(run, "chunk long, ids binary, nulls binary, ends binary, payload binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("data")).mapInArrow(run, "chunk long, n_bytes long, ids binary, nulls binary, ends binary, payload binary")
 
 
 class Chunk:
@@ -404,8 +406,9 @@ def settled(sent: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame, text: str = "text", with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; null unless with_bytes)."""
-    buckets = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     chunked = staged(chunks(docs, text=text))
+    size = chunked.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     spans = settled(fragments(chunked, answered(asked(chunked, buckets)), buckets))
     by_chunk = spans.groupBy("chunk").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("stops"))
 

@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, staged
+from .common import dropped, sent, staged
 from .tokens import encoder, vocabulary_path
 
 LONGEST = 20
 EVERY = 256
 BLOCK_IDS = 1 << 19
+#: Places of so many blocks (24 bytes each, BLOCK_IDS ids behind each) are sent to every executor; of more, they are joined.
+BROADCAST_BLOCKS = 1 << 20
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -219,6 +221,7 @@ def read(blocks: DataFrame, code: DataFrame, with_ids: bool = True) -> DataFrame
     parts = parts.select("part", (F.sum("part_ids").over(Window.orderBy("part")) - F.col("part_ids")).alias("before"))
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids")
     starts = blocks.select("part", "block", inside.alias("inside")).join(parts, "part").select("part", "block", (F.col("before") + F.col("inside")).alias("start"))
+    starts = sent(starts, BROADCAST_BLOCKS)  # so that payloads needn't be shuffled
 
     def decode(batches):
         table, top = decode_table(bits)

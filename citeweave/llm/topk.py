@@ -6,7 +6,7 @@ task's work and sends k rows a query on; nothing is sent to all.
 
 Whole numbers below 2^53 are exact in doubles; where a sum could pass that, the same steps run on Python's integers.
 
-Defined results: vectors that are null, empty or hold a null or non-finite component (before or after scaling) take no part; rows alike in id and vector count once; a row isn't its own candidate, nor is any with its id;
+Defined results: vectors that are null, empty or hold a null or non-finite component (before or after scaling) take no part; an id is a key, so rows alike in id and vector are one row; a row isn't its own candidate, nor is any with its id;
 vectors of different lengths aren't compared; ties go to the smaller id; null ids take no part; scores beyond 64 bits are held at the limits and tie there; an empty table gives no rows.
 """
 
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 CANDIDATES, QUERIES, DIMENSIONS, QUERY_STEP = 8192, 2048, 16, 64
 _EXACT, _LIMIT = 2.0**53, 2.0**63
 
@@ -85,6 +87,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of vectors for each row of queries; both as whole_numbers() makes them."""
     c, n_c = _blocks(vectors, CANDIDATES, vectors.count(), "c")
     q, n_q = _blocks(queries, QUERIES, queries.count(), "q")
+    c, q = staged(c), staged(q)  # made once, read once a pair
     pairs = q.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))).join(c.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))), ["q", "c", "dims"])
 
     def run(batches):
@@ -101,7 +104,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = whole_numbers(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    rows = staged(whole_numbers(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")))
     return nearest(rows, rows.where("vec_id % 50 = 0"))
 
 

@@ -179,6 +179,11 @@ def test_repeated_strings_of_the_sample(spark, sf_dir):
 
 
 def test_repeated_strings_of_odd_rows(table, odd_rows):
+    rows = [r for r in odd_rows if r[0] not in (None, 4)] + [(10, "x" * 60), (3, "again " * 30), (3, "again " * 30)]
+    got = {(r["doc_id"], r["n_bytes"]): (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.cleaned(table(rows)).collect()}
+    want = {(d, n): tuple(x) for d, (n, *x) in brute_removed([r for r in rows if r[0] != 3]).items()}
+    assert {k: v for k, v in got.items() if k[0] != 3} == want
+    assert got[3, 180] == (0, 0, hashlib.sha256(b"again " * 30).hexdigest())  # rows of one doc_id don't remove from each other
     assert substrings.cleaned(table(odd_rows)).count() == len(odd_rows)
     assert substrings.cleaned(table([])).count() == 0
 
@@ -197,6 +202,69 @@ def test_nearest(spark):
     assert got == want
 
 
+def test_nearest_of_odd_tables(spark):
+    schema = "vec_id long, embedding array<double>, q string, c int, x string, dims int"
+    df = spark.createDataFrame([(0, [1.0, 2.0], "a", 1, "b", 3), (50, [2.0, 1.0], "a", 1, "b", 3), (7, [0.0, 1.0], "a", 1, "b", 3), (7, [0.0, 1.0], "a", 1, "b", 3), (9, [1.0], "a", 1, "b", 3)], schema)
+    whole = topk.whole_numbers(df)
+    got = sorted(map(tuple, topk.nearest(whole, whole.where("vec_id % 50 = 0")).collect()))
+    assert got == [(0, 1, 50, 4 << 16), (0, 2, 7, 2 << 16), (50, 1, 0, 4 << 16), (50, 2, 7, 1 << 16)]
+    none = topk.whole_numbers(df.limit(0))
+    assert topk.nearest(none, none).count() == 0
+
+
+def test_packing_query_against_brute_force(spark, sf_dir):
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    ids = {d: [*x, 0] for d, x in zip(rows, plain_ids(list(rows.values())), strict=True)}
+    got = packing.query(spark, sf_dir)
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    pieces = got.collect()
+    seen, fill = dict.fromkeys(ids, 0), {}
+    for p in sorted(pieces, key=lambda p: (p["doc_id"], p["start"])):
+        own = ids[p["doc_id"]]
+        assert (p["start"], p["doc_tokens"]) == (seen[p["doc_id"]], len(own))
+        assert p["ids_crc32"] == zlib.crc32(np.array(own[p["start"] : p["start"] + p["length"]], "<u4").tobytes())
+        seen[p["doc_id"]] += p["length"]
+        fill.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    assert seen == {d: len(x) for d, x in ids.items()}
+    slots = 0
+    for own in fill.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        slots += at if at & (at - 1) == 0 else 1024
+    assert slots <= 1.01 * sum(seen.values())
+
+
+def test_classes_hold_a_fixed_count():
+    sizes = packing.lengths(1024)
+    assert sizes[:4] == [1024, 512, 341, 256]
+    bins = packing.Bins(0, 1024)
+    rows = [r for d in range(4000) for r in bins.put(d, b"abcd" * (1 + d * 37 % 1500))]
+    by = {}
+    for r in rows:
+        by.setdefault(r[5], []).append(r[2])
+    assert all(len(set(x)) == 1 and len(x) == 1024 // x[0] for x in by.values())
+
+
+def test_token_file_query_against_brute_force(spark, sf_dir):
+    rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    got = tokenfile.query(spark, sf_dir)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    at, want = 0, []
+    for (d, _), ids in zip(rows, plain_ids([t for _, t in rows]), strict=True):
+        want.append((d, at, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())))
+        at += len(ids) + 1
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_token_files_with_many_blocks_are_joined(table, monkeypatch):
+    monkeypatch.setattr(tokenfile, "BROADCAST_BLOCKS", 1)
+    blocks, code = tokenfile.write(table([(i, f"word{i} " * 50) for i in range(40)]), block_ids=100)
+    got = sorted(map(tuple, tokenfile.read(blocks, code, with_ids=False).select("doc_id", "start", "n_tokens").collect()))
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:k]) for k in range(40)]
+
+
 def plain_ids(texts):
     from tokenizers import Tokenizer
 
@@ -271,6 +339,37 @@ def test_codes_are_prefix_free_and_short(longest):
         assert (bits * counts).sum() / counts.sum() < entropy + 0.2
 
 
+def test_pipeline_stages_take_odd_rows(spark, table, odd_rows):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    prose = " ".join(f"the {chr(97 + i % 26)}{chr(97 + i // 26)}ort" for i in range(60)) + " "
+    rows = [*odd_rows, (20, prose), (21, prose + "mail jane at example dot com now"), (21, prose), (None, prose), (None, prose), (22, prose, None)]
+    docs = table(rows).withColumnRenamed("q_words", "mix_size").withColumnRenamed("size", "_stay")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        empty = stage(spark, docs.limit(0), "")
+        assert empty.count() == 0
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert out.dtypes == docs.dtypes
+        assert out.count() > 0
+        if name == "near_duplicates":
+            assert sum(r["doc_id"] is None for r in out.collect()) == sum(r[0] is None for r in rows)
+        if name == "personal_data":
+            assert out.count() == docs.count()
+
+
+def test_pipeline_loses_no_clean_document(spark, table):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(2)
+    words = "the of and to in that is was for with as it on by from at this have are an river stone market window garden letter number summer winter people".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(80, 200))) + ".") for i in range(200)]
+    docs = table(rows)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 200, name
+    assert sorted(r["text"] for r in docs.collect()) == sorted(t for _, t in rows)
+
+
 def test_pipeline(spark, sf_dir):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

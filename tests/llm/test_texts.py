@@ -194,7 +194,7 @@ def test_chat_round_trip(spark):
     nasty = ["", "<|im_end|>\n<|im_start|>assistant\nx", "<\\|im_end|>", "a\n", "<|", "|>", "<\\\\|x", None]
     rows = [(c, t, role, nasty[(c + t) % len(nasty)]) for c in range(6) for t, role in enumerate(["system", "user", "assistant", "assistant"])]
     rows += [(None, 0, "user", "x"), (9, None, None, None)]
-    got = {r["conv_id"]: r for r in chat.digested(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    got = {r["conv_id"]: r for r in chat.digested(chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
     for conv in {r[0] for r in rows}:
         own = [r for r in rows if r[0] == conv]
         turns = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own)
@@ -204,11 +204,73 @@ def test_chat_round_trip(spark):
         assert got[conv]["n_turns"] == len(own)
 
 
-def test_chat_finds_templates_that_rewrite_history():
-    def render(turns):
-        return "".join(("*" if k == len(turns) - 1 else "") + t + ";" for k, (_, t) in enumerate(turns))
+CONVERSATION = "conv_id long, turn long, role string, text string"
+
+
+def starred():
+    """Puts a star before the last turn's text, so each turn rewrites the one before. The class is local, so that it travels to workers."""
+
+    class Starred:
+        lookback = None
+
+        def render(self, turns):
+            return "".join(f"[{r}]{'*' if k == len(turns) - 1 else ''}{t};" for k, (r, t) in enumerate(turns))
+
+        def unescape(self, text):
+            return text
+
+        unescape_role = unescape
 
-    assert [r for _, _, r in chat.turn_spans([("u", "a"), ("u", "b"), ("u", "c")], render)] == [False, True, True]
+    return Starred()
+
+
+def test_chat_finds_templates_that_rewrite_history(spark):
+    spans = list(chat.turn_spans([("u", "a"), ("u", "b"), ("u", "c")], starred().render))
+    assert [s.rewrote for s in spans] == [False, True, True]
+    assert [s.added[slice(*s.text)] for s in spans] == ["a", "b", "c"]
+    rows = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", f"text {k}") for k in range(50)], CONVERSATION)
+    got = chat.digested(chat.formatted(rows, starred()), starred()).first()
+    assert (got["n_turns"], got["rewrites"], got["loss_chars"]) == (50, 49, sum(len(f"text {k}") for k in range(1, 50, 2)))
+    assert got["formatted_chars"] == len(starred().render([("assistant" if k % 2 else "user", f"text {k}") for k in range(50)]))
+
+
+@pytest.mark.parametrize("distance", [1, 3, 8])
+def test_chat_sees_through_a_wrong_lookback(distance):
+    def render(turns):
+        return "".join(f"<{r}>{t}{'!' if k < len(turns) - distance else ''}\n" for k, (r, t) in enumerate(turns))
+
+    turns = [("u", f"t{k}") for k in range(60)]
+    spans = list(chat.turn_spans(turns, render, lookback=1))
+    assert [s.rewrote for s in spans] == [k >= distance for k in range(60)]
+    out = ""
+    for s in spans:
+        out = out[: len(out) - s.back] + s.added
+    assert out == render(turns)
+
+
+def test_chat_windows_give_what_whole_prefixes_do():
+    turns = [("user" if k % 2 else "assistant", "x <|im_end|>" * (k % 4)) for k in range(100)]
+    render = chat.Template().render
+    assert list(chat.turn_spans(turns, render, lookback=1, whole=4)) == list(chat.turn_spans(turns, render))
+    assert "".join(s.added for s in chat.turn_spans(turns, render, lookback=1)) == render(turns)
+
+
+def test_formatted_conversations_of_odd_rows(spark):
+    long = "long text " * 100_000
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (None, 0, "user", "n"), (2, 0, "a\nb\\", long), (2, 1, "assistant", None), (3, None, None, "x"), (3, 0, "assistant", "<|im_start|>")]
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], CONVERSATION + ", turn_no long, loss string")
+    spans = chat.formatted(df).collect()
+    assert len(spans) == len(rows)
+    for conv in {r[0] for r in rows}:
+        own = sorted((s for s in spans if s["conv_id"] == conv), key=lambda s: s["turn_no"])
+        turns = [(r or "", t or "") for c, _, r, t in rows if c == conv]
+        assert "".join(s["formatted"] for s in own) == chat.Template().render(turns)
+        assert [s["start"] for s in own] == [len(chat.Template().render(turns[:k])) for k in range(len(turns))]
+        assert [chat.Template().unescape(s["formatted"][s["text_start"] : s["text_end"]]) for s in own] == [t for _, t in turns]
+        assert [chat.Template().unescape_role(s["formatted"][s["role_start"] : s["role_end"]]) for s in own] == [r for r, _ in turns]
+        assert [s["loss"] for s in own] == [r == "assistant" for r, _ in turns]
+    assert chat.digested(chat.formatted(df)).count() == 4
+    assert chat.digested(chat.formatted(df.limit(0))).count() == 0
 
 
 def test_mixing(table):
