@@ -295,8 +295,8 @@ def clustered(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFra
 
 def deduplicated(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
     """docs, all columns, with one document of each component: the one with the smallest doc_id. Rows that share it are cut to one."""
-    stay = clustered(docs, percent, text).where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    known = docs.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id"])
+    stay = clustered(docs, percent, text).where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where("doc_id is null"))
 
 
