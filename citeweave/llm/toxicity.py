@@ -1,11 +1,11 @@
-"""Toxicity by class-conditional Kneser-Ney models of the bytes of words.
+"""Toxicity by class-conditional Kneser-Ney models of words and of their stems.
 
-Each class has a model of order ORDER: a byte of a word (or the word's end) given the bytes before it, from the class's own counts with Kneser-Ney's discount, estimated from how many strings occur once and twice.
-What the discounts take goes to one lower-order distribution that both classes share: Kneser-Ney continuation counts (in how many different contexts a string follows, over both classes), discounted the same way, down to order 1.
-So whole words are read, and rare ones and compounds are judged by their parts. A word's evidence is the difference of its toxic and ordinary log-likelihoods. A text's evidence is that difference, length-normalised, over the text, over its worst window
+Each class has counts of whole words, and of stems (a word's first STEM characters, so that compounds and inflections share evidence), from which Kneser-Ney's discount is taken, estimated from how many occur once and twice.
+What the discounts take goes to one back-off distribution that both classes share: the continuation count, in how many different contexts (texts, of either class) a word or stem occurs. So rare expressions are judged alike in both classes.
+A word's evidence is the difference of its toxic and ordinary log-likelihoods. A text's evidence, by words and by stems, is that difference, length-normalised, over the text, over its worst window
 and over its most telling words; a logistic curve, fitted on labelled texts by counts that leave out the fold of the text, turns it into a score.
 
-Counts cover every labelled text to learn from, exactly, in Spark tables that grow with the corpus. Up to BROADCAST_STRINGS of the model's strings are sent to tasks, more are joined to chunks of texts.
+Counts cover every labelled text to learn from, in Spark tables that grow with the corpus: a word is one of as many 64-bit hashes as there are words. Up to BROADCAST_KEYS words and stems are sent to tasks, more are joined to chunks of texts.
 The curve is fitted on at most ``max_curve_rows`` rows or a little more, drawn by a hash of doc_id.
 
 Defined results: null and empty texts get the score of no evidence; several labels of one document count as toxic if any does; null labels and null doc_ids in labels aren't learned from;
@@ -23,24 +23,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, dropped, few, lowered, runs, sent, staged, text_slices, word_hashes
+from .common import BROADCAST_IDS, dropped, few, lowered, mixed, runs, sent, staged, text_slices, word_hashes
 
-#: A byte and the bytes before it that its probability is given by; strings are kept as whole numbers, the last byte lowest.
-ORDER = 5
-#: Stands behind a word; zeros stand before it.
-_END = 1
-#: Marks the keys of contexts among those of whole strings.
-_CONTEXT = 1 << (8 * ORDER)
+STEM = 4
+#: Keys of what no text has: a word, a stem.
+UNSEEN = (0, 1)
+LEVELS = range(2)
 WINDOW = 24
 #: A difference of log-likelihoods from which a word counts as telling, and how many of the most telling ones are averaged.
 TELLING, MOST = 2.0, 3
-EVIDENCE = ("mean", "worst", "dense", "top", "share")
+MEASURES = ("mean", "worst", "dense", "top", "share")
+EVIDENCE = (*MEASURES, *(f"stem_{m}" for m in MEASURES))
 MAX_CURVE_ROWS = 20_000
 #: Parts of the counted rows; the curve sees each part by the counts of the others.
 FOLDS = 4
 EVERY = range(1 + FOLDS)
-#: So many strings (12 bytes each, or 28 for the folds of the curve) are sent to every executor; of more, each chunk of texts gets its own by a join.
-BROADCAST_STRINGS = 1 << 21
+#: So many words and stems (12 bytes each, or 28 for the folds of the curve) are sent to every executor; of more, each chunk of texts gets its own by a join.
+BROADCAST_KEYS = 1 << 21
 #: Bytes of text that are joined to a model at a time.
 _CHUNK = 1 << 22
 
@@ -53,125 +52,98 @@ def word_slices(column: pa.Array):
         yield row, low, first, stop, at
 
 
-def strings(low: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The string of ORDER bytes that ends at each byte of each word and behind it, and where each word's strings start."""
-    size = stop - first
-    pad = ORDER - 1
-    begins = np.concatenate([[0], np.cumsum(size + pad + 1)]).astype(np.int64)
-    laid = np.zeros(int(begins[-1]), np.uint8)
-    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    laid[np.repeat(begins[:-1] + pad, size) + within] = low[np.repeat(first, size) + within]
-    laid[begins[1:] - 1] = _END
-    out = np.zeros(max(len(laid) - pad, 0), np.int64)
-    for k in range(ORDER):
-        out = out << 8 | laid[k : len(laid) - pad + k]
-    own = size + 1
-    at = np.concatenate([[0], np.cumsum(own)]).astype(np.int64)
-    return out[np.repeat(begins[:-1], own) + np.arange(at[-1]) - np.repeat(at[:-1], own)], at
+def keys(low: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word the key of the whole and that of its stem."""
+    begins = np.flatnonzero((low & 0xC0) != 0x80)  # characters
+    k = np.searchsorted(begins, first) + STEM
+    cut = np.where(k < len(begins), begins[np.minimum(k, len(begins) - 1)], len(low)) if len(first) else first
+    return word_hashes(low, first, stop).view(np.int64), mixed(word_hashes(low, first, np.minimum(stop, cut)), 21).view(np.int64)
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """string, n0, n1: occurrences by class in rows (toxic, fold, text); arrays of 1 + FOLDS: in all rows, then in all but those of each fold."""
+    """level, key, n0, n1 (occurrences by class), texts (that have it) of rows (toxic, fold, text); arrays of 1 + FOLDS: in all rows, then in all but those of each fold."""
 
     def occurrences(batches):
         for batch in batches:
             group = np.array(batch.column(0).to_pylist(), np.int64) * FOLDS + np.array(batch.column(1).to_pylist(), np.int64)
             for row, low, first, stop, at in word_slices(batch.column(2)):
-                own = np.repeat(group[row : row + len(at) - 1], np.diff(at))
-                for g in np.unique(own).tolist():
-                    found, n = np.unique(strings(low, first[own == g], stop[own == g])[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(np.full(len(found), x, np.int32)) for x in (g // FOLDS, g % FOLDS)), pa.array(n.astype(np.int64))], names=["string", "toxic", "fold", "n"])
+                text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                own = group[row + text]
+                for level, key in enumerate(keys(low, first, stop)):
+                    order = np.lexsort((text, key, own))
+                    g, k, t = own[order], key[order], text[order]
+                    fresh = np.flatnonzero(np.diff(k, prepend=~k[:1]) | np.diff(g, prepend=-1))
+                    if len(fresh):
+                        other = (np.diff(t, prepend=-1) != 0).astype(np.int64)
+                        other[fresh] = 1
+                        n, texts = np.diff(np.append(fresh, len(k))), np.add.reduceat(other, fresh)
+                        numbers = (np.full(len(fresh), level), g[fresh] // FOLDS, g[fresh] % FOLDS)
+                        yield pa.RecordBatch.from_arrays([pa.array(k[fresh]), *(pa.array(x.astype(np.int32)) for x in numbers), pa.array(n.astype(np.int64)), pa.array(texts)], names=["key", "level", "toxic", "fold", "n", "texts"])
 
     others = [F.lit(True), *(F.col("fold") != f for f in range(FOLDS))]
-    count = lambda c: F.array(*[F.coalesce(F.sum(F.when((F.col("toxic") == c) & o, F.col("n"))), F.lit(0)) for o in others]).alias(f"n{c}")
-    return rows.select("toxic", "fold", "text").mapInArrow(occurrences, "string long, toxic int, fold int, n long").groupBy("string").agg(count(0), count(1))
-
-
-def _each(f):
-    return F.array(*map(f, EVERY))
-
-
-def _discounts(table: DataFrame, *columns: str) -> list[list[float]]:
-    """For each column of counts, Kneser-Ney's discount n1 / (n1 + 2 n2) of each of its variants, from how many counts are 1 and 2."""
-    cell = lambda c, k: F.struct(F.count_if(F.col(c)[k] == 1).alias("one"), F.count_if(F.col(c)[k] == 2).alias("two"))
-    found = table.agg(*[cell(c, k) for c in columns for k in EVERY]).first()
-    at = [r["one"] / (r["one"] + 2 * r["two"]) if r["one"] and r["two"] else 0.5 for r in found]
-    return [at[i * len(EVERY) : (i + 1) * len(EVERY)] for i in range(len(columns))]
-
-
-def _contexts(table: DataFrame, *columns: str) -> DataFrame:
-    """before (a string without its last byte), and for each column c of counts c_all (their sum) and c_kinds (how many strings have it)."""
-    total = [_each(lambda k, c=c: F.sum(F.col(c)[k])).alias(f"{c}_all") for c in columns]
-    kinds = [_each(lambda k, c=c: F.count_if(F.col(c)[k] > 0)).alias(f"{c}_kinds") for c in columns]
-    return table.groupBy(F.shiftright("string", 8).alias("before")).agg(*total, *kinds)
-
-
-def shared(counts: DataFrame) -> DataFrame:
-    """string (of ORDER - 1 bytes), p: its last byte's probability after the others, by continuation counts over both classes."""
-    levels = []
-    longer = counts.select("string", _each(lambda k: (F.col("n0")[k] + F.col("n1")[k] > 0).cast("long")).alias("n"))
-    for size in range(ORDER - 1, 0, -1):
-        cut = longer.select(F.col("string").bitwiseAND((1 << 8 * size) - 1).alias("string"), "n")
-        longer = staged(cut.groupBy("string").agg(_each(lambda k: F.count_if(F.col("n")[k] > 0)).alias("n")))
-        levels.append(longer)
-    out = None
-    for size, level in enumerate(reversed(levels), 1):
-        discount = _discounts(level, "n")[0]
-        held = level.withColumn("before", F.shiftright("string", 8)).join(_contexts(level, "n"), "before")
-        if out is None:
-            held = held.withColumn("low", F.array(*[F.lit(1 / 256)] * len(EVERY)))
-        else:
-            held = held.withColumn("short", F.col("string").bitwiseAND((1 << 8 * (size - 1)) - 1)).join(out.select(F.col("string").alias("short"), F.col("p").alias("low")), "short")
-        p = lambda k: F.when(F.col("n_all")[k] > 0, (F.greatest(F.col("n")[k] - discount[k], F.lit(0.0)) + discount[k] * F.col("n_kinds")[k] * F.col("low")[k]) / F.col("n_all")[k]).otherwise(F.col("low")[k])  # noqa: E731, B023
-        before, out = out, staged(held.select("string", _each(p).alias("p")))
-        dropped(level, *([before] if before is not None else []))
+    total = lambda c, where: F.array(*[F.coalesce(F.sum(F.when(where & o, F.col(c))), F.lit(0)) for o in others])
+    found = rows.select("toxic", "fold", "text").mapInArrow(occurrences, "key long, level int, toxic int, fold int, n long, texts long")
+    return found.groupBy("level", "key").agg(*[total("n", F.col("toxic") == c).alias(f"n{c}") for c in (0, 1)], total("texts", F.lit(True)).alias("texts"))
+
+
+def discounts(counts: DataFrame) -> dict:
+    """By (level, class, variant) Kneser-Ney's discount n1 / (n1 + 2 n2), from how many words or stems occur once and twice."""
+    cell = lambda c, k: F.struct(F.count_if(F.col(f"n{c}")[k] == 1).alias("one"), F.count_if(F.col(f"n{c}")[k] == 2).alias("two"))
+    out = {(level, c, k): 0.5 for level in LEVELS for c in (0, 1) for k in EVERY}
+    for row in counts.groupBy("level").agg(*[cell(c, k).alias(f"{c}{k}") for c in (0, 1) for k in EVERY]).collect():  # two rows
+        for c in (0, 1):
+            for k in EVERY:
+                one, two = row[f"{c}{k}"]
+                if one and two:
+                    out[row["level"], c, k] = one / (one + 2 * two)
     return out
 
 
 def differences(counts: DataFrame) -> DataFrame:
-    """key, difference: toxic minus ordinary log-likelihood of every string's last byte, and, under the keys of contexts, of a byte that never followed in either class; an array as in counted()."""
-    base = shared(counts)
-    discount = _discounts(counts, "n0", "n1")
-    before = staged(_contexts(counts, "n0", "n1"))
-    back = lambda c, k: F.when(F.col(f"n{c}_all")[k] > 0, discount[c][k] * F.col(f"n{c}_kinds")[k] / F.col(f"n{c}_all")[k]).otherwise(1.0)
-    none = before.select((F.col("before") + _CONTEXT).alias("key"), _each(lambda k: (F.log(back(1, k)) - F.log(back(0, k))).cast("float")).alias("difference"))
-    joined = counts.select("*", F.shiftright("string", 8).alias("before"), F.col("string").bitwiseAND((1 << 8 * (ORDER - 1)) - 1).alias("short")).join(before, "before").join(base.withColumnRenamed("string", "short"), "short")
-    own = lambda c, k: F.when(F.col(f"n{c}_all")[k] > 0, F.greatest(F.col(f"n{c}")[k] - discount[c][k], F.lit(0.0)) / F.col(f"n{c}_all")[k]).otherwise(0.0) + back(c, k) * F.col("p")[k]
-    seen = joined.select(F.col("string").alias("key"), _each(lambda k: (F.log(own(1, k)) - F.log(own(0, k))).cast("float")).alias("difference"))
-    out = staged(seen.union(none))
-    dropped(base, before)
-    return out
+    """key, difference: toxic minus ordinary log-likelihood of every word and stem, and of those that no text has (UNSEEN); an array as in counted()."""
+    held = discounts(counts)
+    out = None
+    for level in LEVELS:
+        own = counts.where(F.col("level") == level)
+        kept = lambda c, k: F.greatest(F.col(f"n{c}")[k] - held[level, c, k], F.lit(0.0))  # noqa: B023, E731
+        cell = lambda k: F.struct(F.count_if(F.col("n0")[k] + F.col("n1")[k] > 0), F.sum(F.col("texts")[k]), *[f(c) for c in (0, 1) for f in (lambda c: F.sum(F.col(f"n{c}")[k]), lambda c: F.sum(kept(c, k)))])  # noqa: B023, E731
+        sums = [[x or 0 for x in r] for r in own.agg(*[cell(k) for k in EVERY]).first()]
+
+        def difference(k):
+            kinds, texts, *by_class = sums[k]  # noqa: B023
+            shared = (F.col("texts")[k] + 0.5) / (texts + 0.5 * (kinds + 1))
+            log = []
+            for c in (0, 1):
+                total = max(by_class[2 * c], 1)
+                log.append(F.log((kept(c, k) + (total - by_class[2 * c + 1]) * shared) / total))  # noqa: B023
+            return (log[1] - log[0]).cast("float")
+
+        none = counts.sparkSession.range(1).select(F.lit(UNSEEN[level]).cast("long").alias("key"), *[F.array(*[F.lit(0).cast("long")] * len(EVERY)).alias(n) for n in ("n0", "n1", "texts")])
+        rows = own.select("key", "n0", "n1", "texts").unionByName(none).select("key", F.array(*map(difference, EVERY)).alias("difference"))
+        out = rows if out is None else out.union(rows)
+    return staged(out)
 
 
 class Model:
-    """Differences of some strings and contexts (rows as in counted()'s arrays), found by the key. Each text is measured by the row that its ``by`` names."""
+    """Differences of some words and stems (rows as in counted()'s arrays), found by the key; the others are UNSEEN. Each text is measured by the row that its ``by`` names."""
 
     def __init__(self, key: np.ndarray, difference: np.ndarray):
         order = np.argsort(key)
         self.key, self.difference = key[order].astype(np.int64), difference[:, order].astype(np.float32)
 
-    def _place(self, wanted: np.ndarray) -> np.ndarray:
-        """Places of keys, -1 for those that aren't there."""
-        if not len(self.key):
-            return np.full(len(wanted), -1)
-        k = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
-        return np.where(self.key[k] == wanted, k, -1)
-
-    def words(self, low: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """The difference of each word by each row of the model: the sum over its bytes and its end. Equal words are worked out once."""
-        if not len(first):
-            return np.zeros((len(self.difference), 0))
-        _, one, inverse = np.unique(word_hashes(low, first, stop), return_index=True, return_inverse=True)
-        string, at = strings(low, first[one], stop[one])
-        k = self._place(string)
-        lost = np.flatnonzero(k < 0)
-        k[lost] = self._place((string[lost] >> 8) + _CONTEXT)
-        d = np.where(k >= 0, self.difference[:, k].astype(np.float64), 0.0) if len(self.key) else np.zeros((len(self.difference), len(k)))
-        return np.add.reduceat(d, at[:-1], axis=1)[:, inverse]
+    def words(self, low: np.ndarray, first: np.ndarray, stop: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """The difference of each word, by the row that ``by`` names, as a whole and by its stem."""
+        out = np.zeros((len(LEVELS), len(first)))
+        for level, key in enumerate(keys(low, first, stop)):
+            one, inverse = np.unique(key, return_inverse=True)
+            k = np.minimum(np.searchsorted(self.key, one), len(self.key) - 1)
+            k = np.where(self.key[k] == one, k, np.searchsorted(self.key, UNSEEN[level]))
+            out[level] = self.difference[by, k[inverse]]
+        return out
 
     def measures(self, d: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """A row of EVIDENCE for each text, from its words' differences; zeros if it has no words."""
-        out = np.zeros((len(at) - 1, len(EVIDENCE)))
+        """A row of MEASURES for each text, from its words' differences; zeros if it has no words."""
+        out = np.zeros((len(at) - 1, len(MEASURES)))
         sums = np.concatenate([[0.0], np.cumsum(d)])
         telling = np.concatenate([[0], np.cumsum(d > TELLING)])
         for k in range(len(at) - 1):
@@ -184,11 +156,11 @@ class Model:
         return out
 
     def evidence(self, column: pa.Array, by: np.ndarray) -> np.ndarray:
+        """A row of EVIDENCE for each text."""
         out = np.zeros((len(column), len(EVIDENCE)))
         for row, low, first, stop, at in word_slices(column):
-            every = self.words(low, first, stop)
-            own = every[np.repeat(by[row : row + len(at) - 1], np.diff(at)), np.arange(len(first))]
-            out[row : row + len(at) - 1] = self.measures(own, at)
+            levels = self.words(low, first, stop, np.repeat(by[row : row + len(at) - 1], np.diff(at)))
+            out[row : row + len(at) - 1] = np.concatenate([self.measures(d, at) for d in levels], axis=1)
         return out
 
 
@@ -246,9 +218,9 @@ def evidence(docs: DataFrame, model: DataFrame, *more: str) -> DataFrame:
     names = [*(f.name for f in fields), *EVIDENCE]
     by = names.index("by") if "by" in more else None
     wanted = [F.col("difference")[k].alias(f"d{k}") for k in (EVERY if by is not None else range(1))]
-    if not few(model, BROADCAST_STRINGS):
+    if not few(model, BROADCAST_KEYS):
         return _joined_evidence(kept, model.select("key", *wanted), schema, names)
-    table = model.select("key", *wanted).toArrow()  # BROADCAST_STRINGS rows at most
+    table = model.select("key", *wanted).toArrow()  # BROADCAST_KEYS rows at most
     own_model = docs.sparkSession.sparkContext.broadcast((table["key"].to_numpy(), _rows(table)))
 
     def measure(batches):
@@ -266,7 +238,7 @@ def _rows(table: pa.Table) -> np.ndarray:
 
 
 def _joined_evidence(kept: DataFrame, model: DataFrame, schema: str, names: list[str]) -> DataFrame:
-    """evidence() by joins: texts are dealt into chunks, each asks for every string and context once, so one has as many rows as chunks however often it occurs, and gets a model of its own."""
+    """evidence() by joins: texts are dealt into chunks, each asks for every word and stem once, so one has as many rows as chunks however often it occurs, and gets a model of its own."""
     fields = names[: -len(EVIDENCE)]
     folds = "by" in names
 
@@ -287,9 +259,8 @@ def _joined_evidence(kept: DataFrame, model: DataFrame, schema: str, names: list
             chunk = batch.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)] if len(chunk) else []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                found = [strings(low, first, stop)[0] for _, low, first, stop, _ in word_slices(batch.column(1).slice(a, b - a))]
-                string = reduce(np.union1d, map(np.unique, found), np.zeros(0, np.int64))
-                key = np.concatenate([string, np.unique(string >> 8) + _CONTEXT])
+                found = [np.unique(x) for _, low, first, stop, _ in word_slices(batch.column(1).slice(a, b - a)) for x in keys(low, first, stop)]
+                key = reduce(np.union1d, found, np.array(UNSEEN, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), chunk[a])), pa.array(key)], names=["chunk", "key"])
 
     def measure(left, right):

@@ -10,6 +10,7 @@ import time
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -314,78 +315,57 @@ def test_toxicity_of_odd_rows(spark, table, odd_rows):
 
 
 def brute_differences(rows):
-    """(difference of a string's last byte, the strings seen) of class-conditional Kneser-Ney models with shared lower orders, from (toxic, text)."""
-    order = toxicity.ORDER
-    n = (Counter(), Counter())
-    for toxic, text in rows:
-        for w in re.findall(rb"[a-z0-9\x80-\xff]+", text.lower().encode()):
-            laid = b"\0" * (order - 1) + w + b"\x01"
-            n[toxic].update(laid[k : k + order] for k in range(len(laid) - order + 1))
-
-    def discount(values):
-        one, two = sum(v == 1 for v in values), sum(v == 2 for v in values)
-        return one / (one + 2 * two) if one and two else 0.5
-
-    def contexts(counts):
-        total, kinds = Counter(), Counter()
-        for g, v in counts.items():
-            total[g[:-1]] += v
-            kinds[g[:-1]] += 1
-        return total, kinds
-
-    levels, longer = {}, set(n[0]) | set(n[1])
-    for size in range(order - 1, 0, -1):
-        levels[size] = Counter(g[1:] for g in longer)
-        longer = set(levels[size])
-    held = {size: (level, discount(level.values()), *contexts(level)) for size, level in levels.items()}
-
-    def p(g):
-        if not g:
-            return 1 / 256
-        level, d, total, kinds = held[len(g)]
-        return (max(level[g] - d, 0) + d * kinds[g[:-1]] * p(g[1:])) / total[g[:-1]] if total[g[:-1]] else p(g[1:])
-
-    own = [(discount(n[c].values()), *contexts(n[c])) for c in (0, 1)]
-
-    def log(c, g):
-        d, total, kinds = own[c]
-        return math.log((max(n[c][g] - d, 0) + d * kinds[g[:-1]] * p(g[1:])) / total[g[:-1]] if total[g[:-1]] else p(g[1:]))
-
-    return lambda g: log(1, g) - log(0, g), set(n[0]) | set(n[1])
+    """For words and for stems, the difference of any of them, from (toxic, text): counts discounted by n1 / (n1 + 2 n2), the rest by the number of texts."""
+    out = []
+    for unit in (lambda w: w, lambda w: w[: toxicity.STEM]):
+        n, texts = (Counter(), Counter()), Counter()
+        for toxic, text in rows:
+            own = [unit(w) for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())]
+            n[toxic].update(own)
+            texts.update(set(own))
+        shared = lambda u, texts=texts, n=n: (texts[u] + 0.5) / (sum(texts.values()) + 0.5 * (len(set(n[0]) | set(n[1])) + 1))
+        log = []
+        for c in (0, 1):
+            one, two = (sum(v == k for v in n[c].values()) for k in (1, 2))
+            d = one / (one + 2 * two) if one and two else 0.5
+            total, kept = max(sum(n[c].values()), 1), sum(max(v - d, 0) for v in n[c].values())
+            log.append(lambda u, c=c, d=d, total=total, kept=kept, n=n, shared=shared: math.log((max(n[c][u] - d, 0) + (total - kept) * shared(u)) / total))
+        out.append((lambda w, unit=unit, log=log: log[1](unit(w)) - log[0](unit(w)), set(n[0]) | set(n[1])))
+    return out
 
 
-def _model(df):
-    return {r["key"]: r["difference"] for r in df.collect()}
+def _keys(words):
+    """Keys of words as wholes, and by their stems."""
+    _, low, first, stop, _ = next(toxicity.word_slices(pa.array([" ".join(words)])))
+    return [k.tolist() for k in toxicity.keys(low, first, stop)]
 
 
 def test_toxicity_likelihoods_are_those_of_brute_force(spark):
     rng = random.Random(4)
-    rows = [(int(i % 3 == 0), i % toxicity.FOLDS, " ".join("".join(rng.choice("abcdefghij0é") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 200)))) for i in range(100)]
-    got = _model(toxicity.differences(toxicity.counted(spark.createDataFrame(rows, "toxic int, fold int, text string"))))
+    rows = [(int(i % 3 == 0), i % toxicity.FOLDS, " ".join("".join(rng.choice("abcdefghijé") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(0, 300)))) for i in range(100)]
+    got = {r["key"]: r["difference"] for r in toxicity.differences(toxicity.counted(spark.createDataFrame(rows, "toxic int, fold int, text string"))).collect()}
     for k in range(1 + toxicity.FOLDS):
-        want, seen = brute_differences([(t, x) for t, f, x in rows if f != k - 1])
-        for g in seen:
-            assert got[int.from_bytes(g, "big")][k] == pytest.approx(want(g), abs=1e-4)
-        for g in list(seen)[:200]:
-            never = g[:-1] + b"~"
-            assert got[int.from_bytes(g[:-1], "big") + (1 << 8 * toxicity.ORDER)][k] == pytest.approx(want(never), abs=1e-4)
+        for level, (want, seen) in enumerate(brute_differences([(t, x) for t, f, x in rows if f != k - 1])):
+            seen = sorted(seen)
+            assert [got[key][k] for key in _keys(seen)[level]] == pytest.approx([want(w) for w in seen], abs=1e-4)
+            assert got[toxicity.UNSEEN[level]][k] == pytest.approx(want("zzzzzz"), abs=1e-4)
 
 
-def test_toxicity_scores_are_sums_over_whole_words(spark, table, monkeypatch):
+def test_toxicity_scores_come_from_all_words(spark, table, monkeypatch):
     rng = random.Random(5)
-    rows = [(i, " ".join("".join(rng.choice("abcdefghij0é") for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(0, 120)))) for i in range(120)]
+    rows = [(i, " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 120)))) for i in range(120)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100)] * 2, "doc_id long, toxic int")
     docs = table([*rows, (None, "abc abd"), (3, None)]).withColumn("toxic", F.lit("x")).withColumn("by", F.lit(1))
     model, curve = toxicity.fit(docs, labels, F.lit(True), F.lit(True))
-    want, _ = brute_differences([(int(i % 3 == 0), t) for i, t in [*rows[:100], (3, "")]])
-    word = lambda w: sum(want((b"\0" * (toxicity.ORDER - 1) + w + b"\x01")[k : k + toxicity.ORDER]) for k in range(len(w) + 1))
-    got = {r["doc_id"]: r["mean"] for r in toxicity.evidence(docs, model).collect()}
+    want = brute_differences([(int(i % 3 == 0), t) for i, t in [*rows[:100], (3, "")]])
+    got = {r["doc_id"]: r for r in toxicity.evidence(docs, model).collect()}
     for i, t in rows[60:]:
-        ws = [word(w.encode()) for w in t.split()]
-        assert got[i] == pytest.approx(sum(ws) / len(ws) if ws else 0, abs=1e-3)
+        for (word, _), name in zip(want, ("mean", "stem_mean"), strict=True):
+            ws = [word(w) for w in t.split()]
+            assert got[i][name] == pytest.approx(sum(ws) / len(ws) if ws else 0, abs=1e-3)
     order = lambda df: sorted((str(r["doc_id"]), r["score"]) for r in df.collect())
     by_broadcast = order(toxicity.scored(docs, model, curve))
-    monkeypatch.setattr(toxicity, "BROADCAST_STRINGS", 10)
+    monkeypatch.setattr(toxicity, "BROADCAST_KEYS", 10)
     monkeypatch.setattr(toxicity, "_CHUNK", 1000)
     joined = order(toxicity.scored(docs, model, curve))
     assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(joined, by_broadcast, strict=True))
@@ -412,7 +392,7 @@ def test_toxicity_query_learns_from_all_but_the_held_out(spark, tmp_path):
     finally:
         toxicity.scored = own
     held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
-    key = lambda i: int.from_bytes(word(i).encode() + b"\x01", "big")
+    key = dict(zip(range(300), _keys([word(i) for i in range(300)])[0], strict=True)).__getitem__
     keys = {r["key"] for r in seen[0].collect()}
     assert {key(i) for i, _ in rows if i not in held} <= keys
     assert not {key(i) for i in held} & keys
