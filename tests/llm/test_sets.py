@@ -188,7 +188,10 @@ def test_repeated_strings_of_odd_rows(table, odd_rows):
     assert substrings.cleaned(table([])).count() == 0
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize(("candidates", "queries"), [(topk.CANDIDATES, topk.QUERIES), (64, 2), (3, 1)])
+def test_nearest(spark, monkeypatch, candidates, queries):
+    monkeypatch.setattr(topk, "CANDIDATES", candidates)  # several blocks: bounds from the first pair of each
+    monkeypatch.setattr(topk, "QUERIES", queries)
     rng = random.Random(3)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 3.0]) * 10 ** rng.choice([0, 0, 0, 18]) for _ in range(40)] if i % 9 else [rng.random() for _ in range(40)]) for i in range(300)]
     rows += [(400, None), (401, [float("nan")] * 40), (402, [None] * 40), (50, rows[50][1]), (None, rows[1][1]), (403, [])]
