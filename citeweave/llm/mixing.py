@@ -15,27 +15,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import dropped, sent, staged, words
 
 WEIGHTS = (3, 1, 2)
-#: Up to so many sources, their rates (some 50 bytes a row) are sent to every executor; beyond, Spark joins as it sees fit.
+#: Up to so many sources, their rates (some 50 bytes a row) are sent to every executor; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
 
+def _running(rows: DataFrame, order: tuple, **sums) -> tuple[DataFrame, DataFrame]:
+    """rows with the sum of each column of sums over the rows before, and the table that was staged for it. Rows are dealt by range, so no task sorts all; order must leave no ties."""
+    dealt = staged(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    total = dealt.groupBy("_part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])  # a row for each task
+    before = total.select("_part", *[F.coalesce(F.sum(n).over(parts), F.lit(0)).alias(f"_{n}") for n in sums])
+    out = dealt.join(F.broadcast(before), "_part").withColumns({n: F.col(f"_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    return out.drop("_part", *[f"_{n}" for n in sums]), dealt
+
+
 def targets(sized: DataFrame, weights=WEIGHTS, percent: int = 150, max_repeat: int = 2) -> DataFrame:
-    """One row a source: source, source_size, target, rate. sized has source and size. The windows run over sources, not documents."""
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    s = by_source.withColumn("weight", weight.cast("long")).withColumn("cap", F.col("source_size") * max_repeat)
-    every = Window.partitionBy()
-    below = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    # the level if exactly the sources before this one are held at their caps
-    level = (F.sum("source_size").over(every) * percent / 100 - F.coalesce(F.sum("cap").over(below), F.lit(0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(below), F.lit(0)))
-    fits = F.when(level * F.col("weight") <= F.col("cap"), F.struct(F.coalesce(F.count("cap").over(below), F.lit(0)).alias("held"), level.alias("level")))
-    s = s.withColumn("fits", fits).withColumn("level", F.min("fits").over(every)["level"])  # the first that fits
-    target = F.when(F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
-    return s.withColumn("target", target).select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
+    """One row a source: source, source_size, target, rate, as a staged table. sized has source and size."""
+    by_source = staged(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    name = F.col("source").asc_nulls_last()
+    placed, dealt = _running(by_source, (name,), place=F.lit(1))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    capped = placed.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * max_repeat).alias("cap")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    s, by_ratio = _running(capped, (F.col("ratio").asc(), name), held=F.lit(1), held_cap=F.col("cap"), held_weight=F.col("weight"))
+    size, heavy = (F.lit(x or 0).cast("long") for x in by_ratio.agg(F.sum("source_size"), F.sum("weight")).first())
+    # the level if exactly the sources before this one are held at their caps; the first that fits counts
+    level = (size * percent / 100 - F.col("held_cap")) / (heavy - F.col("held_weight"))
+    found = s.withColumn("level", level).where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min_by("level", "held")).first()[0]
+    target = F.col("cap").cast("double") if found is None else F.least(F.col("cap").cast("double"), F.lit(found) * F.col("weight"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    out = staged(by_ratio.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate")))
+    dropped(by_source, dealt, by_ratio)
+    return out
 
 
 def copies(rate, doc_id, seed: int = 0):
@@ -49,8 +63,7 @@ def planned(docs: DataFrame, weights=WEIGHTS, percent: int = 150, max_repeat: in
     """One row a document: mix_row (its columns), mix_size, source_size, target, mix_copies."""
     base = docs.select(F.col("source"), F.size(words(F.col("text"))).cast("long").alias("size"))
     rates = targets(base, weights, percent, max_repeat).select(F.col("source").alias("m_source"), "source_size", "target", "rate")
-    if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
+    rates = sent(rates, BROADCAST_SOURCES)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"), F.size(words(F.col("text"))).cast("long").alias("mix_size"))
     return rows.join(rates, F.col("mix_row.source").eqNullSafe(F.col("m_source"))).withColumn("mix_copies", copies(F.col("rate"), F.col("mix_row.doc_id"), seed)).drop("m_source", "rate")
 

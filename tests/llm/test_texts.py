@@ -274,6 +274,23 @@ def test_formatted_conversations_of_odd_rows(spark):
     assert chat.digested(chat.formatted(df.limit(0))).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    rows = [(f"s{k:03d}" if k else None, (k * 7919) % 1000 ** (1 + k % 2)) for k in range(300)]
+    got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.targets(spark.createDataFrame(rows, "source string, size long").repartition(7)).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
+    weight = {name: mixing.WEIGHTS[k % 3] for k, (name, _) in enumerate(order)}
+    budget, held = 1.5 * sum(n for _, n in rows), set()
+    while True:  # reshare what sources can't take until none is above its cap
+        level = (budget - sum(2 * n for name, n in rows if name in held)) / sum(weight[name] for name, _ in rows if name not in held)
+        over = {name for name, n in rows if name not in held and level * weight[name] > 2 * n}
+        if not over:
+            break
+        held |= over
+    assert len(got) == 300 and 10 < len(held) < 290
+    for name, n in rows:
+        assert got[name] == (n, pytest.approx(2 * n if name in held else level * weight[name], rel=1e-9))
+
+
 def test_mixing(table):
     rows = [(i, "w " * (i % 7), f"s{i % 3}" if i % 10 else None) for i in range(3000)] + [(5, "w w", "s1"), (5, "w w", "s1"), (None, "w", "s2")]
     docs = table(rows)
