@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, neardup, packing, pii, quality, substrings, tokenfile, topk, toxicity
+from . import centroids, chat, mixing, neardup, packing, pii, quality, repair, simhash, substrings, tokenfile, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tokenfile": tokenfile.query,
         "op9_quality": quality.query,
         "op10_mixing": mixing.query,
+        "op11_simhash": simhash.query,
+        "op12_repair": repair.query,
+        "op13_centroids": centroids.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.SQL, "op4_topk": topk.SQL, "op7_neardup": neardup.SQL, "op9_quality": quality.SQL, "op10_mixing": mixing.SQL}
+    return {"op2_chat": chat.SQL, "op4_topk": topk.SQL, "op7_neardup": neardup.SQL, "op9_quality": quality.SQL, "op10_mixing": mixing.SQL, "op12_repair": repair.SQL, "op13_centroids": centroids.SQL}
