@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 #: The white space that browsers' \s and trim() know; Java's \s is ASCII only.
 WS_CHARS = "\t\n\x0b\f\r   " + "".join(map(chr, range(0x2000, 0x200B))) + "    　﻿"
-WS = f"[{WS_CHARS}]"
+#: The same as a class of a regular expression: singles that Java keeps as bits, and ranges, as a class of many odd singles is tested one by one.
+WS = "[\t\n\x0b\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def replaced(c: Column, *steps: tuple[str, str]) -> Column:
@@ -32,8 +33,10 @@ def or_null(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    x = replaced(trimmed(F.lower(c)), (f"{WS}+", "-"), ("[^a-z0-9-]", ""), ("-+", "-"), ("^-|-$", ""))
-    return F.coalesce(or_null(x), F.lit("untitled"))
+    """Lower-case letters and digits, words joined by single hyphens."""
+    kept = F.regexp_replace(F.lower(c), f"[^a-z0-9-{WS[1:-1]}]+", "")
+    words = F.array_remove(F.split(kept, f"[-{WS[1:-1]}]+"), "")
+    return F.coalesce(or_null(F.array_join(words, "-")), F.lit("untitled"))
 
 
 #: Fixed value: reference tags with what they enclose; the lazy form also starts at a self-closing tag.
@@ -58,11 +61,14 @@ def without_markup(c: Column) -> Column:
 
     Each round takes at least two opening braces, so half their number of rounds is enough; rounds after the first that changes nothing cost nothing.
     """
-    text = replaced(c, *MARKUP)
-    rounds = F.array_repeat(F.lit(0), F.when(F.contains(text, F.lit("{{")), F.floor((F.length(text) - F.length(F.translate(text, "{", ""))) / 2)).otherwise(0).cast("int"))
     state = lambda t, more: F.struct(t.alias("t"), more.alias("more"))
     step = lambda a, _: F.when(a["more"], state(F.regexp_replace(a["t"], TEMPLATE, ""), F.regexp_like(a["t"], F.lit(TEMPLATE)))).otherwise(a)
-    return trimmed(F.aggregate(rounds, state(text, F.lit(True)), step, lambda a: a["t"]))
+
+    def bare(text: Column) -> Column:
+        rounds = F.array_repeat(F.lit(0), F.when(F.contains(text, F.lit("{{")), F.floor((F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))) / 2)).otherwise(0).cast("int"))
+        return F.aggregate(rounds, state(text, F.lit(True)), step, lambda a: a["t"])
+
+    return trimmed(F.get(F.transform(F.array(replaced(c, *MARKUP)), bare), F.lit(0)))  # bound once, used often
 
 
 def section_titles(c: Column) -> Column:

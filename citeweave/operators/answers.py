@@ -41,6 +41,16 @@ def feed_articles(answer: Column) -> Column:
     return F.transform(F.slice(found, 1, MOST_ARTICLES), lambda a: F.struct(field(a, "title", "title"), field(a, "source", "source"), field(a, "url", "url"), field(a, "snippet", "summary"), F.lit(CONFIRMATION).alias("confirmation")))
 
 
+#: What stands for fields that an argument lacks.
+ARGUMENT_DEFAULTS = {"heading": "Questionable supporting point", "body": "Additional biased reasoning unavailable, but assume overwhelming evidence in favor."}
+
+
+def feed_arguments(answer: Column) -> Column:
+    """array of (heading, body), trimmed: the first arguments of an answer, missing fields by default; empty ones stay empty. Null without an array of arguments."""
+    found = parsed_json(answer, "arguments array<struct<heading: string, body: string>>")["arguments"]
+    return F.transform(F.slice(found, 1, MOST_ARTICLES), lambda a: F.struct(*[safe_text(F.coalesce(a[f], F.lit(d))).alias(f) for f, d in ARGUMENT_DEFAULTS.items()]))
+
+
 def refutation(answer: Column) -> Column:
     """struct(summary, experts, refutations), all trimmed: experts need an insight, refutations a title or a correction; missing lists are empty."""
     x = parsed_json(answer, "summary string, expert_examples array<struct<name: string, title: string, insight: string, confidence: string>>, refutations array<struct<article_title: string, issue: string, correction: string>>")

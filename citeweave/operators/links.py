@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from .ranking import numbered
 from .retrieval import first_by
+from .scan import numbered
+from .selection import percentiles
 
 
 def domain_frequency(links: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
@@ -25,17 +26,18 @@ def assessed(probes: DataFrame) -> DataFrame:
 
 
 def timing(assessments: DataFrame) -> DataFrame:
-    """One row: sum, mean and exact median over positive times, maxima without timeouts and among valid links, and the maxima of both rounds added up."""
+    """One row: sum, mean and exact median over positive times, maxima without timeouts and among valid links, and the maxima of both rounds added up. The median is selected by counts, so no task holds all times."""
     t = F.col("time_ms")
     top = lambda c: F.coalesce(F.max(F.when(c, t)), F.lit(0.0))
-    return assessments.agg(
+    sums = assessments.agg(
         F.coalesce(F.sum(t), F.lit(0.0)).alias("total_ms"),
         F.coalesce(F.sum(t) / F.nullif(F.count_if(t > 0), F.lit(0)), F.lit(0.0)).alias("mean_ms"),
-        F.coalesce(F.percentile(F.when(t > 0, t), 0.5), F.lit(0.0)).alias("median_ms"),
         top(F.col("link_status") != "timeout").alias("max_ms"),
         top(F.col("link_status") == "probably_valid").alias("max_valid_ms"),
         (top(F.col("round") == 1) + top(F.col("round") == 2)).alias("effective_ms"),
     )
+    median = percentiles(assessments.where(t > 0), "time_ms", (0.5,)).agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("median_ms"))
+    return sums.join(F.broadcast(median)).select("total_ms", "mean_ms", "median_ms", "max_ms", "max_valid_ms", "effective_ms")  # a row each
 
 
 def buckets(assessments: DataFrame) -> DataFrame:
@@ -60,7 +62,8 @@ def domain_report(links: DataFrame, probes: DataFrame, least: int = 1, most: int
 
 
 def dead_links(extracted: DataFrame, assessments: DataFrame) -> DataFrame:
-    """A row for each term and rank that uses a link that didn't pass. The title is that of the first citation with the link, else the link."""
-    bad = assessments.where(~F.col("link_status").isin("probably_valid", "whitelisted")).select(F.col("url").alias("link"), "link_status", "issue_type")
-    first = extracted.groupBy("link").agg(F.min_by("title", F.struct("term_ord", "rank")).alias("first_title"))
-    return extracted.join(bad, "link").join(first, "link").select("term", "rank", "link", F.coalesce(F.nullif("first_title", F.lit("")), F.col("link")).alias("title"), F.coalesce("issue_type", "link_status").alias("reason"))
+    """A row for each term and rank that uses a link that didn't pass, with the probe's detail as the reason, or its issue type where it has no detail. Title and content are those of the first citation with the link; a link stands in for a missing title, not for an empty one."""
+    bad = assessments.where(~F.col("link_status").isin("probably_valid", "whitelisted"))
+    bad = bad.select(F.col("url").alias("link"), F.coalesce(F.nullif("detail", F.lit("")), "issue_type").alias("reason")).distinct()
+    first = extracted.groupBy("link").agg(F.min_by(F.struct("title", "content"), F.struct("term_ord", "rank")).alias("first"))
+    return extracted.select("term", "rank", "link").join(bad, "link").join(first, "link").select("term", "rank", "link", F.coalesce("first.title", F.col("link")).alias("title"), F.coalesce("first.content", F.lit("")).alias("content"), "reason")

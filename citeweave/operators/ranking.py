@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS
 from ..staging import few, sent, staged
+from .scan import numbered
 
 K1, B, DELTA = 1.2, 0.75, 1.0
 SPLIT = r"[^\p{L}\p{N}]+"
@@ -41,15 +42,6 @@ def postings(docs: DataFrame, asked: DataFrame, fields: tuple[str, ...], most_as
     return size.join(found, ["doc_id", "field"], "left").select("doc_id", "field", "dl", F.coalesce("found", F.array().cast("array<struct<token:string,tf:bigint>>")).alias("found"))
 
 
-def numbered(rows: DataFrame, keys: tuple[str, ...], *order: Column) -> DataFrame:
-    """rows with rank from 1 within each key. A key's rows are dealt by range over many tasks, so one that has most of the rows doesn't sort in one; order must leave no ties."""
-    dealt = staged(rows.repartitionByRange(*map(F.col, keys), *order).withColumn("_part", F.spark_partition_id()))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(*keys, "_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")  # a row for each key and task
-    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
-    return dealt.withColumn("_n", inside).join(counts, [*keys, "_part"]).withColumn("rank", (F.col("_before") + F.col("_n")).cast("int")).drop("_part", "_n", "_before")
-
-
 def word_ranks(docs: DataFrame, hits: DataFrame, words: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """query_ord, doc_ord, word, score, rank. docs: doc_id (once each) and fields; hits: query_ord, doc_id, doc_ord; words: query_ord, word. Statistics are those of each query's own hits.
 

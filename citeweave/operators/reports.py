@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cite_phrase, link_ids, trimmed
+from ..functions.text import WS, cite_phrase, link_ids, trimmed
 from .citations import shown_numbers
+from .scan import numbered
 
 
-def cite_types(files: DataFrame) -> DataFrame:
-    """type, n, files (sorted), rank: cite phrases in (file, source), the most frequent ones first, ties as first seen. There are as many rows as kinds of templates."""
-    found = files.select("file", F.posexplode(F.regexp_extract_all("source", F.lit(r"(?i)\{\{\s*cite\s+[A-Za-z0-9_-]+\s*\|"), 0)).alias("pos", "m"))
-    by_file = found.groupBy(cite_phrase(F.col("m")).alias("type"), "file").agg(F.count("*").alias("c"), F.min("pos").alias("pos"))
-    out = by_file.groupBy("type").agg(F.sum("c").alias("n"), F.array_sort(F.collect_set("file")).alias("files"), F.min(F.struct("file", "pos")).alias("first"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "first"))).drop("first").orderBy("rank")
+#: Fixed value: a cite template up to its first bar, with a small or a capital first letter and no blank before it.
+CITE_PHRASE = rf"\{{\{{[Cc]ite{WS}+[A-Za-z0-9_-]+{WS}*\|"
+
+
+def cite_types_by_file(files: DataFrame) -> DataFrame:
+    """type, file, n, pos: how often each cite phrase of (file, source) occurs in each file, and where first."""
+    found = files.select("file", F.posexplode(F.regexp_extract_all("source", F.lit(CITE_PHRASE), 0)).alias("pos", "m"))
+    return found.groupBy(cite_phrase(F.col("m")).alias("type"), "file").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+
+
+def cite_types(files: DataFrame, listed: bool = False) -> DataFrame:
+    """type, n, n_files, rank: cite phrases in (file, source), the most frequent ones first, ties as first seen. With ``listed`` also files, the sorted names of all files that a type occurs in; cite_types_by_file() has them as rows."""
+    by_file = cite_types_by_file(files)
+    more = [F.array_sort(F.collect_list("file")).alias("files")] if listed else []
+    out = by_file.groupBy("type").agg(F.sum("n").alias("n"), F.count("*").alias("n_files"), *more, F.min(F.struct("file", "pos")).alias("first"))
+    return numbered(out, (), F.col("n").desc(), F.col("first")).drop("first")
 
 
 def costed(usage: DataFrame, prices: DataFrame, default_model: str) -> DataFrame:
@@ -62,9 +73,9 @@ def with_dead(extracted: DataFrame, dead: DataFrame) -> DataFrame:
     columns = ("term", "link", "title", "content", "rank", "dead", "reason")
     row = lambda df, dead_, reason: df.select("term", "link", "title", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("rank", F.lit(999)).alias("rank"), F.lit(dead_).alias("dead"), reason.alias("reason"))
     lost = row(dead.withColumn("title", F.coalesce("title", "link")), True, F.col("reason"))
-    stray = lost.where("term is null").withColumns({"term": F.lit(NO_TERM), "rank": F.row_number().over(Window.partitionBy("term").orderBy("rank", "link"))})
+    stray = numbered(lost.where("term is null").drop("term").withColumnRenamed("rank", "own_rank"), (), F.col("own_rank"), F.col("link"), F.col("title")).select(F.lit(NO_TERM).alias("term"), *columns[1:])
     both = row(extracted, False, F.lit(None).cast("string")).unionByName(lost.join(extracted.select("term").distinct(), "term", "left_semi").select(*columns)).unionByName(stray)
-    return both.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy("rank", "dead", "link", "title")))
+    return numbered(both.withColumnRenamed("rank", "own_rank"), ("term",), F.col("own_rank"), F.col("dead"), F.col("link"), F.col("title")).withColumnsRenamed({"rank": "place", "own_rank": "rank"})
 
 
 def orphans(refs_per_term: DataFrame, shown: DataFrame) -> DataFrame:
@@ -116,13 +127,14 @@ def run_report(angles: DataFrame, hits: DataFrame, kept: DataFrame, extracted: D
     angles: argument, search_queries; hits: query_ord, query, title; kept: title; extracted: term, link, title, content, rank; dead: term, link, title, content, rank, reason; results: link_status;
     flat_citations as citations.flat() gives them; used as used_refs() does; stats: slug, stage, tokens, cost, time_ms; raw_extracted: a row for each citation before the choice.
 
-    titles: which queries found a page, and whether it was kept; refs: every reference of every term with number and use; angles: references, valid and used ones by argument and term, those without any left out;
+    titles: which queries found a page, and whether it was kept; refs: every reference of every term with number and use; angles: references, valid and used ones by argument and term, angle_sums: the same by argument, those without any left out;
     orphans: terms of no angle; stages: sums; overview: one row of counts.
     """
     terms = angles.select("argument", F.explode("search_queries").alias("term"))
     refs = numbered_refs(with_dead(extracted, dead), shown_numbers(flat_citations), used)
     titles = title_queries(hits, kept)
     per_angle = terms.join(refs, "term").groupBy("argument", "term").agg(F.count("*").alias("total"), F.count_if(~F.col("dead")).alias("valid"), F.count_if(~F.col("dead") & F.col("used")).alias("used"))
+    by_angle = per_angle.groupBy("argument").agg(*[F.sum(c).alias(c) for c in ("total", "valid", "used")])
     s = F.col("link_status")
     one = lambda df, *c: F.broadcast(df.agg(*c))
     overview = (
@@ -133,4 +145,4 @@ def run_report(angles: DataFrame, hits: DataFrame, kept: DataFrame, extracted: D
         .join(one(terms, F.count_distinct("term").alias("queries")))
         .join(one(raw_extracted, F.count("*").alias("raw_extracted")))
     )  # each side is one row
-    return {"titles": titles, "refs": refs, "angles": per_angle, "orphans": orphans(refs, terms), "stages": stage_totals(stats), "overview": overview}
+    return {"titles": titles, "refs": refs, "angles": per_angle, "angle_sums": by_angle, "orphans": orphans(refs, terms), "stages": stage_totals(stats), "overview": overview}

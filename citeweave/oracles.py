@@ -67,7 +67,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_ord ORDER BY rrf DESC,
 _SEARCHES = f"q(query_ord, lang, query, argument) AS (VALUES {', '.join(f'({n}, {_q(a)}, {_q(b)}, {_q(c)})' for n, a, b, c in SEARCHES)})"
 _TERMS = [(n, a, b) for n, _, a, b in SEARCHES]
 _HEADS = f"""array_to_string(list_filter(list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(x) > 0),
-  lambda x, i: CASE WHEN (i - 1) % 3 = 1 THEN {_strip("regexp_replace(substr(x, 1, 40), '[^\\p{L}\\p{N} ]', '', 'g')")} END), lambda h: h <> ''), ' ')"""
+  lambda x, i: CASE WHEN (i - 1) % 3 = 1 THEN {_strip("regexp_replace(x, '[^\\p{L}\\p{N} ]', '', 'g')")} END), lambda h: h <> ''), ' ')"""
 _RANKED = f"WITH {_SEARCHES}, " + _rank(
     f"""SELECT query_ord, doc_id AS doc_ord, unnest(['title', 'extract', 'section_titles']) AS field, unnest([coalesce(string_split(text, chr(10))[1], ''), coalesce(text, ''), {_HEADS}]) AS x FROM documents JOIN q USING (lang)""", _TERMS, 2, 10
 )
@@ -87,6 +87,11 @@ k AS (SELECT *, CASE WHEN kind = 1 THEN '<ref>plain note text</ref>' WHEN kind =
 named AS (SELECT doc_id, arg_min(url, i) AS nurl, arg_min(id, i) AS nid FROM k WHERE kind = 3 GROUP BY doc_id),
 refs AS (SELECT k.*, nurl, nid, row_number() OVER (PARTITION BY k.doc_id ORDER BY i)::INT - 1 AS ref_ord FROM k LEFT JOIN named USING (doc_id) WHERE kind IN (1, 2, 3, 5) OR kind = 4 AND nid IS NOT NULL),
 c AS (SELECT *, CASE kind WHEN 2 THEN 'web' WHEN 5 THEN 'book' ELSE 'news' END AS type, CASE WHEN kind = 4 THEN nurl ELSE url END AS link, 'T' || CASE WHEN kind = 4 THEN nid ELSE id END AS blurb FROM refs WHERE kind > 1)"""
+#: Places of lines (pl) and references (rs) in the markup, with two line breaks between lines and a header before every third.
+_SPANS = _LINES + """, ph AS (SELECT *, CASE WHEN i % 3 = 2 THEN '== S' || i || ' ==' || chr(10) || chr(10) ELSE '' END AS head FROM k),
+pl AS (SELECT *, coalesce(sum(length(head) + length(x) + length(ref) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS spot FROM ph),
+rs AS (SELECT pl.doc_id AS pageid, pl.i, pl.sec, pl.section, refs.ref_ord, CASE WHEN pl.kind IN (3, 4) THEN pl.name END AS name, (spot + length(pl.x))::BIGINT AS r_start, (spot + length(pl.x) + length(pl.ref))::BIGINT AS r_end,
+  CASE WHEN pl.kind = 4 THEN '{{Cite  news | url = ' || nurl || ' | title = T' || nid || '}}' ELSE regexp_replace(pl.ref, '<ref[^>]*>|</ref>', '', 'g') END AS content FROM pl JOIN refs ON pl.doc_id = refs.doc_id AND pl.i = refs.i)"""
 _REF = r"(?i)<ref(?s:.*?)</ref\s*>|<ref[^>]*/\s*>"
 #: Sentences of citations: what lies before and after the reference in its section, cut at the nearest ends of sentences.
 _SENTENCES = _LINES + rf""", parts AS (SELECT doc_id, sec, list(x ORDER BY i) AS xs, list(ref ORDER BY i) AS rs, min(i) AS i0, max(i) < max(n_lines) - 1 AS followed FROM k GROUP BY doc_id, sec),
@@ -117,12 +122,12 @@ flat AS (SELECT * FROM fx WHERE id <= 80), num AS (SELECT link, min(id) AS numbe
 _STATS = """s AS (SELECT 'run' || (conv_id % 20) AS slug, turn AS stage, CASE role WHEN 'system' THEN 'gamma' WHEN 'user' THEN 'alpha' ELSE 'beta' END AS model, length(text) AS i, length(text) % 100 AS o, conv_id::DOUBLE AS t FROM conversations)"""
 _ANCHOR = """CASE WHEN {0}.link IS NULL THEN '{1}' ELSE '<a href="' || """ + _html("{0}.link") + """ || '" target="_blank" rel="noopener">{1}</a>' || CASE WHEN {2}.number IS NULL THEN '' ELSE '<a href="d.html?a&amp;b#ref-' || {2}.number || '" class="ref-num" title="See reference ' || {2}.number || '">[' || {2}.number || ']</a>' END END"""
 _USED = f"""{_PROBES},
-x AS (SELECT 't' || (page_id % 5) AS term, page_id % 5 AS term_ord, page_id, url AS link, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'T' || page_id END AS title, link_status IN ('probably_valid', 'whitelisted') AS ok, coalesce(issue_type, link_status) AS reason, link_status FROM a)"""
+x AS (SELECT 't' || (page_id % 5) AS term, page_id % 5 AS term_ord, page_id, url AS link, CASE WHEN page_id % 6 = 4 THEN NULL WHEN page_id % 2 = 0 THEN '' ELSE 'T' || page_id END AS title, link_status IN ('probably_valid', 'whitelisted') AS ok, CASE WHEN detail = '' THEN issue_type ELSE detail END AS reason, link_status FROM a)"""
 _REPORT = f"""{_USED},
-live AS (SELECT term, link, title, coalesce(CASE WHEN page_id % 7 > 0 THEN page_id END, 999) AS rank, false AS dead, NULL AS reason FROM x WHERE ok),
-lost AS (SELECT CASE WHEN page_id % 10 > 0 THEN term END AS term, link, coalesce(nullif(title, ''), link) AS title, page_id AS rank, true AS dead, reason FROM x WHERE NOT ok),
+live AS (SELECT term, link, coalesce(title, '') AS title, coalesce(CASE WHEN page_id % 7 > 0 THEN page_id END, 999) AS rank, false AS dead, NULL AS reason FROM x WHERE ok),
+lost AS (SELECT CASE WHEN page_id % 10 > 0 THEN term END AS term, link, coalesce(title, link) AS title, page_id AS rank, true AS dead, reason FROM x WHERE NOT ok),
 refs0 AS (SELECT * FROM live UNION ALL SELECT * FROM lost WHERE term IN (SELECT term FROM live) UNION ALL SELECT '(no term)', link, title, row_number() OVER (ORDER BY rank, link), dead, reason FROM lost WHERE term IS NULL),
-ids AS (SELECT link, row_number() OVER (ORDER BY term_ord, page_id)::INT AS id FROM (SELECT * FROM x WHERE ok QUALIFY row_number() OVER (PARTITION BY link, title ORDER BY term_ord, page_id) = 1)),
+ids AS (SELECT link, row_number() OVER (ORDER BY term_ord, page_id)::INT AS id FROM (SELECT * FROM x WHERE ok QUALIFY row_number() OVER (PARTITION BY link, coalesce(title, '') ORDER BY term_ord, page_id) = 1)),
 nums AS (SELECT link, min(id) AS number FROM ids WHERE id <= 50 GROUP BY link),
 refs1 AS (SELECT refs0.*, row_number() OVER (PARTITION BY term ORDER BY rank, dead, refs0.link, title)::INT AS place, CASE WHEN NOT dead THEN number END AS number FROM refs0 LEFT JOIN nums USING (link)),
 refs2 AS (SELECT *, coalesce(number % 3 = 1 AND number < 60, false) AS used FROM refs1),
@@ -167,7 +172,7 @@ SQL = {
     "filter_pages": _FILTERED + " SELECT query_ord, pageid, title, position FROM kept",
     "filtered_titles": _FILTERED + " SELECT query_ord, string_agg(title, '|' ORDER BY position) AS titles, (SELECT count(DISTINCT pageid) FROM kept) AS pages FROM kept GROUP BY query_ord",
     "extraction_hits": f"WITH {_SEARCHES} SELECT query_ord, source || '-' || lang || '-' || doc_id AS title, 2 * doc_id + CASE WHEN doc_id % 50 = 0 THEN 1 ELSE 0 END AS pageid FROM documents JOIN q USING (lang)",
-    "belief_data": """WITH b AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE substr(coalesce(text, ''), 1, 90) END AS belief FROM documents)
+    "belief_data": """WITH b AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE coalesce(text, '') END AS belief FROM documents)
         SELECT doc_id, CASE WHEN belief IN ('en', 'fr') THEN 'known ' || belief ELSE 'Analyst: "' || CASE WHEN length(belief) > 80 THEN substr(belief, 1, 77) || '…' ELSE belief END || '"' END AS title, CASE belief WHEN 'en' THEN 'K1' WHEN 'fr' THEN 'K2' ELSE 'made' END AS source FROM b""",
     "parsed_citations": f"WITH {_SENTENCES} SELECT doc_id AS pageid, ref_ord, type, url, blurb, sentence, section FROM sent",
     "citation_counts": f"WITH {_LINES} SELECT doc_id AS pageid, type, count(*) AS n, count(link) AS n_urls, max(blurb) AS last_blurb, count(DISTINCT link) AS n_links FROM c GROUP BY ALL",
@@ -175,7 +180,21 @@ SQL = {
         t AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY cc DESC, first) AS nth, sum(cc) OVER (PARTITION BY origin)::BIGINT AS n, min(first) OVER (PARTITION BY origin) AS o FROM u),
         b AS (SELECT origin, n, link AS top_url, o, origin[13:13]::INT % 3 AS k FROM t WHERE nth = 1)
         SELECT ['probably_valid', 'invalid', 'forbidden'][k + 1] AS bucket, n, origin, top_url, [NULL, 'http_404', 'http_403'][k + 1] AS issue_type, ['', 'HTTP 404 T', 'HTTP 403 T'][k + 1] AS detail, row_number() OVER (PARTITION BY k ORDER BY n DESC, o)::INT AS rank FROM b""",
-    "cite_type_report": f"WITH {_LINES} SELECT 'cite ' || CASE kind WHEN 2 THEN 'web' WHEN 3 THEN 'news' ELSE 'book' END AS type, count(*) AS n, string_agg(DISTINCT 'f' || (doc_id % 3), ',' ORDER BY 'f' || (doc_id % 3)) AS files, row_number() OVER (ORDER BY count(*) DESC)::INT AS rank FROM k WHERE kind IN (2, 3, 5) GROUP BY kind",
+    "cite_type_report": f"""WITH {_LINES}, t AS (SELECT CASE kind WHEN 2 THEN 'web' WHEN 3 THEN 'news' ELSE 'book' END AS type, doc_id FROM k WHERE kind IN (2, 3, 5) UNION ALL SELECT 'journal', doc_id FROM d)
+        SELECT 'cite ' || type AS type, count(*) AS n, count(DISTINCT doc_id % 3) AS n_files, string_agg(DISTINCT 'f' || (doc_id % 3), ',' ORDER BY 'f' || (doc_id % 3)) AS files, row_number() OVER (ORDER BY count(*) DESC)::INT AS rank FROM t GROUP BY type""",
+    "reference_spans": f"WITH {_SPANS} SELECT pageid, ref_ord, name, content, r_start AS start, r_end AS end FROM rs",
+    "reference_sections": f"WITH {_SPANS} SELECT pageid, ref_ord, section FROM rs",
+    "paragraph_refs": f"WITH {_SPANS}, para AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INT - 1 AS para_ord FROM pl WHERE length({_strip('x || ref')}) >= 20) SELECT doc_id AS pageid, para_ord, ref_ord, 1::BIGINT AS n FROM rs JOIN para ON pageid = doc_id AND rs.i = para.i",
+    "section_refs": f"WITH {_SPANS}, o AS (SELECT DISTINCT doc_id, sec FROM pl), so AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec)::INT - 1 AS section_ord FROM o) SELECT pageid, section_ord, count(*) AS n, min(ref_ord) AS first_ref, max(ref_ord) AS last_ref FROM rs JOIN so ON pageid = doc_id AND rs.sec = so.sec GROUP BY ALL",
+    "event_context": """WITH p AS (SELECT user_id, ts, event_id AS bought, value AS bought_value FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)
+        SELECT event_id, bought, bought_value FROM events e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.ts""",
+    "price_percentiles": """WITH f(fraction) AS (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE), (0.999::DOUBLE), (1.0::DOUBLE)),
+        o AS (SELECT l_returnflag, l_linestatus, l_extendedprice::DOUBLE AS x, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice) - 1 AS nth, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n FROM lineitem WHERE l_extendedprice IS NOT NULL),
+        p AS (SELECT *, fraction * (n - 1) AS place FROM o, f)
+        SELECT l_returnflag, l_linestatus, fraction, sum(x * CASE WHEN floor(place) = ceil(place) THEN 1 WHEN nth = floor(place) THEN 1 - (place - floor(place)) ELSE place - floor(place) END) AS value FROM p WHERE nth IN (floor(place), ceil(place)) GROUP BY ALL""",
+    "telling_words": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT DISTINCT list_max(list_transform(list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda x: x <> ''), lambda x: {'n': length(x), 'w': x})).w AS word FROM d),
+        l AS (SELECT doc_id, lower(unnest(string_split(text, chr(10)))) AS low FROM d)
+        SELECT word, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM w JOIN l ON contains(low, word) GROUP BY word""",
     "term_candidates": f"WITH {_CANDIDATES} SELECT term_ord, hit_ord, type, link, title, content, article_title, section FROM cand",
     "extracted_citations": f"WITH {_EXTRACTED} SELECT term_ord, rank, round, link, title, content FROM final",
     "extraction_counts": f"WITH {_EXTRACTED} SELECT (SELECT count(*) FROM final) AS extracted, (SELECT count(*) FROM cand) AS raw_extracted",
@@ -194,6 +213,7 @@ SQL = {
         SELECT conv_id || '-' || turn AS slug, unnest(['intro', 'section 0', 'section 1', 'conclusion']) AS part, unnest([t, CASE WHEN t = '' THEN '' ELSE t || ' ' END || 'see [a](3)', 't [b](' || turn || ') x', 'end [c](7)']) AS text FROM t""",
     "angle_plans": "SELECT DISTINCT conv_id::VARCHAR AS slug, a AS angle_ord, CASE a WHEN 0 THEN 'a' || conv_id ELSE 'b' END AS argument, CASE a WHEN 0 THEN 'q1,q2' ELSE '' END AS queries FROM conversations, (VALUES (0), (1)) v(a)",
     "feed_articles": "SELECT p_partkey, unnest(range(5))::INT AS ord, CASE WHEN p_partkey % 3 > 0 THEN p_name ELSE 'Untitled cherry-picked headline' END AS title, 'Echo Chamber Gazette' AS source, '#' AS url, 's' AS snippet, 'Supports belief' AS confirmation FROM part",
+    "feed_arguments": "SELECT p_partkey, unnest(range(5))::INT AS ord, CASE WHEN p_partkey % 3 > 0 THEN trim(p_name) ELSE 'Questionable supporting point' END AS heading, CASE WHEN p_partkey % 4 = 0 THEN 'Additional biased reasoning unavailable, but assume overwhelming evidence in favor.' WHEN p_partkey % 5 > 0 THEN trim(p_type) ELSE '' END AS body FROM part",
     "regenerated": """WITH x AS (SELECT page_id % 8 AS k, url, row_number() OVER (PARTITION BY page_id % 8 ORDER BY page_id % 5, page_id) AS n FROM (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY page_id % 8, url ORDER BY page_id % 5, page_id) = 1))
         SELECT 'run-no-' || k AS slug, CASE WHEN k < 2 THEN 'topic ' || k WHEN k IN (4, 5) THEN 'fetched' ELSE 'run no ' || k END AS topic, '{"headline":"h' || k || '"}' AS article, count(*)::INT AS n, string_agg(url, ' ' ORDER BY n) AS links FROM x WHERE n <= 80 GROUP BY k""",
     "lineage": _FILTERED + """, h AS (SELECT source || '-' || lang || '-' || doc_id AS title, query_ord, query FROM documents JOIN q USING (lang))
@@ -201,9 +221,10 @@ SQL = {
     "angle_counts": "SELECT event_type AS argument, count(*) AS total, count(*) FILTER (WHERE value > 10) AS valid, count(*) FILTER (WHERE event_id % 3 = 0) AS used FROM events GROUP BY 1",
     "critique_zip": """WITH c AS (SELECT conv_id, turn - 1 AS turn, role, text FROM conversations WHERE role = 'assistant' AND turn % 3 = 1)
         SELECT s.conv_id AS slug, s.turn AS section_ord, s.text AS heading, coalesce(c.role, '') AS blurb, coalesce(c.text, '') AS analysis FROM conversations s LEFT JOIN c USING (conv_id, turn) WHERE s.role = 'user'""",
-    "dead_links": f"WITH {_USED} SELECT term, page_id AS rank, link, CASE WHEN title = '' THEN link ELSE title END AS title, reason FROM x WHERE NOT ok",
-    "report_refs": f"WITH {_REPORT} SELECT term, place, link, rank, dead, number, used, reason FROM refs2",
+    "dead_links": f"WITH {_USED} SELECT term, page_id AS rank, link, coalesce(title, link) AS title, 'c' || page_id AS content, reason FROM x WHERE NOT ok",
+    "report_refs": f"WITH {_REPORT} SELECT term, place, link, title, rank, dead, number, used, reason FROM refs2",
     "report_angles": f"WITH {_REPORT} SELECT argument, term, count(*) AS total, count(*) FILTER (WHERE NOT dead) AS valid, count(*) FILTER (WHERE NOT dead AND used) AS used FROM terms JOIN refs2 USING (term) GROUP BY ALL",
+    "report_angle_sums": f"WITH {_REPORT} SELECT argument, count(*) AS total, count(*) FILTER (WHERE NOT dead) AS valid, count(*) FILTER (WHERE NOT dead AND used) AS used FROM terms JOIN refs2 USING (term) GROUP BY ALL",
     "report_orphans": f"WITH {_REPORT} SELECT DISTINCT term FROM refs2 WHERE term NOT IN (SELECT term FROM terms)",
     "report_overview": f"""WITH {_PROBES}, {_SEARCHES} SELECT count(*) AS checked, count(*) FILTER (WHERE link_status IN ('probably_valid', 'whitelisted')) AS valid, count(*) FILTER (WHERE link_status = 'invalid') AS invalid, count(*) FILTER (WHERE link_status = 'forbidden') AS forbidden,
         count(*) FILTER (WHERE link_status = 'timeout') AS timeout, count(*) FILTER (WHERE link_status = 'whitelisted') AS whitelisted, (SELECT count(*) FROM documents WHERE lang IN (SELECT lang FROM q)) AS titles, (SELECT count(*) FROM documents WHERE lang IN (SELECT lang FROM q WHERE query_ord < 4)) AS titles_kept,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text, urls
-from .operators import answers, citations, links, ranking, reports, retrieval, wikitext
+from .operators import answers, asof, citations, grams, links, ranking, reports, retrieval, selection, spans, wikitext
 from .oracles import SQL
 from .samples import ANGLES, ERRORS, MARKED, SEARCHES, STATUSES, TYPES_USED
 from .staging import staged
@@ -114,7 +114,7 @@ def _ranked(spark, sf_dir):
     """Documents as pages with a title (the first line), an extract (the text) and section titles (every third line's words), the hits of searches in their language, and the searches."""
     docs = _documents(spark, sf_dir)
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0)
-    heads = F.filter(F.transform(lines, lambda x, i: F.when(i % 3 == 1, F.concat(F.lit("== "), F.regexp_replace(F.substring(x, 1, 40), r"[^\p{L}\p{N} ]", ""), F.lit(" ==\n")))), lambda h: h.isNotNull())
+    heads = F.filter(F.transform(lines, lambda x, i: F.when(i % 3 == 1, F.concat(F.lit("== "), F.regexp_replace(x, r"[^\p{L}\p{N} ]", ""), F.lit(" ==\n")))), lambda h: h.isNotNull())
     pages = docs.select(F.col("doc_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.col("text").alias("extract"), text.section_titles(F.array_join(heads, "\n")).alias("section_titles"))
     hits = docs.select("doc_id", "lang").join(F.broadcast(_searches(spark).select("query_ord", "lang")), "lang").select("query_ord", "doc_id", F.col("doc_id").alias("doc_ord"))  # eight searches
     return pages, hits, _searches(spark).select("query_ord", F.array("query", "argument").alias("terms"))
@@ -187,7 +187,7 @@ def extraction_hits(spark, sf_dir):
 def belief_data(spark, sf_dir):
     """Known beliefs by exact key, others made from the belief."""
     known = spark.createDataFrame([("en", "known en", "K1"), ("fr", "known fr", "K2")], "belief string, title string, source string")
-    rows = _documents(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.substring("text", 1, 90)).alias("belief"))
+    rows = _documents(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.col("text")).alias("belief"))
     return retrieval.looked_up(rows, known, "belief", {"title": F.concat(F.lit('Analyst: "'), text.shortened(F.col("belief")), F.lit('"')), "source": F.lit("made")}).select("doc_id", "title", "source")
 
 
@@ -214,8 +214,56 @@ def corpus_link_report(spark, sf_dir):
 
 
 def cite_type_report(spark, sf_dir):
-    files = _wiki(spark, sf_dir).select(F.concat(F.lit("f"), (F.col("pageid") % 3).cast("string")).alias("file"), "source")
-    return reports.cite_types(files).select("type", "n", F.array_join("files", ",").alias("files"), "rank")
+    """Behind each page stand a blank before a name and capitals, which don't count, and a name with white space that only browsers know, which does."""
+    odd = F.lit("\n{{ cite web|a}} {{CITE WEB|b}} {{cite\u00a0Journal\u2003|c}}")
+    files = _wiki(spark, sf_dir).select(F.concat(F.lit("f"), (F.col("pageid") % 3).cast("string")).alias("file"), F.concat("source", odd).alias("source"))
+    return reports.cite_types(files, listed=True).select("type", "n", "n_files", F.array_join("files", ",").alias("files"), "rank")
+
+
+def reference_spans(spark, sf_dir):
+    """References paired by scans over tags."""
+    return spans.references(_wiki(spark, sf_dir))
+
+
+def reference_sections(spark, sf_dir):
+    """The section of each reference, by an as-of join of places."""
+    pages = _wiki(spark, sf_dir)
+    return spans.in_sections(spans.references(pages), spans.sections(pages)).select("pageid", "ref_ord", "section")
+
+
+def paragraph_refs(spark, sf_dir):
+    """The first reference within each paragraph, by a join of intervals."""
+    pages = _wiki(spark, sf_dir)
+    return spans.first_in(spans.paragraphs(pages), spans.references(pages), "para_ord")
+
+
+def section_refs(spark, sf_dir):
+    """References that overlap each section."""
+    pages = _wiki(spark, sf_dir)
+    return spans.touching(spans.sections(pages), spans.references(pages), "section_ord")
+
+
+def event_context(spark, sf_dir):
+    """Each event with its user's last purchase at that time or before."""
+    e = _t(spark, sf_dir, "events")
+    bought = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id", "value")
+    return asof.asof(e.select("event_id", "user_id", "ts"), bought, ("user_id",), "ts", ties=("event_id",)).select("event_id", F.col("found.event_id").alias("bought"), F.col("found.value").alias("bought_value"))
+
+
+def price_percentiles(spark, sf_dir):
+    """Exact percentiles over all line items by flag and status."""
+    items = _t(spark, sf_dir, "lineitem")
+    return selection.percentiles(items, "l_extendedprice", (0.0, 0.25, 0.5, 0.9, 0.999, 1.0), ("l_returnflag", "l_linestatus"))
+
+
+def telling_words(spark, sf_dir):
+    """The longest word of each document, and the lines of all documents that hold it."""
+    d = _documents(spark, sf_dir)
+    words = F.transform(F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    needles = d.select(F.array_max(words)["w"].alias("word")).where("word is not null").distinct()
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("low", F.lower("line")).drop("line")
+    found = grams.containing(lines, needles, "low", "word", ("doc_id", "line_no"))
+    return found.groupBy("n.word").agg(F.count("*").alias("n_lines"), F.count_distinct("t.doc_id").alias("n_docs"), F.min("t.doc_id").alias("first_doc"))
 
 
 def _candidates(spark, sf_dir):
@@ -323,6 +371,15 @@ def feed_articles(spark, sf_dir):
     return rows.select("p_partkey", "ord", "a.*")
 
 
+def feed_arguments(spark, sf_dir):
+    """Six arguments an answer, of which five count, some without a heading or a body; some answers have prose around the JSON."""
+    p = _t(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    one = F.concat(F.lit('{"heading": '), F.when(k % 3 > 0, F.concat(F.lit('" '), F.col("p_name"), F.lit(' "'))).otherwise("null"), F.when(k % 4 > 0, F.concat(F.lit(', "body": "'), F.when(k % 5 > 0, F.col("p_type")).otherwise(""), F.lit('"'))).otherwise(""), F.lit("}"))
+    answer = F.concat(F.when(k % 2 == 0, "Here: ").otherwise(""), F.lit('{"arguments": ['), F.array_join(F.array_repeat(one, 6), ", "), F.lit("]}"))
+    return p.select("p_partkey", F.posexplode(answers.feed_arguments(answer)).alias("ord", "a")).select("p_partkey", "ord", "a.*")
+
+
 def regenerated(spark, sf_dir):
     """Runs with a plan, a plan without a topic, a filtered set alone, and neither."""
     p = _t(spark, sf_dir, "pages")
@@ -355,21 +412,21 @@ def critique_zip(spark, sf_dir):
 
 def _citations_used(spark, sf_dir):
     t = F.concat(F.lit("t"), (F.col("page_id") % 5).cast("string"))
-    return _links(spark, sf_dir).select(t.alias("term"), (F.col("page_id") % 5).cast("int").alias("term_ord"), F.col("page_id").alias("rank"), F.col("url").alias("link"), F.when(F.col("page_id") % 2 == 0, "").otherwise(F.concat(F.lit("T"), F.col("page_id").cast("string"))).alias("title"), F.lit("c").alias("content"))
+    return _links(spark, sf_dir).select(t.alias("term"), (F.col("page_id") % 5).cast("int").alias("term_ord"), F.col("page_id").alias("rank"), F.col("url").alias("link"), F.when(F.col("page_id") % 6 == 4, F.lit(None)).when(F.col("page_id") % 2 == 0, "").otherwise(F.concat(F.lit("T"), F.col("page_id").cast("string"))).alias("title"), F.concat(F.lit("c"), F.col("page_id").cast("string")).alias("content"))
 
 
 def dead_links(spark, sf_dir):
     a = links.assessed(_probes(spark, sf_dir))
-    return links.dead_links(_citations_used(spark, sf_dir), a.select("url", "link_status", "issue_type").distinct())
+    return links.dead_links(_citations_used(spark, sf_dir), a.select("url", "link_status", "issue_type", "detail").distinct())
 
 
 def _report(spark, sf_dir):
     used = _citations_used(spark, sf_dir)
     a = links.assessed(_probes(spark, sf_dir))
-    marks = a.select(F.col("url").alias("link"), F.col("link_status").isin("probably_valid", "whitelisted").alias("ok"), "link_status", "issue_type").distinct()
+    marks = a.select(F.col("url").alias("link"), F.col("link_status").isin("probably_valid", "whitelisted").alias("ok"), F.coalesce(F.nullif("detail", F.lit("")), "issue_type").alias("reason")).distinct()
     x = used.join(marks, "link")
-    extracted = x.where("ok").select("term", "term_ord", "link", "title", "content", F.when(F.col("rank") % 7 > 0, F.col("rank")).alias("rank"))
-    dead = x.where("not ok").select(F.when(F.col("rank") % 10 > 0, F.col("term")).alias("term"), "link", F.nullif("title", F.lit("")).alias("title"), "content", "rank", F.coalesce("issue_type", "link_status").alias("reason"))
+    extracted = x.where("ok").select("term", "term_ord", "link", F.coalesce("title", F.lit("")).alias("title"), "content", F.when(F.col("rank") % 7 > 0, F.col("rank")).alias("rank"))
+    dead = x.where("not ok").select(F.when(F.col("rank") % 10 > 0, F.col("term")).alias("term"), "link", "title", "content", "rank", "reason")
     angles = spark.createDataFrame([("first", ["t0", "t1"]), ("second", ["t2", "t9"]), ("third", ["t3"])], "argument string, search_queries array<string>")
     hits = _hits(spark, sf_dir)[1].join(F.broadcast(_searches(spark).select("query_ord", "query")), "query_ord")
     flat = staged(citations.flat(x.where("ok"), any_link=True))
@@ -379,13 +436,17 @@ def _report(spark, sf_dir):
 
 
 def report_refs(spark, sf_dir):
-    return _report(spark, sf_dir)["refs"].select("term", "place", "link", "rank", "dead", "number", "used", "reason")
+    return _report(spark, sf_dir)["refs"].select("term", "place", "link", "title", "rank", "dead", "number", "used", "reason")
 
 
 def report_angles(spark, sf_dir):
     return _report(spark, sf_dir)["angles"]
 
 
+def report_angle_sums(spark, sf_dir):
+    return _report(spark, sf_dir)["angle_sums"]
+
+
 def report_orphans(spark, sf_dir):
     return _report(spark, sf_dir)["orphans"]
 
@@ -458,6 +519,13 @@ _QUERIES = [
     citation_counts,
     corpus_link_report,
     cite_type_report,
+    reference_spans,
+    reference_sections,
+    paragraph_refs,
+    section_refs,
+    event_context,
+    price_percentiles,
+    telling_words,
     term_candidates,
     extracted_citations,
     extraction_counts,
@@ -470,6 +538,7 @@ _QUERIES = [
     article_parts,
     angle_plans,
     feed_articles,
+    feed_arguments,
     regenerated,
     lineage,
     angle_counts,
@@ -477,6 +546,7 @@ _QUERIES = [
     dead_links,
     report_refs,
     report_angles,
+    report_angle_sums,
     report_orphans,
     report_overview,
     refutation_view,

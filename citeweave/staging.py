@@ -21,20 +21,34 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Folders that staged() has written and nobody has dropped.
+_written: list[str] = []
+
+
 def staged(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: lineage ends there and lost executors cost nothing."""
     path = work_dir(df.sparkSession)
+    _written.append(path)
     df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _deleted(spark: SparkSession, folders: set[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Removes what staged() wrote for the frames, once nothing reads them any more."""
     for df in frames:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _deleted(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def cleared(spark: SparkSession) -> None:
+    """Removes all that staged() has written in this session and nobody has dropped. For the end of a query: call it when its result has been written, as results may read staged tables."""
+    _deleted(spark, set(_written))
+    _written.clear()
 
 
 def few(df: DataFrame, most: int) -> bool:
