@@ -3,9 +3,10 @@
 A template is a function from turns to text, of which nothing else is known. Each turn's prefix is rendered and compared with the one before: where the earlier output is a prefix of the later, the rest is the
 turn's span; where it isn't, the template has rewritten history, and the turn says so. A turn's role and text are located by rendering the prefix once more with a probe character in their place.
 
-Whole prefixes are right for any template and quadratic in a conversation's length. A template may declare how many earlier turns its output for a turn depends on (``lookback``); the declaration is checked
-against whole prefixes over the first WHOLE turns of every conversation, and only where it holds do later turns need just that window. Rows are sorted by conversation and stream through, so a conversation of any length
-(one task's, as order is what is rendered) needs the window and running digests, not all its turns at once.
+Whole prefixes are right for any template and quadratic in a conversation's length. A template may declare how many earlier turns its output for a turn depends on (``lookback``). The declaration is checked turn by turn over the first
+WHOLE turns of every conversation; later turns are rendered with just that window, and what their spans add up to is compared with the whole prefix at turn 2 * WHOLE, 4 * WHOLE and so on and at the conversation's end, so all checks together
+render a few times the conversation. Spans wait for their check; where it fails, they are found again from whole prefixes, and whole prefixes go on. A conversation is one task's, as order is what is rendered, and its turns are held until it ends.
+A rewrite beyond the declared window that a later turn undoes before the next check isn't seen.
 
 Defined results: null text and role count as empty; rows of one conversation with the same turn follow by role, then text; repeated rows are turns of their own; a null conv_id is a
 conversation; a null turn comes first; extra columns are ignored; an empty table gives no conversation (the query's conversation -1 apart).
@@ -18,6 +19,7 @@ import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +32,14 @@ Turn = tuple[str, str]
 
 #: Turns of each conversation over which a declared lookback is checked against whole prefixes.
 WHOLE = 32
-#: Stands for a role or a text to see where the template puts it.
-_PROBE = "\ue0f3"
+
+
+def absent(*texts: str) -> str | None:
+    """A character that none of the texts has, to stand for a role or a text so as to see where the template puts it: private ones first, then any. None if they have all there are."""
+    for code in chain(range(0xE000, 0xF900), range(0xF0000, 0x110000), range(0x21, 0xD800), range(0xF900, 0xF0000)):
+        if not any(chr(code) in t for t in texts):
+            return chr(code)
+    return None
 
 
 @dataclass(frozen=True)
@@ -74,11 +82,11 @@ def _common(a: str, b: str) -> int:
     return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
-def _found(after: str, probed: str) -> tuple[int, int] | None:
+def _found(after: str, probed: str, probe: str) -> tuple[int, int] | None:
     """Where ``after`` has what is a probe in ``probed``."""
-    at = probed.find(_PROBE)
+    at = probed.find(probe)
     start, rest = at, len(probed) - at - 1
-    ok = at >= 0 and probed.find(_PROBE, at + 1) < 0 and start + rest <= len(after) and after.startswith(probed[:at]) and after.endswith(probed[at + 1 :])
+    ok = at >= 0 and probed.find(probe, at + 1) < 0 and start + rest <= len(after) and after.startswith(probed[:at]) and after.endswith(probed[at + 1 :])
     return (start, len(after) - rest) if ok else None
 
 
@@ -86,31 +94,60 @@ def _step(turns: list[Turn], before: str, render) -> tuple[Span, str]:
     """The last turn's span, and the output with it."""
     after = render(turns)
     role, text = turns[-1]
-    places = [_found(after, render([*turns[:-1], probe])) for probe in ((_PROBE, text), (role, _PROBE))]
+    probe = absent(after, before, role, text)
+    places = [_found(after, render([*turns[:-1], probed]), probe) if probe else None for probed in ((probe, text), (role, probe))]
     cut = min([_common(before, after), *(p[0] for p in places if p)])
     own = [(p[0] - cut, p[1] - cut) if p else None for p in places]
     return Span(len(before) - cut, after[cut:], not after.startswith(before), *own), after
 
 
+def _grown(output: str, spans: list[Span]) -> str:
+    """The output with what spans took back and added."""
+    parts = [output]
+    for s in spans:
+        if s.back:
+            whole = "".join(parts)
+            parts = [whole[: len(whole) - s.back]]
+        parts.append(s.added)
+    return "".join(parts)
+
+
 def turn_spans(turns: Iterable[Turn], render, lookback: int | None = None, whole: int = WHOLE) -> Iterator[Span]:
-    """A span for each turn. The first ``whole`` turns are rendered as whole prefixes and, with a lookback, by the window too; if that ever differs, whole prefixes go on."""
+    """A span for each turn. With a lookback, turns beyond the first ``whole`` are rendered with their window, as long as checks against whole prefixes hold."""
     prefix: list[Turn] = []
-    window: list[Turn] = []
+    held: list[Span] = []  # by the window, since the last check
     output, shown = render([]), render([])
-    local = lookback is not None
-    for n, turn in enumerate(turns):
+    local, check = lookback is not None, whole
+
+    def settled() -> list[Span]:
+        nonlocal output, local
+        made = _grown(output, held)
+        if made == render(prefix):
+            output = made
+            return held
+        local, out = False, []
+        for n in range(len(prefix) - len(held), len(prefix)):
+            span, output = _step(prefix[: n + 1], output, render)
+            out.append(span)
+        return out
+
+    for turn in turns:
+        prefix.append(turn)
         if local:
-            window = [*window[len(window) - lookback :], turn] if lookback and len(window) > lookback else [*window, turn] if lookback else [turn]
-            near, shown = _step(window, shown if len(window) <= 1 and n == 0 else render(window[:-1]), render)
-        if n < whole or not local:
-            prefix.append(turn)
+            window = prefix[-1 - lookback :]
+            near, shown = _step(window, shown if len(prefix) == 1 else render(window[:-1]), render)
+        if local and len(prefix) > whole:
+            held.append(near)
+            if len(prefix) >= 2 * check:
+                check = len(prefix)
+                yield from settled()
+                held = []
+        else:
             span, output = _step(prefix, output, render)
-            if local and span != near:
-                local = False
+            local = local and span == near
             yield span
-        else:
-            prefix, output = [], ""
-            yield near
+    if held:
+        yield from settled()
 
 
 SCHEMA = "conv_id long, turn_no long, start long, back long, rewrote boolean, formatted string, role_start long, role_end long, text_start long, text_end long, loss boolean"

@@ -12,9 +12,10 @@ words has target 0 and rate 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scan import SUM, scanned
 from .common import dropped, sent, staged, words
 
 WEIGHTS = (3, 1, 2)
@@ -22,33 +23,28 @@ WEIGHTS = (3, 1, 2)
 BROADCAST_SOURCES = 100_000
 
 
-def _running(rows: DataFrame, order: tuple, **sums) -> tuple[DataFrame, DataFrame]:
-    """rows with the sum of each column of sums over the rows before, and the table that was staged for it. Rows are dealt by range, so no task sorts all; order must leave no ties."""
-    dealt = staged(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    parts = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    total = dealt.groupBy("_part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])  # a row for each task
-    before = total.select("_part", *[F.coalesce(F.sum(n).over(parts), F.lit(0)).alias(f"_{n}") for n in sums])
-    out = dealt.join(F.broadcast(before), "_part").withColumns({n: F.col(f"_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
-    return out.drop("_part", *[f"_{n}" for n in sums]), dealt
+def _running(rows: DataFrame, *order, **sums) -> DataFrame:
+    """rows with the sum of each column of sums over the rows before. Rows are dealt by range, so no task sorts all; order must leave no ties."""
+    out = scanned(rows, (), order, before=True, **{n: (SUM, c) for n, c in sums.items()})
+    return out.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in sums})
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, percent: int = 150, max_repeat: int = 2) -> DataFrame:
     """One row a source: source, source_size, target, rate, as a staged table. sized has source and size."""
     by_source = staged(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     name = F.col("source").asc_nulls_last()
-    placed, dealt = _running(by_source, (name,), place=F.lit(1))
+    placed = _running(by_source, name, place=F.lit(1))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
     capped = placed.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * max_repeat).alias("cap")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    s, by_ratio = _running(capped, (F.col("ratio").asc(), name), held=F.lit(1), held_cap=F.col("cap"), held_weight=F.col("weight"))
-    size, heavy = (F.lit(x or 0).cast("long") for x in by_ratio.agg(F.sum("source_size"), F.sum("weight")).first())
+    s = staged(_running(capped, F.col("ratio").asc(), name, held=F.lit(1), held_cap=F.col("cap"), held_weight=F.col("weight")))
+    size, heavy = (F.lit(x or 0).cast("long") for x in s.agg(F.sum("source_size"), F.sum("weight")).first())
     # the level if exactly the sources before this one are held at their caps; the first that fits counts
     level = (size * percent / 100 - F.col("held_cap")) / (heavy - F.col("held_weight"))
     found = s.withColumn("level", level).where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min_by("level", "held")).first()[0]
     target = F.col("cap").cast("double") if found is None else F.least(F.col("cap").cast("double"), F.lit(found) * F.col("weight"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    out = staged(by_ratio.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate")))
-    dropped(by_source, dealt, by_ratio)
+    out = staged(s.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate")))
+    dropped(by_source, placed, s)
     return out
 
 

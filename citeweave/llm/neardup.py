@@ -294,10 +294,14 @@ def clustered(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFra
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
-    """docs, all columns, with one document of each component: the one with the smallest doc_id. Rows that share it are cut to one."""
+    """docs, all columns, with one document of each component: the one with the smallest doc_id.
+
+    Rows that share it are cut to the one with the least text (null first), then with the least other columns as JSON, so reruns agree. Rows without doc_id stay; null, empty and blank texts are linked with nothing and stay; very long texts count whole; an empty table gives an empty table.
+    """
     stay = clustered(docs, percent, text).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    known = docs.join(stay, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("nd_id")).agg(F.min_by(row, F.struct(F.col(f"`{text}`"), F.to_json(row))).alias("nd_row"))
+    return known.select(*[F.col("nd_row").getField(c).alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,13 +7,15 @@ stand beside it, and redact() takes the union.
 
 Defined results: null and empty texts hold nothing; every row is judged on its own; other columns are ignored by found() and kept by redacted(); an empty table gives an
 empty table. All steps are linear in a text's length: no pattern is tried again over what an earlier try has passed.
-The plain form `name at host dot tld` counts for the endings in PLAIN_ENDS alone, as prose has such words too; bracketed forms count for any.
+Signs are rewritten in layers, so forms may mix within one address: entities, then brackets and dashes around at and dot, then words and spaced signs on what these leave. Where a bracket or a dash shows what is meant, or the name has a digit, a dot
+or an underscore, any ending counts; the wholly plain form `name at host dot tld` counts for the endings in PLAIN_ENDS alone, as prose has such words too.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
 
 import pyarrow as pa
@@ -77,7 +79,9 @@ LOOK_ALIKES = {
 INVISIBLE = "​‌‍⁠﻿­"
 _FULL_WIDTH = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _STYLED = {chr(c + k): str(k) for c in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for k in range(10)}
-_CHARS = LOOK_ALIKES | _FULL_WIDTH | _STYLED | dict.fromkeys(INVISIBLE, "")
+#: Letters and digits in styles (bold, script, circled), by their compatibility form.
+_STYLES = {c: n for a, b in ((0x1D400, 0x1D7CE), (0x24B6, 0x24EA), (0x2460, 0x2469), (0x2102, 0x2140)) for c, n in ((chr(k), unicodedata.normalize("NFKC", chr(k))) for k in range(a, b)) if len(n) == 1 and n.isascii() and n.isalnum()}
+_CHARS = _STYLES | LOOK_ALIKES | _FULL_WIDTH | _STYLED | dict.fromkeys(INVISIBLE, "")
 _ANY_CHAR = re.compile("[" + re.escape("".join(_CHARS)) + "]")
 
 #: Digits as words.
@@ -92,20 +96,23 @@ _TWO = re.compile(rf"\b(?:{_WORD})[\s,.-]{{1,3}}(?:{_WORD}|dot|punkt|punto|point
 _PART = re.compile(rf"(?<![^\W_])(?:{_WORD}|plus|double|triple)(?![^\W_])|\+?[0-9]+", re.I)
 _JOIN = re.compile(r"[\s,()-]{1,3}\Z")
 
-#: Last labels with which the plain form (name at host dot com) counts; bracketed forms take any.
-PLAIN_ENDS = "com org net edu gov info biz dev app cloud mail email io co uk eu de fr es nl ch ca au".split()
-_DOT_WORD = r"(?:dot|punkt|punto|point)"
-_BRACKETED = re.compile(rf"[\[({{<]\s*+(?:(?P<at>at|arroba|@)|(?P<dot>{_DOT_WORD}|\.))\s*+[\])}}>]", re.I)
-#: A chain of words with spelled dots between them, and what follows it if that makes it an address; a chain is passed as a whole, so each is read once.
-_PLAIN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\s{_DOT_WORD}\s[A-Za-z0-9._%+-]++)*+"
-    rf"(?:(?P<at>\s(?:at|arroba)\s|@)(?P<domain>[A-Za-z0-9-]++(?:\s{_DOT_WORD}\s(?!(?:{'|'.join(PLAIN_ENDS)})(?![A-Za-z0-9-]|\s{_DOT_WORD}\s))[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)*+\s{_DOT_WORD}\s(?:{'|'.join(PLAIN_ENDS)}))(?![A-Za-z0-9-]))?+",
-    re.I,
+#: Last labels with which the plain form (name at host dot com) counts, none a frequent word of prose; how at and dot are spelled.
+PLAIN_ENDS = "com org net edu gov mil info biz pro dev app cloud mail email online site shop store tech blog xyz io co ai tv cc eu uk ie de fr es nl ch lu li pt pl cz sk hu ro bg gr tr ru ua lt lv dk fi ca mx br ar cl pe au nz jp cn kr tw hk sg th vn ph pk lk np za eg ng ke".split()
+_ENDS = frozenset(PLAIN_ENDS)
+_AT_WORD, _DOT_WORD = r"(?:at|arroba)", r"(?:dot|punkt|punto|point)"
+_ENTITY = re.compile(r"&(?:#0*(?P<at>64)|#x0*(?P<at2>40)|(?P<at3>commat)|#0*46|#x0*2e|period);", re.I)
+_BRACKETED = re.compile(rf"[\[({{<]\s*+(?:(?P<at>{_AT_WORD}|@)|{_DOT_WORD}|\.)\s*+[\])}}>]", re.I)
+_DASHED = re.compile(rf"(?<=[A-Za-z0-9])([-_])(?:(?P<at>{_AT_WORD})|{_DOT_WORD})\1(?=[A-Za-z0-9])", re.I)
+#: A chain of names with spelled or spaced dots between them, and what follows it if that makes it an address; a chain is passed as a whole, so each is read twice at most.
+_DOT = rf"(?:\s{{1,3}}{_DOT_WORD}\s{{1,3}}|\s{{1,3}}\.\s{{1,3}})"
+_CHAIN = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])(?P<name>[A-Za-z0-9._%+-]++(?:{_DOT}[A-Za-z0-9._%+-]++)*+)(?:(?P<at>\s{{1,3}}{_AT_WORD}\s{{1,3}}|\s{{0,3}}@\s{{0,3}})(?P<domain>[A-Za-z0-9-]++(?:(?:{_DOT}|\.)[A-Za-z0-9-]++)++))?+", re.I
 )
-_PLAIN_IP = re.compile(rf"(?<![0-9])[0-9]++(?:(?:\s{_DOT_WORD}\s|\.)[0-9]++){{3}}", re.I)
+_LABEL_GAP = re.compile(rf"{_DOT}|\.", re.I)
+_SPACED_DOT = re.compile(_DOT, re.I)
+_PLAIN_IP = re.compile(rf"(?<![0-9])[0-9]++(?:(?:{_DOT}|\.)[0-9]++){{3}}", re.I)
 _NEAR_DOT = re.compile(rf"{_DOT_WORD}\s0|0\s{_DOT_WORD}\s", re.I)
-_SPACED_DOT = re.compile(rf"\s{_DOT_WORD}\s", re.I)
-_DOTS = ("dot", "punkt", "punto", "point")
+_DOTS = ("dot", "punkt", "punto", "point", " .", " @", "@ ")
 
 
 class Rewritten:
@@ -158,7 +165,8 @@ def look_alike_edits(text: str) -> list[tuple[int, int, str]]:
 
 def spelled_edits(text: str, least: int = 2) -> list[tuple[int, int, str]]:
     """Runs of digit words (digits may stand among them) as digits; what only separates them goes."""
-    if not _TWO.search(text):
+    low = text.lower()
+    if not any(w in low for w in DIGIT_WORDS) or not _TWO.search(text):
         return []
     edits: list[tuple[int, int, str]] = []
     chain: list[tuple[int, int, str]] = []
@@ -193,25 +201,36 @@ def spelled_edits(text: str, least: int = 2) -> list[tuple[int, int, str]]:
     return [(s, e, n) for s, e, n in edits if s < e]
 
 
-def sign_edits(text: str) -> list[tuple[int, int, str]]:
-    """[at], (dot) and the like; `name at host dot tld`; `1 dot 2 dot 3 dot 4`."""
-    edits = []
+def marked_edits(text: str) -> list[tuple[int, int, str]]:
+    """&#64;, [at], (dot), -at-, _dot_ and the like, brackets with the blanks around them. Dashes count beside a sign of the other kind, in whatever form."""
+    edits = [(m.start(), m.end(), "@" if m["at"] or m["at2"] or m["at3"] else ".") for m in _ENTITY.finditer(text)] if "&" in text else []
     if any(c in text for c in "[({<"):
+        done = 0
         for m in _BRACKETED.finditer(text):
-            start, end, least = m.start(), m.end(), edits[-1][1] if edits else 0
-            while start > least and text[start - 1].isspace():
+            start, end = m.start(), m.end()
+            while start > done and text[start - 1].isspace():
                 start -= 1
             while end < len(text) and text[end].isspace():
                 end += 1
             edits.append((start, end, "@" if m["at"] else "."))
-    low = text.lower()
-    if any(w in low for w in _DOTS):
-        for m in _PLAIN.finditer(text):
-            if m["at"]:
-                edits.append((*m.span("at"), "@"))
-                edits += [(*d.span(), ".") for d in _SPACED_DOT.finditer(text, m.start(), m.end())]
-        for m in _PLAIN_IP.finditer(text):
-            edits += [(*d.span(), ".") for d in _SPACED_DOT.finditer(text, m.start(), m.end())]
+            done = end
+    dashed = [(m.start(), m.end(), "@" if m["at"] else ".") for m in _DASHED.finditer(text)] if "-" in text or "_" in text else []
+    signs, loose = sorted(edits + dashed), set(dashed)
+    for k, e in enumerate(signs):
+        if e in loose:  # its neighbours within an address's length
+            beside = [f for f in signs[max(0, k - 4) : k + 5] if f[2] != e[2] and abs(f[0] - e[0]) <= 80]
+            joined = e[2] == "@" and (_REAL_DOMAIN.match(text, e[1]) or _SPELLED_DOMAIN.match(text, e[1])) or e[2] == "." and re.search(r"@[A-Za-z0-9.-]*\Z", text[max(0, e[0] - 80) : e[0]])
+            if beside or joined:
+                edits.append(e)
+    return _in_order(edits)
+
+
+_SPELLED_DOMAIN = re.compile(rf"[A-Za-z0-9]++{_DOT}[A-Za-z]{{2}}", re.I)
+_REAL_DOMAIN = re.compile(rf"[A-Za-z0-9]++(?:\.[A-Za-z0-9]++)*?\.(?:{'|'.join(PLAIN_ENDS)})(?![A-Za-z0-9])", re.I)
+
+
+def _in_order(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Edits that overlap none before them."""
     out, end = [], 0
     for e in sorted(set(edits)):
         if e[0] >= end:
@@ -220,14 +239,56 @@ def sign_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _named(m: re.Match, shown: list[int]) -> list[tuple[int, int, str]]:
+    """Edits that make an address of a chain, none if it isn't one. shown: places where brackets or dashes stood."""
+    start, end = m.span("domain")
+    gaps = [g.span() for g in _LABEL_GAP.finditer(m.string, start, end)]
+    k = bisect_right(shown, m.start("at") - 1)
+    strong = k < len(shown) and shown[k] < end or any(c in "0123456789_" or c == "." for c in m["name"].strip("."))
+    stops = [*(a for a, _ in gaps[1:]), end]
+    last = lambda n: m.string[gaps[n][1] : stops[n]].lower()
+    fits = [n for n in range(len(gaps)) if last(n) in _ENDS or strong and len(last(n)) > 1 and last(n).isalpha()]
+    if not fits:
+        return []
+    at, used = m["at"], gaps[: fits[-1] + 1]
+    spelled = [g for g in used if m.string[g[0] : g[1]] != "."]
+    if not spelled and (at == "@" or at.strip() != "@" and not (k < len(shown) and shown[k] < end)):
+        return []  # nothing is disguised, or a word before a plain domain
+    return [*((*d.span(), ".") for d in _SPACED_DOT.finditer(m.string, *m.span("name"))), (*m.span("at"), "@"), *((*g, ".") for g in spelled)]
+
+
+def plain_edits(text: str, shown: list[int] = ()) -> list[tuple[int, int, str]]:
+    """`name at host dot tld`, `name @ host . tld`, `1 dot 2 dot 3 dot 4`."""
+    low, edits = text.lower(), []
+    if not shown and not any(w in low for w in _DOTS):
+        return []
+    for m in _CHAIN.finditer(text):
+        if m["at"]:
+            edits += _named(m, shown)
+    for m in _PLAIN_IP.finditer(text):
+        edits += [(*d.span(), ".") for d in _SPACED_DOT.finditer(text, m.start(), m.end())]
+    return _in_order(edits)
+
+
+def _places(edits: list[tuple[int, int, str]]) -> list[int]:
+    """Where the edits' new texts start in the text that they make."""
+    out, moved = [], 0
+    for start, end, new in edits:
+        out.append(start + moved)
+        moved += len(new) - (end - start)
+    return out
+
+
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and those that only the rewritten text shows, or shows longer."""
     text = text or ""
     base = base_spans(text)
     new = Rewritten(text)
     new.apply(look_alike_edits(text))
-    for step in (spelled_edits, sign_edits):
-        new.apply(step(new.text))
+    new.apply(spelled_edits(new.text))
+    marked = marked_edits(new.text)
+    new.apply(marked)
+    new.apply(plain_edits(new.text, _places(marked)))
     if not new.layers:
         return base, []
     held = [[(s, e) for k, s, e in base if k == kind] for kind in range(len(KINDS))]  # in order, none overlap
@@ -273,7 +334,10 @@ def redact(text: str | None) -> str | None:
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs, each text with its personal data replaced; the other columns as they are."""
+    """docs, each text with its personal data replaced; the other columns as they are (counts of characters too, which then are those of the source).
+
+    Null texts stay null; repeated rows are each redacted; very long texts are read whole; columns of any name pass through; an empty table gives an empty table.
+    """
     place = docs.columns.index(text)
 
     def replace(batches):

@@ -233,6 +233,22 @@ def _pieces(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def unlike(data: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each fragment data[start:end] differs in its bytes, or in where its anchor (place) lies, from the fragment that other names. Fragments have eight bytes at least."""
+    size = end - start
+    out = (size != size[other]) | (place - start != (place - start)[other])
+    open_ = np.flatnonzero(~out & (other != np.arange(len(other))))
+    words = np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
+    for k in range(0, int(size.max(initial=0)), 8):
+        at = np.minimum(k, size[open_] - 8)  # the last eight bytes overlap those before
+        differ = words[start[open_] + at] != words[start[other[open_]] + at]
+        out[open_[differ]] = True
+        open_ = open_[~differ & (size[open_] > k + 8)]
+        if not len(open_):
+            break
+    return out
+
+
 def fragments(chunked: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
     """Rows of _SENT: fragments by bucket, and spans that the chunk itself settles."""
     by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"), F.collect_list("copies").alias("copies"))
@@ -278,12 +294,16 @@ def fragments(chunked: DataFrame, answers: DataFrame, buckets: int) -> DataFrame
                 key = range_hashes(own.prefix, a, b + LENGTH) ^ mixed((a - place[at]).astype(np.uint64) * np.uint64(64) + (b - a).astype(np.uint64)) if len(at) else np.zeros(0, np.uint64)
                 deal = np.concatenate([_bucket(seed[cold], buckets), _bucket(key[len(cold) :], buckets)])
                 place, owner = place[at], own.ids[doc[at]]
-                order = np.lexsort((place, owner, key, deal))
-                key, deal, place, owner, a, b = (x[order] for x in (key, deal, place, owner, a, b))
-                fresh = np.flatnonzero(np.diff(key, prepend=~key[:1]) | (np.diff(deal, prepend=-1) != 0)) if len(key) else np.zeros(0, np.int64)
-                group = np.zeros(len(key), np.int64)
-                group[fresh] = 1
-                group = np.cumsum(group) - 1
+                odd, tries = np.ones(1, bool), 0
+                while odd.any():  # a group has equal bytes, not only equal hashes
+                    order = np.lexsort((place, owner, key, deal))
+                    key, deal, place, owner, a, b = (x[order] for x in (key, deal, place, owner, a, b))
+                    fresh = np.flatnonzero(np.diff(key, prepend=~key[:1]) | (np.diff(deal, prepend=-1) != 0)) if len(key) else np.zeros(0, np.int64)
+                    group = np.zeros(len(key), np.int64)
+                    group[fresh] = 1
+                    group = np.cumsum(group) - 1
+                    odd, tries = unlike(own.data, place, a, b + LENGTH, fresh[group]), tries + 1
+                    key[odd] = mixed(key[odd], tries)
                 later = owner > owner[fresh][group] if len(key) else np.zeros(0, bool)
                 starts.append(a[later])
                 stops.append(b[later] + LENGTH)

@@ -203,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn, curve, max_curve_rows: int =
     share = max_curve_rows / max(ready.count(), 1)
     if share < 1:
         ready = ready.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    seen = evidence(docs.where(curve).join(F.broadcast(ready), "doc_id").select("doc_id", "text", "toxic", (fold() + 1).alias("by")), model, "toxic", "by").toPandas()  # max_curve_rows or a little more
+    once = docs.where(curve).join(F.broadcast(ready), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.col("text").cast("string")).alias("text"))  # one row an id, however often it occurs
+    seen = evidence(once.select("doc_id", "text", "toxic", (fold() + 1).alias("by")), model, "toxic", "by").toPandas()  # max_curve_rows or a little more
     y = seen["toxic"].to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
         return model, np.array([-20.0 if not len(y) or y.max() == 0 else 20.0, *[0] * len(EVIDENCE)])

@@ -69,6 +69,26 @@ def test_deduplicated_takes_links_from_80_percent_on(table):
     assert sorted(r["doc_id"] for r in neardup.deduplicated(table(rows)).collect()) == sorted({c for _, c in brute_classes(rows, 80).values()})
 
 
+def test_deduplicated_keeps_the_same_row_in_any_order(spark):
+    rows = [(1, "b text of six words here", "en"), (1, "a text of six words here", "fr"), (1, "a text of six words here", "de"), (2, "other words stand in this row", None)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(*r, {"k": 1}) for r in order], "doc_id long, text string, lang string, m map<string,int>")
+        assert sorted((r["doc_id"], r["text"], r["lang"]) for r in neardup.deduplicated(df).collect()) == [(1, "a text of six words here", "de"), (2, "other words stand in this row", None)]
+
+
+def test_fragments_of_one_hash_are_compared_by_their_bytes():
+    rng = np.random.default_rng(3)
+    data = np.tile(rng.integers(97, 123, 400, dtype=np.uint8), 3)
+    data[450] ^= 1  # the second of three equal stretches differs in one byte
+    start = np.array([0, 400, 800, 10, 410, 810, 20, 20])
+    end = start + np.array([60, 60, 60, 55, 55, 55, 77, 78])
+    place = start + np.array([5, 5, 5, 5, 5, 6, 5, 5])
+    other = np.array([0, 0, 0, 3, 3, 3, 6, 6])
+    got = substrings.unlike(data, place, start, end, other)
+    want = [data[a:b].tobytes() != data[start[o] : end[o]].tobytes() or p - a != place[o] - start[o] for a, b, p, o in zip(start, end, place, other, strict=True)]
+    assert got.tolist() == want == [False, True, False, False, True, True, False, True]
+
+
 def test_words_that_collide_in_polynomial_hashes_stay_apart(table):
     word = "a"
     for _ in range(11):

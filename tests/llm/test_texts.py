@@ -166,6 +166,58 @@ def test_planted_disguises_are_found(kind):
     assert hit >= 0.95 * 400
 
 
+def mixed_forms(rng):
+    """(text, kind, start, end): an address whose signs and letters are disguised each in a way of its own."""
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    bold = lambda t: "".join(chr(0x1D41A + ord(c) - 97) if c.isascii() and c.islower() else c for c in t)
+    wide = lambda t: "".join(chr(ord(c) + 0xFEE0) if c.isascii() and c.isalnum() else c for c in t)
+    cyrillic = lambda t: t.translate(str.maketrans("aeopcx", "аеорсх"))
+    dots = [" dot ", "[dot]", " [.] ", "(dot)", " (DOT) ", "{dot}", "  dot  ", " . ", "&#46;", "."]
+    if rng.random() < 0.25:
+        signs = [rng.choice(dots[:-1]), rng.choice(dots), rng.choice(dots)]
+        rng.shuffle(signs)
+        parts = [str(rng.randrange(256)) for _ in range(4)]
+        own, kind = parts[0] + "".join(s + p for s, p in zip(signs, parts[1:], strict=True)), "ip"
+    else:
+        ats = [" at ", "[at]", " [at] ", "(at)", " {AT} ", "  at  ", " @ ", "&#64;", "&commat;", "-at-", "_at_", "@"]
+        style = rng.choice([bold, wide, cyrillic, str, str, str])
+        at, dot = rng.choice(ats), rng.choice(dots)
+        plain = at.strip() in ("@", "at") and not dot.strip().startswith(("[", "(", "{"))
+        end = rng.choice(["com", "org", "net", "de", "fr", "io"] if plain or at in ("-at-", "_at_") else ["com", "berlin", "museum", "travel"])
+        if (at.strip() == "@" and dot == "." and style is str) or at == " at " and dot in (".", "&#46;") or at == "  at  " and dot in (".", "&#46;"):
+            at, dot = "[at]", "."  # not disguised, or prose
+        own, kind = style(word(5) + "a") + at + style(word(6) + "o") + dot + style(end), "email"
+    before = " ".join(word(4) for _ in range(rng.randrange(4))) + "; "
+    return before + own + ", " + word(5), kind, len(before), len(before) + len(own)
+
+
+def test_forms_may_mix_within_one_address():
+    rng, missed, many = random.Random(11), [], 1500
+    for _ in range(many):
+        text, kind, a, b = mixed_forms(rng)
+        base, more = pii.spans(text)
+        if (pii.KINDS.index(kind), a, b) not in base + more:
+            missed.append(text)
+    assert len(missed) <= 0.05 * many, missed[:40]
+
+
+@pytest.mark.parametrize("text", ["look at example.com now", "look at this dot on the map", "see look-at-this.txt", "1. 2. 3. 4. five", "meet at noon. Then go", "a state-of-the-art file_at_home.txt", "the dot at the end dot", "5 at 6 . 7"])
+def test_prose_stays_prose(text):
+    assert pii.spans(text) == ([], [])
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("mail jane [at] example dot com, ok", ["email:5:30"]), ("jane(at)example dot berlin.", ["email:0:26"]), ("jane at example [dot] com", ["email:0:25"]), ("x 192 . 168 . 1 . 1 y", ["ip:2:19"]),
+        ("jane-at-example-dot-com", ["email:0:23"]), ("jane.doe at example dot museum", ["email:0:30"]), ("a&#64;b.co", ["email:0:10"]), ("j dot d at e dot co dot uk or", ["email:0:26"]),
+    ],
+)
+def test_spans_of_disguises(text, want):
+    base, more = pii.spans(text)
+    assert [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(base + more)] == want
+
+
 def test_pii_query_against_brute_force(spark, tmp_path):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice(["x", "a@b.co", "10.0.0.1", "999.0.0.1", "4111 1111 1111 1111", "+49 30 1234567", "jane [at] b [dot] org", "é😀"]) for _ in range(rng.randrange(9)))) for i in range(200)] + [(None, "a@b.co"), (900, None), (900, None)]
@@ -249,6 +301,36 @@ def test_chat_sees_through_a_wrong_lookback(distance):
     assert out == render(turns)
 
 
+def rewriting(turn):
+    """A template that marks its first turn anew from a turn on, and hides that from its window."""
+
+    def render(turns):
+        head = "<late>" if len(turns) > turn else "<first>"
+        return head + "".join(f"[{r}|{t}]" for r, t in turns)
+
+    return render
+
+
+@pytest.mark.parametrize("turn", [3, 41, 63, 64, 500])
+def test_chat_finds_rewrites_at_any_turn(turn):
+    turns = [("user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(560 if turn == 500 else 90)]
+    render = rewriting(turn)
+    spans = list(chat.turn_spans(turns, render, lookback=1))
+    assert spans == list(chat.turn_spans(turns, render))
+    assert [k for k, s in enumerate(spans) if s.rewrote] == [turn]
+    assert chat._grown(render([]), spans) == render(turns)
+
+
+def test_chat_takes_any_character(spark):
+    odd = "".join(map(chr, range(0xE000, 0xE200)))
+    talk = [("user", f"a\ue0f3b{odd}"), ("assistant", "x"), ("us\ue0f3er", "c"), ("assistant", "d\ue000")] * 12
+    rows = [(1, k, r, t) for k, (r, t) in enumerate(talk)]
+    got = chat.digested(chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in talk).encode()).hexdigest()
+    assert got["loss_chars"] == 12 * 3
+    assert got["loss_sha256"] == hashlib.sha256(("xd\ue000" * 12).encode()).hexdigest()
+
+
 def test_chat_windows_give_what_whole_prefixes_do():
     turns = [("user" if k % 2 else "assistant", "x <|im_end|>" * (k % 4)) for k in range(100)]
     render = chat.Template().render
