@@ -1,16 +1,17 @@
 """Harmonic packing of token ids into sequences, without a shuffle.
 
-A document's whole sequences stand alone. What is left is of the harmonic class k if its length lies in (capacity / (k + 1), capacity / k]: a piece of the class's length, capacity / k rounded down, is cut off for it, and
-the rest goes the same way. A class's sequences hold a fixed number of pieces, as many as fit, so a full one wastes less than one piece's length (of 1,024, 25 at most and 7 on average over the classes; the longest and most frequent waste 4 or fewer). Each worker fills its own.
-What a worker's last sequences of all classes hold when its documents end is cut again, at powers of two; these lengths fill sequences without waste, and the last of them are powers of two themselves, which need no padding.
+A document's whole sequences stand alone. What is left, or a document that is shorter from the start, is of the harmonic class k if its length lies in (capacity / (k + 1), capacity / k], so k of a class always fit into a sequence. Each worker fills its own: a class's sequence
+is closed once it has its k documents, and the room that these leave is filled from a reserve, which is the only place where documents are cut but for whole sequences: a few of the worker's documents of any class, a sequence's worth of ids at least, taken from the front.
+No cut leaves a piece of fewer than LEAST ids, so a sequence may miss as many less one. What a worker holds when its documents end is strung together, cut into whole sequences, and the rest at powers of two, which need no padding.
 
-Defined results: null and empty texts still have the end id and so one piece; repeated rows are packed each on its own; a null doc_id stays null;
+Defined results: null and empty texts still have the end id and so one piece; repeated rows are packed each on its own; a null doc_id stays null; very long texts are encoded whole and cut into whole sequences;
 extra columns are ignored; an empty table gives an empty table. The capacity must be a power of two.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -20,64 +21,111 @@ from pyspark.sql import functions as F
 from .tokens import encoder, vocabulary_path
 
 CAPACITY = 1024
+#: No cut leaves fewer ids, but for a worker's last ones.
+LEAST = 16
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, ids binary"
 _NAMES = [x.split()[0] for x in PIECE.split(", ")]
 
 
-def lengths(capacity: int = CAPACITY) -> list[int]:
-    """The lengths of the harmonic classes, capacity / k rounded down, falling."""
-    return sorted({capacity // k for k in range(1, capacity + 1)}, reverse=True)
+def powers(n: int) -> list[int]:
+    """n as powers of two, falling."""
+    return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def cuts(n: int, sizes: list[int]) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n ids: whole sequences, then the longest length of a class that still fits, again and again."""
-    out, at = [], 0
-    for size in sizes:
-        while n - at >= size:
-            out.append((at, size))
-            at += size
-    return out
+#: doc_id, the place of the piece's first id in its document, the document's length, ids (4 bytes each).
+Piece = tuple[int | None, int, int, bytes]
+
+
+def _cut(piece: Piece, n: int) -> tuple[Piece, Piece]:
+    d, start, total, ids = piece
+    return (d, start, total, ids[: 4 * n]), (d, start + n, total, ids[4 * n :])
 
 
 class Bins:
-    """The open sequences of one worker. A piece is (doc_id, start, doc_tokens, ids). put() gives back the rows of a sequence once it is full; rest() those that are left."""
+    """The open sequences of one worker. put() gives back the rows of sequences that are full, rest() those that are left."""
 
-    def __init__(self, worker: int, capacity: int = CAPACITY, with_ids: bool = True):
-        self.capacity, self.with_ids = capacity, with_ids
+    def __init__(self, worker: int, capacity: int = CAPACITY, with_ids: bool = True, least: int = LEAST):
+        self.capacity, self.with_ids, self.least = capacity, with_ids, min(least, capacity // 4)
         self.next = worker << 36
-        self.sizes = lengths(capacity)
-        self.open: dict[int, list[tuple]] = {}
+        self.open: dict[int, list[Piece]] = {}
+        self.reserve: deque[Piece] = deque()
+        self.reserved = 0
 
-    def _closed(self, pieces: list[tuple], length: int) -> list[tuple]:
+    def _closed(self, pieces: list[Piece]) -> list[tuple]:
         self.next += 1
-        total = length * len(pieces)
-        return [(d, start, length, zlib.crc32(ids), n, self.next - 1, k * length, total, ids if self.with_ids else None) for k, (d, start, n, ids) in enumerate(pieces)]
-
-    def put(self, doc_id: int | None, ids: bytes) -> list[tuple]:
-        """Takes a document's ids (4 bytes each)."""
-        out, n = [], len(ids) // 4
-        for start, length in cuts(n, self.sizes):
-            out += self._put(self.open, length, (doc_id, start, n, ids[4 * start : 4 * (start + length)]))
+        total, at, out = sum(len(p[3]) // 4 for p in pieces), 0, []
+        for d, start, n, ids in pieces:
+            length = len(ids) // 4
+            out.append((d, start, length, zlib.crc32(ids), n, self.next - 1, at, total, ids if self.with_ids else None))
+            at += length
         return out
 
-    def _put(self, held: dict[int, list[tuple]], length: int, piece: tuple) -> list[tuple]:
-        pieces = held.setdefault(length, [])
+    def put(self, doc_id: int | None, ids: bytes) -> list[tuple]:
+        """Takes a document's ids."""
+        out, left = [], (doc_id, 0, len(ids) // 4, ids)
+        while (n := len(left[3]) // 4) >= self.capacity:
+            if self.capacity < n < self.capacity + self.least:  # a whole sequence would leave a scrap
+                half, left = _cut(left, self.capacity // 2)
+                out += self._placed(half)
+            else:
+                whole, left = _cut(left, self.capacity)
+                out += self._closed([whole])
+        return out + self._placed(left) if left[3] else out
+
+    def _placed(self, piece: Piece) -> list[tuple]:
+        n = len(piece[3]) // 4
+        if self.reserved < self.capacity:
+            self.reserve.append(piece)
+            self.reserved += n
+            return []
+        k = self.capacity // n
+        pieces = self.open.setdefault(k, [])
         pieces.append(piece)
-        return self._closed(held.pop(length), length) if len(pieces) == self.capacity // length else []
+        if len(pieces) < k:
+            return []
+        del self.open[k]
+        room = self.capacity - sum(len(p[3]) // 4 for p in pieces)
+        return self._closed(pieces + self._filling(room))
+
+    def _filling(self, room: int) -> list[Piece]:
+        """Pieces of the reserve for the room that a sequence has. Each piece of the reserve is looked at once."""
+        out = []
+        for _ in range(len(self.reserve)):
+            if room < self.least:
+                break
+            piece = self.reserve.popleft()
+            n = len(piece[3]) // 4
+            take = n if n <= room else min(room, n - self.least)
+            if take == n:
+                out.append(piece)
+            elif take >= self.least:
+                own, left = _cut(piece, take)
+                out.append(own)
+                self.reserve.appendleft(left)
+            else:  # too short to cut
+                self.reserve.append(piece)
+                continue
+            room -= take
+            self.reserved -= take
+        return out
 
     def rest(self) -> list[tuple]:
-        powers = [1 << k for k in range(self.capacity.bit_length() - 1, -1, -1)]
-        out, last = [], {}
-        for _, pieces in sorted(self.open.items(), reverse=True):
-            for d, start, n, ids in pieces:
-                for at, length in cuts(len(ids) // 4, powers):
-                    out += self._put(last, length, (d, start + at, n, ids[4 * at : 4 * (at + length)]))
-        for length, pieces in sorted(last.items()):  # fewer than fill a sequence
-            at = 0
-            for _, some in cuts(len(pieces), powers):
-                out += self._closed(pieces[at : at + some], length)
-                at += some
-        self.open = {}
+        """What is left, longest pieces first, cut into whole sequences and then at powers of two."""
+        pieces = sorted([*self.reserve, *(p for held in self.open.values() for p in held)], key=lambda p: -len(p[3]))
+        total = sum(len(p[3]) for p in pieces) // 4
+        sizes = [self.capacity] * (total // self.capacity) + powers(total % self.capacity)
+        self.open, self.reserve, self.reserved = {}, deque(), 0
+        out, feed = [], deque(pieces)
+        for size in sizes:
+            own: list[Piece] = []
+            while size:
+                piece = feed.popleft()
+                if len(piece[3]) // 4 > size:
+                    piece, left = _cut(piece, size)
+                    feed.appendleft(left)
+                own.append(piece)
+                size -= len(piece[3]) // 4
+            out += self._closed(own)
         return out
 
 

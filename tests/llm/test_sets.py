@@ -259,15 +259,57 @@ def test_packing_query_against_brute_force(spark, sf_dir):
     assert slots <= 1.01 * sum(seen.values())
 
 
-def test_classes_hold_a_fixed_count():
-    sizes = packing.lengths(1024)
-    assert sizes[:4] == [1024, 512, 341, 256]
-    bins = packing.Bins(0, 1024)
-    rows = [r for d in range(4000) for r in bins.put(d, b"abcd" * (1 + d * 37 % 1500))]
-    by = {}
-    for r in rows:
-        by.setdefault(r[5], []).append(r[2])
-    assert all(len(set(x)) == 1 and len(x) == 1024 // x[0] for x in by.values())
+def unpacked(rows, ids):
+    """Checks that rows hold each document's ids once; gives the pieces by sequence."""
+    at = dict.fromkeys(ids, 0)
+    by: dict = {}
+    for d, start, length, crc, n, sequence, offset, total, raw in sorted(rows, key=lambda r: (r[0], r[1])):
+        assert start == at[d] and n == len(ids[d]) // 4 and raw == ids[d][4 * start : 4 * (start + length)] and crc == zlib.crc32(raw)
+        at[d] += length
+        by.setdefault(sequence, []).append((offset, length, total, d))
+    assert at == {d: len(x) // 4 for d, x in ids.items()}
+    for own in by.values():
+        own.sort()
+        assert [o for o, *_ in own] == [sum(p[1] for p in own[:k]) for k in range(len(own))] and {p[2] for p in own} == {sum(p[1] for p in own)}
+    return by
+
+
+@pytest.mark.parametrize("spread", [(1, 3000), (1, 40), (500, 1100), (1008, 1040), (1, 1)])
+def test_classes_hold_a_fixed_count(spread):
+    rng = random.Random(spread[1])
+    ids = {d: rng.randbytes(4 * rng.randint(*spread)) for d in range(3000)}
+    bins = packing.Bins(0)
+    full = [r for d, x in ids.items() for r in bins.put(d, x)]
+    last = bins.rest()
+    by = unpacked(full + last, ids)
+    held = {r[5] for r in full}
+    for sequence, own in by.items():
+        total = own[0][2]
+        if sequence in held:
+            assert 1024 - total < packing.LEAST
+            k = 1024 // own[0][1]
+            if k > 1:  # the class's documents come first, and as many as fit
+                assert [1024 // p[1] for p in own[:k]] == [k] * k
+        else:
+            assert total & (total - 1) == 0
+    slots = 1024 * len(held) + sum(r[0][2] for s, r in by.items() if s not in held)
+    assert slots <= 1.01 * sum(len(x) // 4 for x in ids.values())
+    scraps = sum(r[2] < packing.LEAST and r[4] != r[2] for r in full)
+    assert scraps == 0
+    assert sum(r[2] < packing.LEAST and r[4] != r[2] for r in last) <= 2 * (len(by) - len(held))  # two ends of each of a worker's last sequences
+
+
+def test_documents_are_cut_for_room_alone():
+    rng = random.Random(1)
+    ids = {d: rng.randbytes(4 * max(1, min(1024, int(rng.lognormvariate(5, 1))))) for d in range(4000)}
+    bins = packing.Bins(0)
+    full = [r for d, x in ids.items() for r in bins.put(d, x)]
+    rows = full + bins.rest()
+    by = unpacked(rows, ids)
+    assert len(rows) - len(ids) <= 1.1 * len(by)  # a cut for each sequence
+    assert all(r[2] == r[4] for r in full if r[2] < packing.LEAST)
+    cut = [r for r in rows if r[2] < packing.LEAST and r[2] < r[4]]
+    assert len(cut) <= 2 * (len(by) - len({r[5] for r in full}))
 
 
 def test_token_file_query_against_brute_force(spark, sf_dir):
