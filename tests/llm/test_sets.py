@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import pathlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -451,3 +452,70 @@ def test_pipeline(spark, sf_dir):
     assert counts[0] > counts[1] == counts[2]
     got = sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()))
     assert got == sorted(map(tuple, docs.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()))
+
+
+def brute_rates(sizes):
+    """Rate of each source from {source: size}: weights 3, 1, 2 share 150 % of all sizes, targets stop at twice a source's size."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, free, left = {}, list(order), 1.5 * sum(sizes.values())
+    while free:
+        share = left / sum(weight[s] for s in free)
+        over = [s for s in free if share * weight[s] > 2 * sizes[s]]
+        if not over:
+            target |= {s: share * weight[s] for s in free}
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+            free.remove(s)
+    return {s: target[s] / sizes[s] for s in order}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    words = "the of and to in that is was for with as it on by from at this have are an river stone market window garden letter number summer winter people mountain teacher paper music station village doctor history language science".split()
+    texts = {}
+    for d in range(120):
+        texts[d] = " ".join(rng.choice(words) + rng.choice(["", "", "s", "ly"]) for _ in range(rng.randrange(60, 260))) + "."
+    for d in range(120, 150):  # near copies: one word differs
+        own = texts[d - 120].split(" ")
+        own[len(own) // 2] = f"changed{d}"
+        texts[d] = " ".join(own)
+    texts |= {150: texts[3], 151: texts[3], 152: "far too short to stay", 153: None, 154: " ".join(["again and again"] * 60)}
+    for d in range(0, 100, 7):
+        texts[d] = f"Write to name{d}@mail{d}.example.org now. " + texts[d]
+    source = {d: ["web", "book", "news", None][d % 7 % 4] for d in texts}
+    rows = [(d, t, "en", source[d], len(t or "")) for d, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    def repeated(ws):
+        threes = [tuple(ws[k : k + 3]) for k in range(len(ws) - 2)]
+        often = {x for x in threes if threes.count(x) > 1}
+        return len({k + j for k, x in enumerate(threes) if x in often for j in range(3)})
+
+    good = {d: t for d, t in texts.items() if len((t or "").split()) >= 50 and 2 * repeated(t.split()) <= len(t.split())}
+    assert set(texts) - set(good) == {152, 153, 154}
+    kept = {c for _, c in brute_classes(sorted(good.items()), 80).values()}
+    assert len(kept) < 125
+    clean = {d: re.sub(r"name\d+@mail\d+\.example\.org", "[EMAIL]", good[d]) for d in kept}
+    sizes: dict = {}
+    for d, t in clean.items():
+        sizes[source[d]] = sizes.get(source[d], 0) + len(t.split())
+    rates = brute_rates(sizes)
+    want = {}
+    for d in clean:
+        rate = rates[source[d]]
+        draw = int(hashlib.md5(f"0:{d}".encode()).hexdigest()[:12], 16) / 2**48
+        want[d] = int(rate) + (draw < rate - int(rate))
+    ids = {d: [*x, 0] for d, x in zip(clean, plain_ids(list(clean.values())), strict=True)}
+    got: dict = {}
+    for p in pieces:
+        own = ids[p["doc_id"]]
+        assert p["doc_tokens"] == len(own)
+        assert p["ids_crc32"] == zlib.crc32(np.array(own[p["start"] : p["start"] + p["length"]], "<u4").tobytes())
+        got.setdefault(p["doc_id"], []).extend(range(p["start"], p["start"] + p["length"]))
+    assert {d: sorted(x) for d, x in got.items()} == {d: sorted([*range(len(ids[d]))] * n) for d, n in want.items() if n}
+    assert len({n for n in want.values()}) > 1
