@@ -7,20 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.text import WS, citation_key, clean_content
+from .grams import containing
 from .retrieval import first_by
 
 TYPES = ("web", "news", "journal", "magazine", "report", "dictionary", "encyclopedia")
 
 
-def matched(terms: DataFrame, hits: DataFrame, pages: DataFrame, types=TYPES, patterns=urls.EXCLUDED, min_length: int = 5) -> DataFrame:
+def matched(terms: DataFrame, hits: DataFrame, pages: DataFrame, types=TYPES, patterns=urls.EXCLUDED, min_length: int = 5, indexed: bool = False) -> DataFrame:
     """Candidates: term_ord, term, hit_ord, para_ord, cite_ord, link, title, content, article_title, section.
 
     terms: term_ord, query_ord, term. A paragraph matches if it holds one of the term's longer words; a term without such words matches nothing. pages as wikitext.with_paragraphs() gives them.
+    ``indexed`` gives the same rows for many terms: a page's paragraphs and its terms' words meet by grams, and only those that share one are searched.
     """
     words = F.filter(F.split(F.lower(F.trim(F.coalesce("term", F.lit("")))), f"{WS}+"), lambda w: F.length(w) >= min_length)
     asked = terms.withColumn("words", words).where(F.size("words") > 0).join(hits.select("query_ord", "hit_ord", "pageid"), "query_ord")
     paras = pages.select("pageid", F.col("title").alias("article_title"), F.explode("paragraphs").alias("p")).select("pageid", "article_title", "p.*").withColumn("low", F.lower("text"))
-    found = asked.join(paras, "pageid").where(F.exists("words", lambda w: F.contains(F.col("low"), w)))
+    if indexed:
+        each = asked.select("pageid", "term_ord", "term", "hit_ord", F.explode(F.array_distinct("words")).alias("word"))
+        pairs = containing(paras, each, "low", "word", ("pageid", "para_ord"), on=("pageid",))
+        found = pairs.select("t.*", "n.term_ord", "n.term", "n.hit_ord").dropDuplicates(["term_ord", "hit_ord", "pageid", "para_ord"])
+    else:
+        found = asked.join(paras, "pageid").where(F.exists("words", lambda w: F.contains(F.col("low"), w)))
     out = found.select("term_ord", "term", "hit_ord", "para_ord", F.posexplode("cites").alias("cite_ord", "c"), "content", "article_title", "section")
     out = out.select("term_ord", "term", "hit_ord", "para_ord", "cite_ord", F.col("c.type").alias("type"), F.col("c.url").alias("link"), F.col("c.blurb").alias("title"), "content", "article_title", "section")
     return out.where(F.col("type").isin(*types) & F.col("link").startswith("http") & ~urls.excluded(F.col("link"), patterns))

@@ -7,7 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from citeweave.operators import asof, grams, intervals, scan, selection, spans, wikitext
+from citeweave import queries
+from citeweave.operators import asof, citations, grams, intervals, scan, selection, spans, wikitext
+from citeweave.staging import staged
 
 
 def plan_of(df) -> str:
@@ -125,6 +127,19 @@ def test_texts_that_hold_needles(spark):
     assert grams.containing(t, n.limit(0), "text", "word", ("id",), ("k",)).collect() == []
 
 
+def test_many_terms_meet_paragraphs_by_grams(spark, sf_dir):
+    pages = staged(wikitext.with_paragraphs(queries._wiki(spark, sf_dir)))
+    docs = queries._documents(spark, sf_dir)
+    words = docs.select("doc_id", F.explode(F.slice(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+")), 1, 12)).alias("term"))
+    terms = staged(words.select(F.monotonically_increasing_id().alias("term_ord"), (F.col("doc_id") % 40).alias("query_ord"), "term"))
+    hits = docs.select((F.col("doc_id") % 40).alias("query_ord"), F.col("doc_id").alias("hit_ord"), F.col("doc_id").alias("pageid"))
+    assert terms.count() > 1500
+    columns = ("term_ord", "hit_ord", "para_ord", "cite_ord", "link", "title")
+    plain, indexed = (citations.matched(terms, hits, pages, min_length=4, indexed=way).select(*columns) for way in (False, True))
+    assert "gram#" in plan_of(indexed) and "NestedLoop" not in plan_of(indexed)
+    assert sorted(map(tuple, indexed.collect())) == sorted(map(tuple, plain.collect())) != []
+
+
 PARTS = ["<ref>", "<ref name=a>", "</ref>", "<ref name=a/>", "<ref name='b' />", '<REF NAME="b">', "</ref >", "x. ", "é😀", "\n== H ==\n", "\n\n", "<ref name=c/>", "a longer line of words to fill a paragraph"]
 
 
