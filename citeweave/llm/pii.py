@@ -82,7 +82,8 @@ _STYLED = {chr(c + k): str(k) for c in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8
 #: Letters and digits in styles (bold, script, circled), by their compatibility form.
 _STYLES = {c: n for a, b in ((0x1D400, 0x1D7CE), (0x24B6, 0x24EA), (0x2460, 0x2469), (0x2102, 0x2140)) for c, n in ((chr(k), unicodedata.normalize("NFKC", chr(k))) for k in range(a, b)) if len(n) == 1 and n.isascii() and n.isalnum()}
 _CHARS = _STYLES | LOOK_ALIKES | _FULL_WIDTH | _STYLED | dict.fromkeys(INVISIBLE, "")
-_ANY_CHAR = re.compile("[" + re.escape("".join(_CHARS)) + "]")
+#: One that may be among them; those beyond the basic plane as a range, since a class tests such singles one by one.
+_ANY_CHAR = re.compile("[" + re.escape("".join(c for c in _CHARS if c <= "\uffff")) + "\U0001d400-\U0001d7ff]")
 
 #: Digits as words.
 DIGIT_WORDS = {
@@ -160,7 +161,7 @@ class Rewritten:
 
 
 def look_alike_edits(text: str) -> list[tuple[int, int, str]]:
-    return [] if text.isascii() else [(m.start(), m.end(), _CHARS[m[0]]) for m in _ANY_CHAR.finditer(text)]
+    return [] if text.isascii() else [(m.start(), m.end(), _CHARS[m[0]]) for m in _ANY_CHAR.finditer(text) if m[0] in _CHARS]
 
 
 def spelled_edits(text: str, least: int = 2) -> list[tuple[int, int, str]]:
