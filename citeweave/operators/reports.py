@@ -121,8 +121,12 @@ def numbered_refs(refs: DataFrame, numbers: DataFrame, used: DataFrame) -> DataF
     return out.join(marks, "number", "left").withColumn("used", F.coalesce("used", F.lit(False)))
 
 
-def run_report(angles: DataFrame, hits: DataFrame, kept: DataFrame, extracted: DataFrame, dead: DataFrame, results: DataFrame, flat_citations: DataFrame, used: DataFrame, stats: DataFrame, raw_extracted: DataFrame) -> dict[str, DataFrame]:
-    """The tables of a run's report, from its artifacts.
+#: The tables that a run's report has.
+TABLES = ("titles", "refs", "angles", "angle_sums", "orphans", "stages", "overview")
+
+
+def run_report(angles: DataFrame, hits: DataFrame, kept: DataFrame, extracted: DataFrame, dead: DataFrame, results: DataFrame, flat_citations: DataFrame, used: DataFrame, stats: DataFrame, raw_extracted: DataFrame, wanted: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
+    """The tables of a run's report, from its artifacts; of these, the wanted ones.
 
     angles: argument, search_queries; hits: query_ord, query, title; kept: title; extracted: term, link, title, content, rank; dead: term, link, title, content, rank, reason; results: link_status;
     flat_citations as citations.flat() gives them; used as used_refs() does; stats: slug, stage, tokens, cost, time_ms; raw_extracted: a row for each citation before the choice.
@@ -131,13 +135,15 @@ def run_report(angles: DataFrame, hits: DataFrame, kept: DataFrame, extracted: D
     orphans: terms of no angle; stages: sums; overview: one row of counts.
     """
     terms = angles.select("argument", F.explode("search_queries").alias("term"))
-    refs = numbered_refs(with_dead(extracted, dead), shown_numbers(flat_citations), used)
     titles = title_queries(hits, kept)
-    per_angle = terms.join(refs, "term").groupBy("argument", "term").agg(F.count("*").alias("total"), F.count_if(~F.col("dead")).alias("valid"), F.count_if(~F.col("dead") & F.col("used")).alias("used"))
-    by_angle = per_angle.groupBy("argument").agg(*[F.sum(c).alias(c) for c in ("total", "valid", "used")])
+    out = {"titles": titles, "stages": stage_totals(stats)}
+    if {"refs", "angles", "angle_sums", "orphans"} & set(wanted):
+        refs = numbered_refs(with_dead(extracted, dead), shown_numbers(flat_citations), used)
+        by = lambda *keys: terms.join(refs, "term").groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(~F.col("dead")).alias("valid"), F.count_if(~F.col("dead") & F.col("used")).alias("used"))
+        out |= {"refs": refs, "angles": by("argument", "term"), "angle_sums": by("argument"), "orphans": orphans(refs, terms)}
     s = F.col("link_status")
     one = lambda df, *c: F.broadcast(df.agg(*c))
-    overview = (
+    out["overview"] = (
         results.agg(F.count("*").alias("checked"), F.count_if(s.isin("probably_valid", "whitelisted")).alias("valid"), F.count_if(s == "invalid").alias("invalid"), F.count_if(s.isin("forbidden", "unknown")).alias("forbidden"), F.count_if(s == "timeout").alias("timeout"), F.count_if(s == "whitelisted").alias("whitelisted"))
         .join(one(titles, F.count("*").alias("titles"), F.count_if("kept").alias("titles_kept")))
         .join(one(used, F.count_distinct("id").alias("used_links")))
@@ -145,4 +151,4 @@ def run_report(angles: DataFrame, hits: DataFrame, kept: DataFrame, extracted: D
         .join(one(terms, F.count_distinct("term").alias("queries")))
         .join(one(raw_extracted, F.count("*").alias("raw_extracted")))
     )  # each side is one row
-    return {"titles": titles, "refs": refs, "angles": per_angle, "angle_sums": by_angle, "orphans": orphans(refs, terms), "stages": stage_totals(stats), "overview": overview}
+    return {name: out[name] for name in wanted}

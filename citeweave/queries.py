@@ -420,7 +420,7 @@ def dead_links(spark, sf_dir):
     return links.dead_links(_citations_used(spark, sf_dir), a.select("url", "link_status", "issue_type", "detail").distinct())
 
 
-def _report(spark, sf_dir):
+def _report(spark, sf_dir, table):
     used = _citations_used(spark, sf_dir)
     a = links.assessed(_probes(spark, sf_dir))
     marks = a.select(F.col("url").alias("link"), F.col("link_status").isin("probably_valid", "whitelisted").alias("ok"), F.coalesce(F.nullif("detail", F.lit("")), "issue_type").alias("reason")).distinct()
@@ -432,27 +432,27 @@ def _report(spark, sf_dir):
     flat = staged(citations.flat(x.where("ok"), any_link=True))
     used_ids = spark.range(1, 60, 3).select(F.col("id").cast("int").alias("id"))
     stats = _stats(spark, sf_dir).withColumn("cost", F.lit(0.0))
-    return reports.run_report(angles, hits, hits.where("query_ord < 4").select("title"), extracted, dead, a, flat, used_ids, stats, used)
+    return reports.run_report(angles, hits, hits.where("query_ord < 4").select("title"), extracted, dead, a, flat, used_ids, stats, used, (table,))[table]
 
 
 def report_refs(spark, sf_dir):
-    return _report(spark, sf_dir)["refs"].select("term", "place", "link", "title", "rank", "dead", "number", "used", "reason")
+    return _report(spark, sf_dir, "refs").select("term", "place", "link", "title", "rank", "dead", "number", "used", "reason")
 
 
 def report_angles(spark, sf_dir):
-    return _report(spark, sf_dir)["angles"]
+    return _report(spark, sf_dir, "angles")
 
 
 def report_angle_sums(spark, sf_dir):
-    return _report(spark, sf_dir)["angle_sums"]
+    return _report(spark, sf_dir, "angle_sums")
 
 
 def report_orphans(spark, sf_dir):
-    return _report(spark, sf_dir)["orphans"]
+    return _report(spark, sf_dir, "orphans")
 
 
 def report_overview(spark, sf_dir):
-    return _report(spark, sf_dir)["overview"]
+    return _report(spark, sf_dir, "overview")
 
 
 def refutation_view(spark, sf_dir):
