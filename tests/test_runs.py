@@ -13,7 +13,7 @@ from citeweave.observing import Stages, StreamProgress, observed
 from citeweave.operators import citations, tables, wikitext
 from citeweave.sources import runs
 from citeweave.staging import staged
-from citeweave.streaming import fanout
+from citeweave.streaming import fanout, lives
 
 EVENT = "run_id long, seq long, type string"
 
@@ -116,3 +116,26 @@ def test_subscribers_get_every_event_once(spark, tmp_path):
     assert fanout.Subscriber(spark, log, f"{tmp_path}/cursors", "early", EVENT).take().collect() == []
     late = fanout.Subscriber(spark, log, f"{tmp_path}/cursors", "late", EVENT, run_id=1)
     assert [(r["seq"], r["type"]) for r in late.take().collect()] == [(0, "progress"), (1, "stepComplete"), (2, "done")]
+
+
+def test_a_run_is_closed_and_then_gone(spark, tmp_path):
+    rocks, key = lives.ROCKSDB, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, rocks)
+    events = [(1, 0, "progress"), (1, 1, "done"), (1, 2, "progress"), (2, 0, "progress")]
+    spark.createDataFrame(events, EVENT).coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in")
+    query = lives.lives(source, close_ms=250, keep_ms=1500).writeStream.outputMode("append").format("memory").queryName("lives_now").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="300 milliseconds").start()
+    try:
+        got = []
+        for _ in range(60):
+            query.awaitTermination(1)
+            got = [tuple(r) for r in spark.table("lives_now").collect()]
+            if any(r[3] == "gone" for r in got):
+                break
+    finally:
+        query.stop()
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    own = [r[1:] for r in got if r[0] == 1]
+    assert own == [(0, "progress", "opened"), (1, "done", "finished"), (None, None, "closed"), (None, None, "gone")]
+    assert [r for r in got if r[0] == 2] == [(2, 0, "progress", "opened")]
