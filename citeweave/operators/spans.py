@@ -6,14 +6,14 @@ opening tag; one that doesn't has none to end. Sections and paragraphs are spans
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, trimmed
 from . import wikitext
 from .asof import asof
 from .intervals import WITHIN, joined
-from .scan import COUNT, MIN, SUM, numbered, scanned
+from .scan import COUNT, MIN, SUM, scanned
 
 #: The tags that the parser knows, with its white space; a closing tag's and a self-closing one's end; what is cut out of a reference's content.
 TAG = rf"""(?i)</ref{WS}*>|<ref(?:{WS}+name{WS}*={WS}*["']?([^"'>\s]+?)["']?)?{WS}*(?:/{WS}*)?>"""
@@ -44,7 +44,8 @@ def references(pages: DataFrame, source: str = "source") -> DataFrame:
     first = whole.where("name is not null").groupBy("pageid", "name").agg(F.min_by("content", "end").alias("content"))
     alone = t.where("kind = 'alone'").select("pageid", "name", "start", F.col("stop").alias("end")).join(first, ["pageid", "name"])
     both = whole.unionByName(alone.select(whole.columns))
-    return numbered(both, ("pageid",), F.col("start")).select("pageid", (F.col("rank") - 1).alias("ref_ord"), "name", "content", "start", "end")
+    place = F.row_number().over(Window.partitionBy("pageid").orderBy("start")) - 1  # a page's own references, as above
+    return both.select("pageid", place.alias("ref_ord"), "name", "content", "start", "end")
 
 
 def sections(pages: DataFrame, source: str = "source") -> DataFrame:

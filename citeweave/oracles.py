@@ -186,6 +186,8 @@ SQL = {
     "reference_sections": f"WITH {_SPANS} SELECT pageid, ref_ord, section FROM rs",
     "paragraph_refs": f"WITH {_SPANS}, para AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INT - 1 AS para_ord FROM pl WHERE length({_strip('x || ref')}) >= 20) SELECT doc_id AS pageid, para_ord, ref_ord, 1::BIGINT AS n FROM rs JOIN para ON pageid = doc_id AND rs.i = para.i",
     "section_refs": f"WITH {_SPANS}, o AS (SELECT DISTINCT doc_id, sec FROM pl), so AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec)::INT - 1 AS section_ord FROM o) SELECT pageid, section_ord, count(*) AS n, min(ref_ord) AS first_ref, max(ref_ord) AS last_ref FROM rs JOIN so ON pageid = doc_id AND rs.sec = so.sec GROUP BY ALL",
+    "cite_templates": f"WITH {_LINES} SELECT doc_id AS pageid, ref_ord, 0 AS nth, type, link AS url, blurb FROM c",
+    "first_candidates": f"WITH {_EXTRACTED} SELECT term_ord, rank, link, title FROM one",
     "event_context": """WITH p AS (SELECT user_id, ts, event_id AS bought, value AS bought_value FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)
         SELECT event_id, bought, bought_value FROM events e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.ts""",
     "price_percentiles": """WITH f(fraction) AS (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE), (0.999::DOUBLE), (1.0::DOUBLE)),

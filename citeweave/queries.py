@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text, urls
-from .operators import answers, asof, citations, grams, links, ranking, reports, retrieval, selection, spans, wikitext
+from .operators import answers, asof, citations, grams, links, ranking, reports, retrieval, selection, spans, tables, wikitext
 from .oracles import SQL
 from .samples import ANGLES, ERRORS, MARKED, SEARCHES, STATUSES, TYPES_USED
 from .staging import staged
@@ -243,6 +243,18 @@ def section_refs(spark, sf_dir):
     return spans.touching(spans.sections(pages), spans.references(pages), "section_ord")
 
 
+def cite_templates(spark, sf_dir):
+    """Cite templates of every reference, by a table function in SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT r.pageid, r.ref_ord, c.nth, c.type, c.url, c.blurb FROM {refs} r, LATERAL cites(r.content) c", refs=spans.references(_wiki(spark, sf_dir)))
+
+
+def first_candidates(spark, sf_dir):
+    """The first six candidates of each term, by a table function that stops early."""
+    tables.register(spark)
+    return spark.sql("SELECT term_ord, rank, link, title FROM first_rows(TABLE({c}) PARTITION BY term_ord ORDER BY (hit_ord, para_ord, cite_ord), 6)", c=_candidates(spark, sf_dir))
+
+
 def event_context(spark, sf_dir):
     """Each event with its user's last purchase at that time or before."""
     e = _t(spark, sf_dir, "events")
@@ -523,6 +535,8 @@ _QUERIES = [
     reference_sections,
     paragraph_refs,
     section_refs,
+    cite_templates,
+    first_candidates,
     event_context,
     price_percentiles,
     telling_words,
