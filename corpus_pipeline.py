@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and, but for the last, returns the columns of documents. Its decisions take effect: documents
 that break a rule go, one document of each near-duplicate group stays, personal data becomes its kind in brackets (n_chars follows), documents are repeated or left out as the mix asks, and the rest is packed.
-Columns of other names, whatever they are called, pass through all stages but the last.
+Columns of other names, whatever they are called, pass through all stages but the last. An empty table gives an empty one at every stage; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -20,17 +20,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (80 per cent of shingles of five words), the one with the smallest doc_id; rows that share it are cut to one. Texts without words and rows without doc_id stay."""
+    """One document of each group of near duplicates (80 per cent of shingles of five words), the one with the smallest doc_id; rows that share it are cut to the one with the least text, so reruns agree. Null, empty and blank texts and rows without doc_id stay."""
     return neardup.deduplicated(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text with its personal data as kinds in brackets; n_chars follows. Null texts stay null, their n_chars too; no row goes."""
+    """Every text with its personal data as kinds in brackets; n_chars follows. Null texts stay null, their n_chars too; repeated rows are each redacted; no row goes. docs needs the columns text and n_chars."""
     return pii.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's rate asks, in whole copies. A null source is one of its own; texts without words have no size and are emitted by their source's rate."""
+    """Documents as often as their source's rate asks, in whole copies. A null source is one of its own; texts without words have no size and are emitted by their source's rate; repeated rows of one doc_id share their draw."""
     return mixing.mixed_documents(docs)
 
 
