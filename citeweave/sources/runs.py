@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_runs(df: DataFrame, path: str, by: str = "slug") -> None:
@@ -17,4 +18,4 @@ def replace_runs(df: DataFrame, path: str, by: str = "slug") -> None:
 
 def read_run(spark: SparkSession, path: str, slug: str, by: str = "slug") -> DataFrame:
     """One run's rows; no other folder is listed for reading."""
-    return spark.read.parquet(path).where(f"`{by}` = :slug".replace(":slug", "'" + slug.replace("\\", "\\\\").replace("'", "\\'") + "'"))
+    return spark.read.parquet(path).where(F.col(by) == F.lit(slug))
