@@ -1,6 +1,6 @@
 """Which texts hold which needles, by an index of grams.
 
-A needle can only be in a text that has all its grams (runs of Q characters), so each needle is looked up by one of them, the rarest among the texts. Texts and needles meet by equality of that gram; only such pairs are searched.
+A needle can only be in a text that has all its grams (runs of Q characters), so each needle is looked up by one of them, the one that is rarest in a sample of the texts; any gram would give the same rows. Texts and needles meet by equality of that gram; only such pairs are searched.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..staging import dropped, sent, staged
 
 Q = 3
+#: One in so many texts tells how frequent grams are.
+SAMPLE = 16
 #: Up to so many grams of needles (some 40 bytes each) are sent to every executor; more are joined by a shuffle.
 BROADCAST_GRAMS = 1 << 18
 
@@ -38,15 +40,19 @@ def containing(texts: DataFrame, needles: DataFrame, text: str, needle: str, tex
     own = own.withColumn("grams", _sized("needle", q))
     asked = staged(own.select(F.explode("grams").alias("gram")).distinct())
     sizes = {r["size"] for r in own.select("size").distinct().collect()}  # q at most
-    held = staged(t.select(*ids, *ons, F.explode(F.flatten(F.array(*[grams(F.col("text"), k) for k in sorted(sizes)]))).alias("gram")).join(sent(asked, BROADCAST_GRAMS), "gram") if sizes else t.select(*ids, *ons, F.lit("").alias("gram")).limit(0))
-    often = asked.join(held.groupBy("gram").agg(F.count("*").alias("often")), "gram", "left").select("gram", F.coalesce("often", F.lit(0)).alias("often"))
-    ranked = own.select("needle", F.explode("grams").alias("gram")).distinct().join(sent(staged(often), BROADCAST_GRAMS), "gram")
-    rarest = ranked.groupBy("needle").agg(F.min(F.struct("often", "gram"))["gram"].alias("gram"))
-    keyed = own.join(rarest, "needle").select(*ons, "needle", "gram", "n")
-    pairs = held.join(keyed, [*ons, "gram"])
-    out = pairs.join(t.drop(*ons), ids).where(F.contains("text", F.col("needle"))).select("t", "n")
-    dropped(asked)
-    return out
+    if not sizes:  # no needles
+        sizes = {q}
+    every = F.flatten(F.array(*[grams(F.col("text"), k) for k in sorted(sizes)]))
+    some = t.where(F.pmod(F.xxhash64(*ids), F.lit(SAMPLE)) == 0)
+    often = some.select(F.explode(every).alias("gram")).join(sent(asked, BROADCAST_GRAMS), "gram").groupBy("gram").agg(F.count("*").alias("often"))
+    often = staged(asked.join(often, "gram", "left").select("gram", F.coalesce("often", F.lit(0)).alias("often")))
+    ranked = own.select("needle", F.explode("grams").alias("gram")).distinct().join(sent(often, BROADCAST_GRAMS), "gram")
+    rarest = staged(ranked.groupBy("needle").agg(F.min(F.struct("often", "gram"))["gram"].alias("gram")))
+    dropped(asked, often)
+    chosen = rarest.select("gram").distinct()
+    held = t.select(*ids, *ons, F.explode(every).alias("gram")).join(sent(chosen, BROADCAST_GRAMS), "gram")
+    pairs = held.join(own.join(rarest, "needle").select(*ons, "needle", "gram", "n"), [*ons, "gram"])
+    return pairs.join(t.drop(*ons), ids).where(F.contains("text", F.col("needle"))).select("t", "n")
 
 
 def _sized(needle: str, q: int) -> Column:

@@ -269,8 +269,8 @@ def price_percentiles(spark, sf_dir):
 
 
 def telling_words(spark, sf_dir):
-    """The longest word of each document, and the lines of all documents that hold it."""
-    d = _documents(spark, sf_dir)
+    """The longest word of each document, and the lines of all documents that hold it. Grams are many more than bytes, so texts are dealt over all tasks first."""
+    d = _documents(spark, sf_dir).repartition("doc_id")
     words = F.transform(F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
     needles = d.select(F.array_max(words)["w"].alias("word")).where("word is not null").distinct()
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("low", F.lower("line")).drop("line")
