@@ -1,51 +1,22 @@
 """Places of references, sections and paragraphs in markup, as tables that join by place.
 
-References are paired by scans over the table of their tags: with c closing tags up to a place, of which the k-th has f_k opening tags before it, min(c, min over k of (f_k - k) + c) references have ended there. A closing tag that raises this number to m ends the m-th
-opening tag; one that doesn't has none to end. Sections and paragraphs are spans of the parser. Places are code points, ends are exclusive.
+A page's references, sections and paragraphs are what the parser finds in its row; what they have to do with each other is joined: by place (asof) and by interval. Places are code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, trimmed
+from ..staging import staged
 from . import wikitext
 from .asof import asof
 from .intervals import WITHIN, joined
-from .scan import COUNT, MIN, SUM, scanned
-
-#: The tags that the parser knows, with its white space; a closing tag's and a self-closing one's end; what is cut out of a reference's content.
-TAG = rf"""(?i)</ref{WS}*>|<ref(?:{WS}+name{WS}*={WS}*["']?([^"'>\s]+?)["']?)?{WS}*(?:/{WS}*)?>"""
-CLOSING, ALONE = r"(?i)^</ref", rf"/{WS}*>$"
-ANY_TAG = rf"(?i)<ref[^>]*>|</ref{WS}*>"
-
-
-def tags(pages: DataFrame, source: str = "source") -> DataFrame:
-    """pageid, nth, kind (open, close, alone), name, start, stop, opens and closes (tags of these kinds up to this one)."""
-    s = F.coalesce(F.col(source), F.lit(""))
-    found = pages.select("pageid", F.posexplode(F.arrays_zip(F.split(s, TAG).alias("gap"), F.regexp_extract_all(s, F.lit(TAG), 0).alias("tag"))).alias("nth", "x")).where("x.tag is not null")
-    name = F.nullif(F.regexp_extract("x.tag", TAG, 1), F.lit(""))
-    kind = F.when(F.regexp_like("x.tag", F.lit(CLOSING)), "close").when(F.regexp_like("x.tag", F.lit(ALONE)), "alone").otherwise("open")
-    rows = found.select("pageid", "nth", kind.alias("kind"), name.alias("name"), F.length("x.gap").alias("gap"), F.length("x.tag").alias("size"))
-    out = scanned(rows, ("pageid",), (F.col("nth"),), stop=(SUM, F.col("gap") + F.col("size")), opens=(COUNT, F.when(F.col("kind") == "open", 1)), closes=(COUNT, F.when(F.col("kind") == "close", 1)))
-    return out.select("pageid", "nth", "kind", "name", (F.col("stop") - F.col("size")).alias("start"), "stop", "opens", "closes")
 
 
 def references(pages: DataFrame, source: str = "source") -> DataFrame:
     """pageid, ref_ord (from 0), name, content, start, end of every reference, as wikitext.refs() has them."""
-    t = tags(pages, source)
-    lead = scanned(t, ("pageid",), (F.col("nth"),), lead=(MIN, F.when(F.col("kind") == "close", F.col("opens") - F.col("closes"))))
-    ended = lead.where("kind = 'close'").groupBy("pageid", F.least(F.col("closes"), F.col("lead") + F.col("closes")).alias("opens")).agg(F.min("stop").alias("end"))
-    whole = t.where("kind = 'open'").select("pageid", "opens", "name", "start").join(ended, ["pageid", "opens"])
-    by_page = whole.groupBy("pageid").agg(F.collect_list(F.struct("start", "end", "name")).alias("found"))  # a page's own references
-    text = lambda r: trimmed(F.regexp_replace(F.substring(F.coalesce(F.col(source), F.lit("")), (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")), ANY_TAG, ""))
-    whole = pages.join(by_page, "pageid").select("pageid", F.inline(F.transform("found", lambda r: F.struct(r["name"].alias("name"), text(r).alias("content"), r["start"].alias("start"), r["end"].alias("end")))))
-    first = whole.where("name is not null").groupBy("pageid", "name").agg(F.min_by("content", "end").alias("content"))
-    alone = t.where("kind = 'alone'").select("pageid", "name", "start", F.col("stop").alias("end")).join(first, ["pageid", "name"])
-    both = whole.unionByName(alone.select(whole.columns))
-    place = F.row_number().over(Window.partitionBy("pageid").orderBy("start")) - 1  # a page's own references, as above
-    return both.select("pageid", place.alias("ref_ord"), "name", "content", "start", "end")
+    return wikitext.with_refs(pages, source).select("pageid", F.inline("refs"))
 
 
 def sections(pages: DataFrame, source: str = "source") -> DataFrame:
@@ -58,6 +29,12 @@ def paragraphs(pages: DataFrame, source: str = "source") -> DataFrame:
     return wikitext.with_spans(pages, source).select("pageid", F.inline("paragraphs"))
 
 
+def placed(pages: DataFrame, *wanted: str, source: str = "source") -> list[DataFrame]:
+    """The wanted ones of refs (pageid, ref_ord, start, end), sections and paragraphs as above. Pages are parsed once for all of them, and what is joined reads their places, without texts, from a staged table."""
+    places = staged(wikitext.with_places(pages, source).select("pageid", *wanted))
+    return [places.select("pageid", F.inline(w)) for w in wanted]
+
+
 def in_sections(refs: DataFrame, parts: DataFrame) -> DataFrame:
     """References with the section that they stand in: the last one that starts before them and ends after they start; outside all, the page's last one."""
     last = parts.groupBy("pageid").agg(F.max_by("section", "section_ord").alias("last"))
