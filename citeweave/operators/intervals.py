@@ -40,6 +40,7 @@ def joined(left: DataFrame, right: DataFrame, on: tuple[str, ...], how: str = OV
     """l, r (structs, the rows of left and right): pairs with equal keys whose spans overlap, or with WITHIN those whose right span lies in the left one.
 
     Spans that are empty or have a null end, and rows with null keys, match nothing; repeated rows give repeated pairs.
+    Both sides are dealt by key and bin: Spark takes them to be as small as the files they are read from, which say nothing of the rows that lists and bins make of them, so it would send either to the driver.
     """
     l_rows, r_rows = _prepared(left, on, left_span, "l"), _prepared(right, on, right_span, "r")
     l_binned, r_binned = _binned(l_rows, "l", "r", _levels(r_rows)), _binned(r_rows, "r", "l", _levels(l_rows))
@@ -47,4 +48,4 @@ def joined(left: DataFrame, right: DataFrame, on: tuple[str, ...], how: str = OV
     a = l_binned.select(*keys, "side", "at", "bin", F.col("start").alias("l_start"), F.col("end").alias("l_end"), F.col("first_bin").alias("l_first"), "l")
     b = r_binned.select(*keys, "side", "at", "bin", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("first_bin").alias("r_first"), "r")
     met = "l_start <= r_start and r_end <= l_end" if how == WITHIN else "l_start < r_end and r_start < l_end"
-    return a.join(b, [*keys, "side", "at", "bin"]).where("bin = greatest(l_first, r_first)").where(met).select("l", "r")
+    return a.join(b.hint("merge"), [*keys, "side", "at", "bin"]).where("bin = greatest(l_first, r_first)").where(met).select("l", "r")

@@ -90,6 +90,16 @@ def test_long_intervals_take_few_bins(spark):
     assert intervals.joined(long, short, ("k",), intervals.WITHIN).count() == 2000
 
 
+def test_what_small_tables_grow_to_is_not_broadcast(spark):
+    """A table of few bytes holds lists of many spans; what is made of them must not pass through the driver."""
+    pages = staged(spark.range(20).select(F.col("id").alias("pageid"), F.transform(F.sequence(F.lit(0), F.lit(499)), lambda k: F.struct(k.alias("ref_ord"), (10 * k).alias("start"), (10 * k + 5).alias("end"))).alias("refs")))
+    refs = pages.select("pageid", F.inline("refs"))
+    parts = pages.select("pageid", F.inline(F.array(F.struct(F.lit(0).alias("section_ord"), F.lit(0).alias("start"), F.lit(2500).alias("end")))))
+    for df in (spans.first_in(parts, refs, "section_ord"), spans.touching(parts, refs, "section_ord")):
+        assert {tuple(r)[:4] for r in df.select("pageid", "section_ord", "n").collect()} == {(n, 0, 250) for n in range(20)}
+        assert "Broadcast" not in plan_of(df)
+
+
 def want_percentile(values, fraction):
     values = sorted(values)
     place = fraction * (len(values) - 1)
